@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, labelled, mixing, ogg_media, packing, quality_gam, sharding, simhash_dedup, toxicity_fm
+from . import exact_dedup, html_text, labelled, mixing, ogg_media, packing, pitman_yor, quality_gam, sharding, simhash_dedup, toxicity_fm
 from .common import shared_folder, table
 
 #: Arrivals that a stored table is dealt into.
@@ -59,6 +59,10 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.language_scores(table(spark, sf_dir, "documents"), labelled.fold(7, 2))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op5_compaction": op5_compaction,
     "op6_simhash": op6_simhash,
     "op7_exact": op7_exact,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_html": op9_html,
     "op10_mixing": op10_mixing,
 }
