@@ -1,5 +1,396 @@
-"""Queries over the driver's tables, each with the same result in SQL."""
+"""Queries over the driver's tables, each with the same result in SQL.
+
+Parts are made from ``part``: bases spelt from hashes of the name, so equal
+names give equal sequences. Orders are constructs and their lines the ordered
+parts. These are synthetic strings, not biological parts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixloom.functions import sequence as S
+from helixloom.operators import assembly, audit, codon, identify, manifest
+
+HEX, SPELT = "0123456789abcdef", "ACGTACGTACGTACGT"
+ROLES = ("promoter", "rbs", "cds", "terminator")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spell(text: Column) -> Column:
+    return F.translate(F.concat(F.md5(text), F.md5(F.concat(text, F.lit("x"))), F.md5(F.concat(F.lit("y"), text))), HEX, SPELT)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("id"), F.col("p_size").alias("size"), spell(F.col("p_name")).alias("seq"), role.alias("role"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("construct"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("part"))  # noqa: E741
+    return l.join(parts(spark, sf_dir), "part").select("construct", "position", "part", "seq", "role")
+
+
+def sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.sha2("seq", 256)
+    return parts(spark, sf_dir).select(
+        "id", F.col("part").alias("version"), sha.alias("seq_sha256"), F.sha2(F.lower("seq"), 256).alias("file_sha256"), F.length("seq").alias("length"), F.lit("synthetic").alias("source"),
+        F.lit(None).cast("string").alias("date"), F.lit("reference").alias("class"), F.concat(F.lit("lib/p"), F.col("part").cast("string"), F.lit("__v1__"), F.substring(sha, 1, 12), F.lit(".gb")).alias("outfile"), "seq", "part",
+    )
+
+
+PARTS_SQL = f"""parts AS (
+  SELECT p_partkey AS part, p_name AS id, p_size AS size,
+         translate(md5(p_name) || md5(p_name || 'x') || md5('y' || p_name), '{HEX}', '{SPELT}') AS seq,
+         ['promoter', 'rbs', 'cds', 'terminator'][(p_partkey % 4 + 1)::INT] AS role FROM part)"""
+LINES_SQL = PARTS_SQL + """, lines AS (
+  SELECT l_orderkey AS construct, l_linenumber AS position, l_partkey AS part, seq, role FROM lineitem JOIN parts ON l_partkey = part)"""
+SEALED_SQL = PARTS_SQL + """, sealed AS (
+  SELECT id, part AS version, sha256(seq) AS seq_sha256, sha256(lower(seq)) AS file_sha256, length(seq) AS length, 'synthetic' AS source, '' AS date,
+         'reference' AS class, 'lib/p' || part || '__v1__' || substr(sha256(seq), 1, 12) || '.gb' AS outfile, seq, part FROM parts),
+  hashed AS (SELECT *, sha256(concat('id=', id, chr(10), 'version=', version, chr(10), 'seq_sha256=', seq_sha256, chr(10), 'file_sha256=', file_sha256, chr(10), 'length=', length, chr(10),
+         'source=', source, chr(10), 'date=', date, chr(10), 'class=', class, chr(10), 'outfile=', outfile)) AS row_sha256 FROM sealed)"""
+INSERTS_SQL = LINES_SQL + """, inserts AS (
+  SELECT construct, string_agg(seq, '' ORDER BY position, part) AS insert, sum(length(seq)) AS part_bases, count(*) AS n_parts FROM lines GROUP BY construct),
+  places AS (SELECT *, sum(length(seq)) OVER w AS "end", sum(length(seq)) OVER w - length(seq) + 1 AS start, row_number() OVER w AS ordinal,
+         lead(role) OVER w AS next_role, lead(seq) OVER w AS next_seq, lag(role) OVER w AS previous_role
+         FROM lines WINDOW w AS (PARTITION BY construct ORDER BY position, part ROWS UNBOUNDED PRECEDING))"""
+
+
+def rc_sql(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGTN', 'TGCAN'))"
+
+
+def sites_sql(seq: str, motif: str) -> str:
+    rc = motif[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return f"list_filter(range(1, length({seq}) - {len(motif)} + 2), lambda i: substr({seq}, i, {len(motif)}) IN ('{motif}', '{rc}'))"
+
+
+def gc_sql(seq: str) -> str:
+    return f"((length({seq}) - length(replace(replace({seq}, 'G', ''), 'C', ''))) / length({seq}))"
+
+
+def run_sql(seq: str) -> str:
+    return f"list_max(list_transform(regexp_extract_all({seq}, 'A+|C+|G+|T+'), lambda x: length(x)))"
+
+
+def stop_sql(seq: str) -> str:
+    """Whether a stop comes before the stops that end the frame."""
+    frame = f"substr({seq}, 1, length({seq}) // 3 * 3)"
+    cut = f"regexp_replace({frame}, '^((?:[ACGT]{{3}})*?)((?:TAA|TAG|TGA)*)$', '\\1')"
+    return f"list_has_any(list_transform(range(0, length({cut}) // 3), lambda i: substr({cut}, i * 3 + 1, 3)), ['TAA', 'TAG', 'TGA'])"
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""WITH {PARTS_SQL} SELECT part, sha256(seq) AS seq_sha256, {rc_sql('seq')} AS revcomp, {gc_sql('seq')} AS gc, {run_sql('seq')} AS longest_run,
+  len({sites_sql('seq', 'GAATTC')}) + len({sites_sql('seq', 'GGTCTC')}) + len({sites_sql('seq', 'CATATG')}) AS n_sites,
+  {stop_sql('seq')} AS internal_stop, substr(seq, 1, 3) IN ('ATG', 'GTG', 'TTG') AS has_start,
+  list_max([length(seq) - length(replace(seq, x, '')) for x in ['A', 'C', 'G', 'T']]) > 0.8 * length(seq) AS low_complexity,
+  CASE WHEN instr(substr(seq, 11, 42), 'ATG') > 0 THEN 10 + instr(substr(seq, 11, 42), 'ATG') - 1 END AS next_start FROM parts""")
+def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = sum((F.size(S.site_positions("seq", S.BUILD_SITES[e])) for e in ("EcoRI", "BsaI", "NdeI")), F.lit(0))
+    return parts(spark, sf_dir).select(
+        "part", manifest.seq_sha256("seq").alias("seq_sha256"), S.revcomp("seq").alias("revcomp"), S.gc_fraction("seq").alias("gc"), S.longest_run("seq").alias("longest_run"), sites.alias("n_sites"),
+        S.internal_stop("seq").alias("internal_stop"), S.has_start("seq").alias("has_start"), S.low_complexity("seq").alias("low_complexity"), S.next_start("seq", F.lit(10)).alias("next_start"),
+    )
+
+
+@query(f"WITH {SEALED_SQL} SELECT version, row_sha256 FROM hashed")
+def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sealed(spark, sf_dir).select("version", manifest.row_sha256().alias("row_sha256"))
+
+
+@query(f"WITH {SEALED_SQL} SELECT sha256(string_agg(row_sha256, chr(10) ORDER BY version)) AS root FROM hashed")
+def manifest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.root(sealed(spark, sf_dir), "version")
+
+
+@query(f"""WITH {SEALED_SQL}, t AS (SELECT seq_sha256, list_sort(list(DISTINCT id || '/' || length % 2 || version % 2)) AS ids FROM sealed GROUP BY seq_sha256)
+  SELECT seq_sha256, array_to_string(ids, ',') AS ids, len(ids) AS n FROM t WHERE len(ids) > 1""")
+def twin_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = sealed(spark, sf_dir).withColumn("id", F.concat("id", F.lit("/"), (F.col("length") % 2).cast("string"), (F.col("version") % 2).cast("string")))
+    return manifest.twins(named)
+
+
+@query(f"WITH {SEALED_SQL} SELECT id, max(version) AS version, count(DISTINCT version) AS versions, max(version) + 1 AS next_version, arg_max(seq_sha256, version) AS seq_sha256 FROM sealed GROUP BY id")
+def newest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.newest(sealed(spark, sf_dir))
+
+
+@query(f"""WITH {SEALED_SQL}, r AS (SELECT part AS request_id, CASE WHEN part % 17 = 0 THEN 'none' ELSE id END AS id, CASE WHEN part % 5 = 0 THEN '' ELSE substr(seq_sha256, 1, 12) END AS pin,
+    CASE WHEN part % 3 = 0 THEN NULL ELSE version END AS version FROM sealed),
+  m AS (SELECT request_id, count(s.id) AS n, max(s.version) AS v, max(s.seq_sha256) AS sha FROM r LEFT JOIN sealed s ON r.id = s.id AND starts_with(s.seq_sha256, r.pin) AND (r.version IS NULL OR r.version = s.version) GROUP BY request_id)
+  SELECT request_id, CASE n WHEN 1 THEN 'ok' WHEN 0 THEN 'missing' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN v END AS resolved_version, CASE WHEN n = 1 THEN sha END AS seq_sha256 FROM m""")
+def resolve_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sealed(spark, sf_dir)
+    asked = m.select(
+        F.col("part").alias("request_id"), F.when(F.col("part") % 17 == 0, "none").otherwise(F.col("id")).alias("id"),
+        F.when(F.col("part") % 5 == 0, "").otherwise(F.substring("seq_sha256", 1, 12)).alias("pin"), F.when(F.col("part") % 3 != 0, F.col("version")).alias("version"),
+    )
+    return manifest.resolve(asked, m)
+
+
+@query(f"""WITH {SEALED_SQL}, f AS (SELECT CASE WHEN part % 19 = 0 THEN outfile || '.orphan' ELSE outfile END AS path, CASE WHEN part % 13 = 0 THEN reverse(seq) ELSE seq END AS fseq,
+    CASE WHEN part % 7 = 0 THEN 'x' ELSE file_sha256 END AS file FROM sealed WHERE part % 11 <> 0),
+  b AS (SELECT coalesce(s.outfile, f.path) AS path, s.outfile IS NOT NULL AS listed, f.path IS NOT NULL AS present, s.seq_sha256 AS want, sha256(fseq) AS got, s.file_sha256 AS wf, f.file
+        FROM sealed s FULL JOIN f ON s.outfile = f.path)
+  SELECT path, problem FROM (
+    SELECT path, unnest([CASE WHEN NOT present THEN 'file missing' END, CASE WHEN NOT listed THEN 'file not in manifest' END, CASE WHEN file <> wf THEN 'bytes differ' END, CASE WHEN got <> want THEN 'sequence differs' END]) AS problem FROM b)
+  WHERE problem IS NOT NULL""")
+def library_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sealed(spark, sf_dir)
+    k = F.col("part")
+    files = m.where(k % 11 != 0).select(
+        F.when(k % 19 == 0, F.concat("outfile", F.lit(".orphan"))).otherwise(F.col("outfile")).alias("path"), F.when(k % 13 == 0, F.reverse("seq")).otherwise(F.col("seq")).alias("seq"),
+        F.when(k % 7 == 0, "x").otherwise(F.col("file_sha256")).alias("file_sha256"),
+    )
+    return manifest.audit(m, files)
+
+
+@query(f"""WITH {SEALED_SQL}, o AS (SELECT part, 'old' AS origin FROM sealed WHERE part % 3 <> 0), n AS (SELECT part, 'new' AS origin FROM sealed WHERE part % 4 = 0)
+  SELECT * FROM n UNION ALL SELECT * FROM o WHERE part % 2 = 0 AND part NOT IN (SELECT part FROM n)""")
+def carried_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = sealed(spark, sf_dir)
+    old, new = p.where("part % 3 <> 0").select("part", F.lit("old").alias("origin")), p.where("part % 4 = 0").select("part", F.lit("new").alias("origin"))
+    return manifest.carry_forward(old, new, "part", F.col("part") % 2 == 0)
+
+
+@query(f'WITH {INSERTS_SQL} SELECT construct, position, part, ordinal, start, "end", next_role, previous_role FROM places')
+def construct_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.features(lines(spark, sf_dir)).select("construct", "position", "part", "ordinal", "start", "end", "next_role", "previous_role")
+
+
+@query(f"WITH {INSERTS_SQL} SELECT construct, sha256(insert) AS insert_sha256, length(insert) AS length, part_bases, n_parts, {gc_sql('insert')} AS gc FROM inserts")
+def construct_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = assembly.inserts(lines(spark, sf_dir))
+    return got.select("construct", F.sha2("insert", 256).alias("insert_sha256"), F.length("insert").alias("length"), "part_bases", "n_parts", S.gc_fraction("insert").alias("gc"))
+
+
+def crossing_sql() -> str:
+    tests = [f"list_has_any(js, flatten(list_transform({sites_sql('insert', m)}, lambda i: range(i, i + {len(m) - 1}))))" for m in S.BUILD_SITES.values()]
+    return " OR ".join(tests)
+
+
+VALIDATION_SQL = INSERTS_SQL + f""", j AS (SELECT construct, list("end") FILTER (next_role IS NOT NULL) AS js FROM places GROUP BY construct),
+  found AS (
+    SELECT construct, 'site over junction' AS rule, 'BLOCK' AS level FROM inserts JOIN j USING (construct) WHERE {crossing_sql()}
+    UNION ALL SELECT construct, 'gc out of range', 'WARN' FROM inserts WHERE {gc_sql('insert')} NOT BETWEEN 0.25 AND 0.65
+    UNION ALL SELECT construct, 'homopolymer', 'WARN' FROM inserts WHERE {run_sql('insert')} > 10
+    UNION ALL SELECT construct, 'over fragment cap', 'INFO' FROM inserts WHERE length(insert) > 700
+    UNION ALL SELECT construct, 'rbs before no start', 'WARN' FROM places WHERE role = 'rbs' AND next_role = 'cds' AND substr(next_seq, 1, 3) <> 'ATG')"""
+
+
+@query(f"WITH {VALIDATION_SQL} SELECT * FROM found")
+def construct_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.validation(lines(spark, sf_dir), cap=700)
+
+
+@query(f"""WITH {VALIDATION_SQL}, c AS (SELECT construct, count_if(level = 'BLOCK') AS block, count_if(level = 'WARN') AS warn, count_if(level = 'INFO') AS info FROM found GROUP BY construct)
+  SELECT construct, coalesce(block, 0) AS block, coalesce(warn, 0) AS warn, coalesce(info, 0) AS info,
+         CASE WHEN block > 0 THEN 'FAIL' WHEN warn > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN block > 0 THEN 1 WHEN warn > 0 THEN 5 ELSE 0 END AS exit_code
+  FROM inserts LEFT JOIN c USING (construct)""")
+def construct_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lines(spark, sf_dir)  # noqa: E741
+    return assembly.verdicts(l.select("construct").distinct(), assembly.validation(l, cap=700))
+
+
+@query(f"""WITH {INSERTS_SQL} SELECT construct, arg_min("end", (abs("end" - length(insert) / 2), "end")) AS split_at, any_value(length(insert)) AS length
+  FROM places JOIN inserts USING (construct) WHERE next_role IS NOT NULL GROUP BY construct""")
+def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.split_points(lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES_SQL} SELECT construct, part, any_value(role) AS role, any_value(length(seq)) AS length_bp, any_value(sha256(seq)) AS seq_sha256, min(position) AS first_position, count(*) AS uses FROM lines GROUP BY construct, part""")
+def order_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.order_table(lines(spark, sf_dir))
+
+
+@query(f"""WITH {INSERTS_SQL}, x AS (SELECT *, count(*) OVER (PARTITION BY construct, part) AS copies, max(CASE WHEN role = 'cds' THEN ordinal END) OVER (PARTITION BY construct) AS last_coding FROM places),
+  g AS (SELECT construct, count_if(ordinal = 1 AND role <> 'promoter') AS a, CASE WHEN count_if(role = 'promoter') = 0 THEN 1 ELSE 0 END AS b, count_if(role = 'cds' AND previous_role IS DISTINCT FROM 'rbs') AS c,
+    CASE WHEN max(last_coding) IS NOT NULL AND count_if(role = 'terminator' AND ordinal > last_coding) = 0 THEN 1 ELSE 0 END AS d, count_if(role = 'rbs' AND next_role IS DISTINCT FROM 'cds') AS e,
+    count_if(copies > 1) AS f, CASE WHEN count_if(role = 'promoter') > 1 AND count_if(role = 'terminator') = 0 THEN 1 ELSE 0 END AS h FROM x GROUP BY construct),
+  u AS (SELECT construct, 'first part is no promoter' AS rule, 'PROBLEM' AS level, a::BIGINT AS n FROM g UNION ALL SELECT construct, 'no promoter', 'PROBLEM', b FROM g UNION ALL SELECT construct, 'coding part without rbs', 'PROBLEM', c FROM g
+    UNION ALL SELECT construct, 'no terminator after coding', 'PROBLEM', d FROM g UNION ALL SELECT construct, 'rbs without coding part', 'LOOK', e FROM g UNION ALL SELECT construct, 'repeated part', 'LOOK', f FROM g UNION ALL SELECT construct, 'promoters without terminator', 'LOOK', h FROM g)
+  SELECT * FROM u WHERE n > 0""")
+def design_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.lint(lines(spark, sf_dir))
+
+
+SEEDS_SQL = """q AS (SELECT doc_id AS query, unnest(range(0, length(text) - 11)) AS qpos, lower(text) AS t FROM documents),
+  qk AS (SELECT query, qpos, substr(t, qpos + 1, 12) AS kmer FROM q),
+  r AS (SELECT item_id AS ref, unnest(range(0, length(text) - 11)) AS rpos, lower(text) AS t FROM benchmark),
+  rk AS (SELECT ref, rpos, substr(t, rpos + 1, 12) AS kmer FROM r),
+  seeds AS (SELECT query, ref, qpos, rpos FROM qk JOIN rk USING (kmer)),
+  votes AS (SELECT query, ref, qpos - rpos AS diag, count(*) AS votes, min(qpos) AS qmin, max(qpos) AS qmax, min(rpos) AS rmin, max((rpos % 7 = 0)::INT) AS on_stride FROM seeds GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query, ref ORDER BY votes DESC, rmin, diag) AS rank, count(*) OVER (PARTITION BY query, ref) AS n_diagonals, max(on_stride) OVER (PARTITION BY query, ref) AS kept FROM votes),
+  best AS (SELECT query, ref, 1 AS strand, diag, votes, qmin, qmax, rmin, rank, n_diagonals FROM ranked WHERE rank <= 4 AND kept = 1)"""
+
+
+def passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), F.lower("text").alias("qseq"))
+    r = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref"), F.lower("text").alias("rseq"), F.lit(1).alias("strand"))
+    return q, r
+
+
+@query(f"WITH {SEEDS_SQL} SELECT * FROM best")
+def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, r = passages(spark, sf_dir)
+    return identify.diagonals(identify.seeds(q, r))
+
+
+@query(f"""WITH {SEEDS_SQL}, w AS (SELECT b.query, b.ref, diag, greatest(diag, 0) AS q0, least(diag + length(i.text), length(d.text)) AS q1, lower(d.text) AS qt, lower(i.text) AS rt
+    FROM best b JOIN documents d ON d.doc_id = b.query JOIN benchmark i ON i.item_id = b.ref),
+  c AS (SELECT query, ref, diag, q1 - q0 AS win, unnest(range(0, q1 - q0)) AS i, q0, qt, rt FROM w WHERE q1 - q0 >= 25),
+  s AS (SELECT query, ref, diag, win, i, substr(qt, q0 + i + 1, 1) = substr(rt, q0 - diag + i + 1, 1) AS m FROM c),
+  p AS (SELECT *, sum(CASE WHEN m THEN 1 ELSE -1 END) OVER (PARTITION BY query, ref, diag ORDER BY i) AS reach FROM s),
+  k AS (SELECT *, reach - least(0, coalesce(min(reach) OVER (PARTITION BY query, ref, diag ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM p)
+  SELECT query, ref, diag, max(score)::INT AS score, count_if(m)::INT AS matches, round(100.0 * count_if(m) / any_value(win), 1) AS pident FROM k GROUP BY query, ref, diag""")
+def ungapped_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, r = passages(spark, sf_dir)
+    met = identify.diagonals(identify.seeds(q, r)).join(q, "query").join(r, ["ref", "strand"])
+    q0 = F.greatest("diag", F.lit(0))
+    win = F.least(F.col("diag") + F.length("rseq"), F.length("qseq")) - q0
+    b = S.best_segment(F.substr(F.col("qseq"), q0 + 1, win), F.substr(F.col("rseq"), q0 - F.col("diag") + 1, win))
+    got = met.where(win >= 25).select("query", "ref", "diag", win.alias("win"), b.alias("b"))
+    return got.select("query", "ref", "diag", F.col("b.score").alias("score"), F.col("b.matches").alias("matches"), S.identity_percent(F.col("b.matches"), F.col("win")).alias("pident"))
+
+
+@query(f"""WITH {SEEDS_SQL}, i AS (SELECT query, ref, qpos - rpos AS diag, qpos - row_number() OVER (PARTITION BY query, ref, qpos - rpos ORDER BY qpos) AS island FROM seeds),
+  n AS (SELECT query, count(*) AS n FROM i GROUP BY query, ref, diag, island) SELECT query, max(n) + 11 AS longest FROM n GROUP BY query""")
+def shared_with_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify.shared_runs(*passages(spark, sf_dir))
+
+
+BLOCKS_SQL = LINES_SQL + """, blocks AS (
+  SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS block,
+    CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'part' || (l_partkey + 1) ELSE 'Part' || l_partkey END AS claim, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE 1 END AS claim_strand,
+    CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE 'part' || l_partkey END AS ident, CASE WHEN l_partkey % 9 = 0 THEN -1 ELSE 1 END AS strand, 1 - l_discount AS cov,
+    (l_linenumber % 4)::INT AS indel, (l_linenumber % 4 - 1)::INT AS indel_net, length(seq) AS ref_length, length(seq) - (l_quantity % 10)::INT AS matched, role, seq
+  FROM lineitem JOIN parts ON l_partkey = part)"""
+READ = f"(CASE WHEN strand < 0 THEN {rc_sql('seq')} ELSE seq END)"
+FOUND_SQL = BLOCKS_SQL + f""", a AS (SELECT *, CASE WHEN claim IS NOT NULL OR (cov >= 0.95 AND indel = 0) THEN 'FLAG' ELSE 'NOTE' END AS flag, {READ} AS rd FROM blocks),
+  u AS (SELECT record, block, unnest([
+    {{'category': 'identity-unchecked', 'status': CASE WHEN claim IS NOT NULL AND ident IS NULL THEN 'SKIP' END}},
+    {{'category': 'identity-orientation', 'status': CASE WHEN claim IS NOT NULL AND ident IS NOT NULL AND claim_strand <> strand THEN 'FLAG' END}},
+    {{'category': 'identity-mislabel', 'status': CASE WHEN lower(claim) <> lower(ident) AND NOT contains(lower(claim), lower(ident)) THEN 'FLAG' END}},
+    {{'category': 'indel', 'status': CASE WHEN ident IS NOT NULL AND indel > 0 THEN flag END}},
+    {{'category': 'truncation', 'status': CASE WHEN ident IS NOT NULL AND (ref_length - matched + greatest(0, -indel_net)) / ref_length > 0.05 THEN flag END}},
+    {{'category': 'orf-stop', 'status': CASE WHEN role = 'cds' AND {stop_sql('rd')} THEN CASE flag WHEN 'FLAG' THEN 'FAIL' ELSE 'NOTE' END END}},
+    {{'category': 'orf-frame', 'status': CASE WHEN role = 'cds' AND length(seq) % 3 <> 0 THEN flag END}},
+    {{'category': 'orf-start', 'status': CASE WHEN role = 'cds' AND substr(rd, 1, 3) NOT IN ('ATG', 'GTG', 'TTG') THEN 'FLAG' END}}]) AS f FROM a),
+  found AS (SELECT record, block, f.category AS category, f.status AS status FROM u WHERE f.status IS NOT NULL)"""
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    l = read(spark, sf_dir, "lineitem").withColumn("block", F.row_number().over(w)).join(parts(spark, sf_dir), F.col("l_partkey") == F.col("part"))  # noqa: E741
+    supp, key, n = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
+    return l.select(
+        F.col("l_orderkey").alias("record"), "block", F.when(supp % 7 == 0, None).when(supp % 5 == 0, F.concat(F.lit("part"), (key + 1).cast("string"))).otherwise(F.concat(F.lit("Part"), key.cast("string"))).alias("claim"),
+        F.when(supp % 3 == 0, -1).otherwise(1).alias("claim_strand"), F.when(key % 6 != 0, F.concat(F.lit("part"), key.cast("string"))).alias("ident"), F.when(key % 9 == 0, -1).otherwise(1).alias("strand"),
+        (1 - F.col("l_discount")).alias("cov"), (n % 4).alias("indel"), (n % 4 - 1).alias("indel_net"), F.length("seq").alias("ref_length"), (F.length("seq") - (F.col("l_quantity") % 10).cast("int")).alias("matched"), "role", "seq",
+    )
+
+
+@query(f"WITH {FOUND_SQL} SELECT * FROM found")
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.block_findings(blocks(spark, sf_dir))
+
+
+@query(f"""WITH {FOUND_SQL}, c AS (SELECT record, count_if(status = 'FAIL') AS n_fail, count_if(status = 'FLAG') AS n_flag, count_if(status = 'SKIP') AS n_skip, count_if(status = 'NOTE') AS n_note, count_if(status = 'PASS') AS n_pass,
+    count_if(status = 'SKIP' AND starts_with(category, 'identity')) AS unchecked FROM found GROUP BY record), v AS (SELECT *, CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_flag > 0 OR unchecked > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM c)
+  SELECT record, n_fail, n_flag, n_skip, n_note, n_pass, verdict, CASE verdict WHEN 'FAIL' THEN 1 WHEN 'REVIEW' THEN 5 ELSE 0 END AS exit_code FROM v""")
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.verdict(audit.block_findings(blocks(spark, sf_dir)))
+
+
+def site_rows_sql() -> str:
+    found = [(f"restriction {e}", m) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"] + [(f"restriction {e}", m) for e, m in S.TYPE_IIS_SITES.items()]
+    return " ".join(f"UNION ALL SELECT construct, '{c}', 'NOTE' FROM inserts WHERE len({sites_sql('insert', m)}) > 0" for c, m in found)
+
+
+@query(f"""WITH {INSERTS_SQL} SELECT construct AS record, category, status FROM (
+  SELECT construct, 'composition' AS category, CASE WHEN 100.0 * {gc_sql('insert')} < 25 OR 100.0 * {gc_sql('insert')} > 65 THEN 'FLAG' ELSE 'PASS' END AS status FROM inserts
+  UNION ALL SELECT construct, 'homopolymer', 'FLAG' FROM inserts WHERE {run_sql('insert')} >= 9 UNION ALL SELECT construct, 'size', CASE WHEN length(insert) > 700 THEN 'FLAG' ELSE 'PASS' END FROM inserts {site_rows_sql()})""")
+def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = assembly.inserts(lines(spark, sf_dir)).select(F.col("construct").alias("record"), F.col("insert").alias("seq"))
+    return audit.record_findings(whole, cap=700)
+
+
+@query(f"""WITH {INSERTS_SQL}, k AS (SELECT construct AS record, insert, unnest(range(1, length(insert) - 28)) AS i FROM inserts), w AS (SELECT record, substr(insert, i, 30) AS w FROM k GROUP BY ALL HAVING count(*) > 1)
+  SELECT record, count(*) AS repeated FROM w GROUP BY record""")
+def direct_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = assembly.inserts(lines(spark, sf_dir)).select(F.col("construct").alias("record"), F.col("insert").alias("seq"))
+    return audit.repeats(whole, 30)
+
+
+@query(f"""WITH {PARTS_SQL}, c AS (SELECT part, substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT part, seq, unnest(range(0, length(seq) // 3)) AS i FROM parts)), u AS (SELECT codon, substr(codon, 1, 2) AS family, count(*) AS n FROM c GROUP BY ALL),
+  w AS (SELECT codon, n / max(n) OVER (PARTITION BY family) AS w FROM u) SELECT part AS gene, round(exp(avg(ln(greatest(w, 0.01)))), 6) AS cai FROM c JOIN w USING (codon) GROUP BY part""")
+def codon_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    usage = p.select(F.explode(S.codons("seq")).alias("codon")).groupBy("codon", F.substring("codon", 1, 2).alias("family")).agg(F.count("*").alias("n"))
+    return codon.adaptation(p.select(F.col("part").alias("gene"), "seq"), codon.weights(usage)).select("gene", F.round("cai", 6).alias("cai"))
+
+
+GAPS_SQL = """b AS (SELECT o_orderkey AS query, l_linenumber * 40 + (l_partkey % 30)::INT AS qstart, l_linenumber * 40 + (l_partkey % 30)::INT + (l_suppkey % 35)::INT AS qend FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    start = F.col("l_linenumber") * 40 + (F.col("l_partkey") % 30).cast("int")
+    return l.select(F.col("o_orderkey").alias("query"), start.alias("qstart"), (start + (F.col("l_suppkey") % 35).cast("int")).alias("qend"))
+
+
+@query(f"""WITH {GAPS_SQL}, g AS (SELECT query, coalesce(max(qend) OVER (PARTITION BY query ORDER BY qstart, qend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start, qstart - 1 AS "end" FROM b
+  UNION ALL SELECT o_orderkey, coalesce(max(qend), 0) + 1, 400 FROM orders LEFT JOIN b ON query = o_orderkey GROUP BY o_orderkey) SELECT * FROM g WHERE "end" - start + 1 >= 6""")
+def uncovered_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query"), F.lit(400).alias("length"))
+    return identify.gaps(intervals(spark, sf_dir), lengths)
+
+
+@query(f"""WITH {GAPS_SQL}, d AS (SELECT DISTINCT * FROM b), c AS (SELECT query, qstart - 5 AS start, qstart + 12 AS "end", qstart AS claim FROM d),
+  m AS (SELECT d.query, qstart, qend, claim, least(qend, "end") - greatest(qstart, start) + 1 AS over FROM d JOIN c USING (query))
+  SELECT query, qstart, qend, claim, over FROM m WHERE over > 0 AND over > 0.3 * (qend - qstart + 1) QUALIFY row_number() OVER (PARTITION BY query, qstart, qend ORDER BY over DESC, claim) = 1""")
+def block_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = intervals(spark, sf_dir).distinct()
+    claims = b.select("query", (F.col("qstart") - 5).alias("start"), (F.col("qstart") + 12).alias("end"), F.col("qstart").alias("claim")).distinct()
+    return identify.claimed(b, claims).select("query", "qstart", "qend", "claim", "over")
+
+
+@query(f"""WITH {PARTS_SQL}, p AS (SELECT a.part, a.seq AS x, b.seq AS y FROM parts a JOIN parts b ON b.part = a.part + 1), d AS (SELECT part, list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)) AS l, length(y) - length(x) AS delta FROM p)
+  SELECT part, len(l) AS mismatches, l[1] AS first, delta FROM d""")
+def version_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    met = p.select("part", F.col("seq").alias("x")).join(p.select((F.col("part") - 1).alias("part"), F.col("seq").alias("y")), "part")
+    return met.select("part", S.hamming("x", "y").alias("d")).select("part", "d.mismatches", "d.first", "d.delta")
+
+
+@query(f"""WITH {PARTS_SQL}, t AS (SELECT part, CASE WHEN part % 3 = 0 THEN 'complement(' || part || '..' || (part + size) || ')' WHEN part % 3 = 1 THEN 'join(' || part || '..' || (part + 2) || ',' || (part + 5) || '..>' || (part + 5 + size) || ')' ELSE '<' || part END AS loc FROM parts)
+  SELECT part, list_min(n) AS start, list_max(n) AS "end", CASE WHEN contains(loc, 'complement') THEN -1 ELSE 1 END AS strand FROM (SELECT *, list_transform(regexp_extract_all(loc, '[0-9]+'), lambda x: x::INT) AS n FROM t)""")
+def feature_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, z = F.col("part"), F.col("size")
+    s = lambda c: c.cast("string")
+    loc = F.when(k % 3 == 0, F.concat(F.lit("complement("), s(k), F.lit(".."), s(k + z), F.lit(")"))).when(k % 3 == 1, F.concat(F.lit("join("), s(k), F.lit(".."), s(k + 2), F.lit(","), s(k + 5), F.lit("..>"), s(k + 5 + z), F.lit(")"))).otherwise(F.concat(F.lit("<"), s(k)))
+    return parts(spark, sf_dir).select("part", S.location(loc).alias("l")).select("part", "l.start", "l.end", "l.strand")
+
+
+FLAGSHIP = "construct_verdicts"
