@@ -57,8 +57,8 @@ def gc_percent(seq: Column | str) -> Column:
 
 def longest_run(seq: Column | str, any_letter: bool = True) -> Column:
     """Longest homopolymer; of A, C, G, T alone unless ``any_letter``."""
-    runs = r"(?:(.)\1*)" if any_letter else "A+|C+|G+|T+"
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.upper(col(seq)), F.lit(f"({runs})" if any_letter else f"({runs})"), F.lit(1)), F.length)), F.lit(0))
+    runs = r"((.)\2*)" if any_letter else "(A+|C+|G+|T+)"
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.upper(col(seq)), F.lit(runs), F.lit(1)), F.length)), F.lit(0))
 
 
 def low_complexity(seq: Column | str, share: float = 0.8) -> Column:
@@ -79,18 +79,23 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def positions(seq: Column | str, motif: Column | str) -> Column:
-    """0-based starts of ``motif``, overlaps included."""
-    s, m = F.upper(col(seq)), motif if isinstance(motif, Column) else F.lit(motif)
-    n = F.length(s) - F.length(m) + 1
-    found = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(s, i, F.length(m)) == m)
-    return F.when(n > 0, F.transform(found, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+def positions(seq: Column | str, motif: str) -> Column:
+    """0-based starts of ``motif``, overlaps included.
+
+    The sequence is split before each occurrence, and the pieces' starts are
+    counted up: linear in its length.
+    """
+    s = F.upper(col(seq))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda x, piece: F.struct((x["at"] + F.length(piece)).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out"))
+    starts = F.aggregate(F.split(s, f"(?={motif})"), start, step, lambda x: x["out"])
+    return F.filter(starts, lambda x: (x > 0) | F.startswith(s, F.lit(motif)))
 
 
-def site_positions(seq: Column | str, motif: Column | str) -> Column:
+def site_positions(seq: Column | str, motif: str) -> Column:
     """0-based starts of a site on either strand, each once, ascending."""
-    m = motif if isinstance(motif, Column) else F.lit(motif)
-    return F.array_sort(F.array_union(positions(seq, m), positions(seq, revcomp(m))))
+    other = motif[::-1].translate(str.maketrans(BASES, PAIRED))
+    return positions(seq, motif) if other == motif else F.array_sort(F.array_union(positions(seq, motif), positions(seq, other)))
 
 
 def codons(seq: Column | str) -> Column:
