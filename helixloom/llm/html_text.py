@@ -3,7 +3,8 @@
 Markup is stripped to lines, one to a block element. Each line weighs its
 text outside links, and nothing inside menus, footers, forms and the like.
 Weights are summed over windows of ``WINDOW`` lines; the text surges where
-the first window reaches the threshold and dives after the last that does,
+the first window reaches the threshold (THRESHOLD, or a quarter of the
+page's fullest window if that is less) and dives after the last that does,
 and all lines between that aren't page furniture are kept. Where a page marks
 its article, lines outside it weigh nothing and the threshold is any text.
 
@@ -114,7 +115,7 @@ def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> st
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     if not any(weights):
         return ""
-    least = 1 if within else min(threshold, max(sums))
+    least = 1 if within else min(threshold, max(sums) / 4)
     surge = next(i for i, s in enumerate(sums) if s >= least and weights[i])
     dive = next(i for i in range(len(weights) - 1, -1, -1) if weights[i] and sum(weights[max(0, i - window + 1) : i + 1]) >= least)
     return "\n".join(t for (t, _, junk, inside), i in zip(lines, range(len(lines))) if surge <= i <= dive and not junk and (inside or not within))
