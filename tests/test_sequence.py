@@ -14,7 +14,7 @@ def one(spark, expr, **values):
 
 
 def random_seq(n, seed):
-    return "".join(random.Random(seed).choice("ACGT") for _ in range(n))
+    return "".join(random.Random(seed).choices("ACGT", k=n))
 
 
 @pytest.mark.parametrize("seq,motif", [("GAATTCGAATTC", "GAATTC"), ("AAAA", "AA"), ("", "AA"), ("TTTT", "GG"), (random_seq(400, 1), "AC")])

@@ -25,7 +25,7 @@ def folder(tmp_path):
     (tmp_path / "c.csv").write_text("part,sequence\nx,ACGTACGTAC\ny,GGGGCCCCTT\n")
     (tmp_path / "d.png").write_bytes(b"\x89PNG\r\n\x1a\n0000")
     (tmp_path / "e.gb").write_text(GENBANK.replace("24 bp", "99 bp"))
-    (tmp_path / "f.txt").write_text("")
+    (tmp_path / "f.txt").write_text("no bases")
     return tmp_path
 
 
