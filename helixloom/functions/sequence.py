@@ -203,3 +203,48 @@ def best_segment(query: Column, reference: Column) -> Column:
         )
 
     return F.aggregate(steps, zero, step, lambda s: F.struct(s["best"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), s["matches"].alias("matches")))
+
+
+def longest_clean(query: Column, reference: Column, least: int, share: tuple[int, int] = (4, 5)) -> Column:
+    """struct(start, end, matches) of the longest window, the leftmost of
+    equals, of two aligned strings in which at least ``share`` of the letters
+    agree; null if none has ``least`` letters. 0-based, end exclusive.
+
+    A window fits if a running balance doesn't fall over it; the longest is
+    found by one walk along the balance's lowest value so far and its highest
+    value to come.
+    """
+    need, of = share
+    marks = F.array_join(F.zip_with(F.split(query, ""), F.split(reference, ""), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    n = F.length(query)
+    matched = F.transform(F.sequence(F.lit(0), n), lambda i: F.length(F.replace(F.substr(marks, F.lit(1), i), F.lit("0"), F.lit(""))))
+    # held in one-element arrays, so that each is worked out once
+    pre = F.array(matched)
+
+    def walk(m: Column) -> Column:
+        balance = F.array(F.transform(m, lambda x, i: x * of - i * need))
+
+        def edges(b: Column) -> Column:
+            low = F.transform(b, lambda x, i: F.array_min(F.slice(b, F.lit(1), i + 1)))
+            high = F.transform(b, lambda x, i: F.array_max(F.slice(b, i + 1, F.size(b) - i)))
+            return F.struct(low.alias("low"), high.alias("high"))
+
+        def follow(e: Column) -> Column:
+            size = F.size(e["low"])
+            start = F.struct(*[F.lit(0).alias(x) for x in ("i", "j", "start", "end")])
+
+            def step(s: Column, _: Column) -> Column:
+                done = s["j"] >= size
+                fits = ~done & (F.get(e["high"], s["j"]) >= F.get(e["low"], s["i"]))
+                better = fits & (s["j"] - s["i"] > s["end"] - s["start"])
+                return F.struct(
+                    F.when(done | fits, s["i"]).otherwise(s["i"] + 1).alias("i"), F.when(fits, s["j"] + 1).otherwise(s["j"]).alias("j"),
+                    F.when(better, s["i"]).otherwise(s["start"]).alias("start"), F.when(better, s["j"]).otherwise(s["end"]).alias("end"),
+                )
+
+            return F.aggregate(F.sequence(F.lit(1), size * 2), start, step)
+
+        best = F.transform(F.transform(balance, edges), follow)
+        return F.transform(best, lambda x: F.when(x["end"] - x["start"] >= least, F.struct(x["start"].alias("start"), x["end"].alias("end"), (F.get(m, x["end"]) - F.get(m, x["start"])).alias("matches"))))
+
+    return F.when(n > 0, F.get(F.get(F.transform(pre, walk), F.lit(0)), F.lit(0)))

@@ -16,8 +16,7 @@ def closed_frames(codons: Column, least: int) -> Column:
     stop that closes it. Codons become a mark each, and the marks are split at
     stops, so that only stretches between stops are walked in order."""
     marks = F.array_join(F.transform(codons, lambda c: F.when(c == "ATG", "M").when(c.isin(*S.STOPS), "*").otherwise(".")), "")
-    stretches = F.split(marks, r"\*", -1)
-    closed = F.slice(stretches, F.lit(1), F.size(stretches) - 1)
+    closed = F.split(F.regexp_replace(marks, r"[^*]*+$", ""), r"\*", -1)
     start = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<first:int,stop:int>>").alias("out"))
 
     def step(s: Column, stretch: Column) -> Column:
