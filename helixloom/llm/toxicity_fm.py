@@ -30,11 +30,14 @@ from . import labelled
 from .common import text_of
 
 SLOTS, RANK = 1 << 20, 4
-EPOCHS, BATCH, RATE, DECAY, SPREAD = 20, 128, 0.15, 1e-5, 0.02
+EPOCHS, BATCH, RATE, SPREAD = 20, 128, 0.15, 0.02
+#: Shrinkage of the linear weights of telling terms and of the others, and of
+#: all vectors, so that long texts aren't sums of noise.
+DECAY, DECAY_OTHERS, DECAY_PAIRS = 1e-5, 0.1, 0.03
 #: Fewest labelled documents that a term must be in to get weights.
 SUPPORT = 8
 #: Standard errors by which a term's share of toxic documents must differ from
-#: the others' for it to get weights, so that long texts aren't sums of noise.
+#: the others' for its linear weight to be all but free.
 CONTRAST = 4.5
 PREFIXES = (4, 5)
 REMEMBERED = 400_000
@@ -96,23 +99,26 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(slots, starts)[0], -30, 30)))
 
 
-def telling(slots: np.ndarray, starts: np.ndarray, y: np.ndarray, size: int, support: int) -> np.ndarray:
-    """The slots with support whose presence goes with the label."""
-    has = np.bincount(slots, minlength=size)
+def telling(has: np.ndarray, slots: np.ndarray, starts: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The slots whose presence goes with the label."""
     toxic = np.bincount(slots, np.repeat(y, np.diff(starts)), size)
     n, n1 = len(y), max(1.0, y.sum())
     share = has / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / max(1.0, n - n1)))
-    return (has >= support) & (np.abs(toxic / n1 - (has - toxic) / max(1.0, n - n1)) >= CONTRAST * error)
+    return np.abs(toxic / n1 - (has - toxic) / max(1.0, n - n1)) >= CONTRAST * error
 
 
 def fit(slots: np.ndarray, starts: np.ndarray, y: np.ndarray, size: int = SLOTS, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7, support: int = SUPPORT) -> Machine:
-    """AdaGrad over shuffled batches; only slots that a batch has are touched."""
+    """AdaGrad over shuffled batches; only slots that a batch has are touched.
+    All terms with support have a weight and a vector: two that tell nothing
+    alone may do so together."""
     rng = np.random.default_rng(seed)
     m = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
     if not len(y):
         return m
-    frequent = telling(slots, starts, y, size, support)
+    has = np.bincount(slots, minlength=size)
+    frequent = has >= support
+    decay = np.where(telling(has, slots, starts, y, size), DECAY, DECAY_OTHERS).astype(np.float32)
     kept = frequent[slots]
     starts = np.concatenate(([0], np.cumsum(kept)))[starts]
     slots = slots[kept]
@@ -133,13 +139,13 @@ def fit(slots: np.ndarray, starts: np.ndarray, y: np.ndarray, size: int = SLOTS,
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]) / len(rows)
             each = np.repeat(slope, n)
             used, where = np.unique(here, return_inverse=True)
-            g_w = np.bincount(where, each, len(used)) + DECAY * m.w[used]
+            g_w = np.bincount(where, each, len(used)) + decay[used] * m.w[used]
             lean = each[:, None] * (np.repeat(sums, n, axis=0) - m.v[here])
-            g_v = np.stack([np.bincount(where, lean[:, k], len(used)) for k in range(rank)], 1) + DECAY * m.v[used]
+            g_v = np.stack([np.bincount(where, lean[:, k], len(used)) for k in range(rank)], 1) + DECAY_PAIRS * m.v[used]
             past_w[used] += (g_w * len(rows)) ** 2
             past_v[used] += (g_v * len(rows)) ** 2
             m.w[used] -= RATE * len(rows) * g_w / np.sqrt(past_w[used])
-            m.v[used] -= 0.2 * RATE * len(rows) * g_v / np.sqrt(past_v[used])
+            m.v[used] -= 0.4 * RATE * len(rows) * g_v / np.sqrt(past_v[used])
             g_b = slope.sum() * len(rows)
             past_b += g_b**2
             m.bias -= RATE * g_b / np.sqrt(past_b)

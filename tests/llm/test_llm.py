@@ -132,6 +132,20 @@ def test_machine_learns_a_pair():
     assert ((m.score(slots, starts) >= 0.5) == (y == 1)).all()
 
 
+def test_machine_learns_a_pair_without_marginals():
+    """Either of two terms is toxic, both or none aren't, among 30 others."""
+
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        sets = [np.concatenate((np.flatnonzero(rng.random(2) < 0.5), 2 + np.sort(rng.choice(200, 30, replace=False)))) for _ in range(n)]
+        y = np.array([float((0 in s[:2]) != (1 in s[:2])) for s in sets])
+        return np.concatenate(sets).astype(np.int32), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), y
+
+    m = toxicity_fm.fit(*made(4000, 1), size=256)
+    slots, starts, y = made(1000, 2)
+    assert ((m.score(slots, starts) >= 0.5) == (y == 1)).mean() > 0.75
+
+
 def test_ogg(spark, odd, none):
     for n in (0, 1, 63, 64, 2048, 70_000, 300_001):
         raw = random.Random(n).randbytes(n)
