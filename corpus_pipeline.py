@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixloom.llm import exact_dedup, mixing, packing, quality_gam, simhash_dedup
-from helixloom.llm.common import stored, table
+from helixloom.llm.common import as_written, stored, table
 from helixloom.llm.queries import tokenizer_path
 
 
@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, in the order of the mix."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of training sequences; their ids follow the order of the mix."""
+    return packing.pack(as_written(docs), tokenizer_path())
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """A table read from the files of one write, in the order in which its
+    partitions and rows were written; Spark deals files out by size. Frames
+    that don't come from files are in their partitions' order already."""
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    try:
+        placed = df.select("*", number.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return df
+    order = ("_part", "_file", "_row")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`stored`."""
     jvm = spark._jvm

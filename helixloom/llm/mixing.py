@@ -35,8 +35,6 @@ BLOCK_ROWS = 16
 #: Default weights: a source's share of rows to this power, evened out.
 TEMPERATURE = 0.5
 SALT_DIGITS = 3
-#: Slots that are written together, in order.
-CHUNK_SLOTS = 512
 
 
 def tickets(sizes: DataFrame, cycle: int = CYCLE, weight: Column | None = None) -> DataFrame:
@@ -102,8 +100,8 @@ def placements(docs: DataFrame, **options) -> DataFrame:
     return schedule(docs.select("doc_id", "source", F.lit(None).cast("string").alias("text")), **options).drop("row")
 
 
-def mix(docs: DataFrame, chunk_slots: int = CHUNK_SLOTS, **options) -> DataFrame:
-    """The rows, all columns, in the order of the schedule: runs of
-    ``chunk_slots`` slots lie in one partition, in order."""
-    placed = schedule(docs, **options).withColumn("chunk", F.expr(f"slot div {chunk_slots}"))
-    return placed.repartition("chunk").sortWithinPartitions("chunk", "slot", "source_rank").select("row.*")
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows, all columns, in the order of the schedule: partitions are
+    ranges of slots, in order, and so are the rows in each."""
+    order = ("slot", "source_rank")
+    return schedule(docs, **options).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

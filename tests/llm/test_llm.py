@@ -321,6 +321,26 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.placements(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mix_order_reaches_the_sequences(spark):
+    """Over several partitions and files, of which Spark reads the largest first."""
+    import corpus_pipeline as P
+
+    rows = [(i, f"word{i} " * (1 + i * i % 97), "en", "abbccccdddddddd"[i % 15], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.files.maxPartitionBytes", "20000"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(key, value)
+    try:
+        mixed = mixing.mix(docs, block_rows=1)
+        want = [r.doc_id for r in mixing.placements(docs, block_rows=1).orderBy("slot", "source_rank").collect()]
+        again = P.stored(mixed, "mixing")
+        assert len(again.inputFiles()) > 1
+        pieces = P.packed(spark, again, SF).orderBy("sequence_id", "offset").collect()
+    finally:
+        for key in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
+    assert list(dict.fromkeys(r.doc_id for r in pieces)) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
