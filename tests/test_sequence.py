@@ -74,3 +74,14 @@ def test_short_hits_overlap(spark):
     q = spark.createDataFrame([("c", "T" + "ACACACACACACACAC" + "G")], "query string, qseq string")
     r = spark.createDataFrame([("s", "ACACACACACACAC", 1)], "ref string, rseq string, strand int")
     assert sorted(h.qstart for h in identify.short_hits(q, r).collect()) == [2, 4]
+
+
+def test_identify_finds_short_parts(spark):
+    """A part of 15 bases on both strands beside a long one."""
+    short, long = random_seq(15, 7), random_seq(120, 8)
+    rc = short[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    construct = random_seq(40, 1) + short + random_seq(33, 2) + long + random_seq(21, 3) + rc + random_seq(30, 4) + "A" * 20
+    q = spark.createDataFrame([("c", construct)], "query string, qseq string")
+    r = spark.createDataFrame([("rbs", short.lower()), ("p", long), ("plain", "A" * 12)], "ref string, seq string")
+    got = sorted((b.ref, b.qstart, b.qend, b.strand, b.pident, b.cov, b.bit, b.ref_length, b.indel) for b in identify.identify(q, r).collect())
+    assert got == [("p", 89, 208, 1, 100.0, 1.0, 240, 120, 0), ("rbs", 41, 55, 1, 100.0, 1.0, 30, 15, 0), ("rbs", 230, 244, -1, 100.0, 1.0, 30, 15, 0)]
