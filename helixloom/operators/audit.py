@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
 
+from .identify import LOCI
+
 RANK = {"FAIL": 0, "FLAG": 1, "SKIP": 2, "NOTE": 3, "PASS": 4}
 CODING = ("cds", "reporter", "gene")
 
@@ -43,6 +45,14 @@ def block_findings(blocks: DataFrame) -> DataFrame:
     return blocks.select("record", "block", F.explode(found).alias("f")).select("record", "block", "f.category", "f.status")
 
 
+def partial_findings(blocks: DataFrame, loci: int = LOCI) -> DataFrame:
+    """(record, category, status, ref, places): a FLAG for each identified
+    reference (query, ref, n_diagonals) that seeds more places than were
+    compared, so that a further copy is not taken as checked."""
+    per = blocks.groupBy(F.col("query").alias("record"), "ref").agg(F.max("n_diagonals").alias("places")).where(F.col("places") > loci)
+    return per.select("record", F.lit("identification-partial").alias("category"), F.lit("FLAG").alias("status"), "ref", "places")
+
+
 def frame_note(net: Column) -> Column:
     return F.when(F.abs(net) % 3 == 0, "frame kept").otherwise("frame shifted")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import identify
+from helixloom.operators import audit, identify
 
 
 def one(spark, expr, **values):
@@ -85,3 +85,11 @@ def test_identify_finds_short_parts(spark):
     r = spark.createDataFrame([("rbs", short.lower()), ("p", long), ("plain", "A" * 12)], "ref string, seq string")
     got = sorted((b.ref, b.qstart, b.qend, b.strand, b.pident, b.cov, b.bit, b.ref_length, b.indel) for b in identify.identify(q, r).collect())
     assert got == [("p", 89, 208, 1, 100.0, 1.0, 240, 120, 0), ("rbs", 41, 55, 1, 100.0, 1.0, 30, 15, 0), ("rbs", 230, 244, -1, 100.0, 1.0, 30, 15, 0)]
+
+
+def test_a_fifth_copy_is_reported(spark):
+    part, other = random_seq(60, 5), random_seq(60, 6)
+    q = spark.createDataFrame([("five", "".join(part + random_seq(20, 50 + i) for i in range(5)) + other), ("four", "".join(part + random_seq(20, 50 + i) for i in range(4)))], "query string, qseq string")
+    r = spark.createDataFrame([("p", part), ("o", other)], "ref string, seq string")
+    got = audit.partial_findings(identify.identify(q, r)).collect()
+    assert [(f.record, f.category, f.status, f.ref, f.places) for f in got] == [("five", "identification-partial", "FLAG", "p", 5)]
