@@ -11,9 +11,14 @@ between. Merged runs are deleted after the commit by :func:`vacuum`.
 Built-in functions only; merging reads files side by side without a shuffle.
 The manifest has a line per run, not per row or file.
 
+Runs may have different columns. A manifest line holds its run's schema, and
+a version is read with the columns of all its runs, in the order in which they
+came: rows of a run without a column have null there. A run whose column has
+another type than before is refused.
+
 Defined results: appending no rows commits nothing; rows are stored as they
-are, nulls, repeats and any columns included; a job that fails leaves files
-that no manifest names.
+are, nulls, empty and long texts, repeats and columns of any name included; a
+job that fails leaves files that no manifest names.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
@@ -31,6 +37,17 @@ LEAST_BYTES = 1 << 20
 ARRIVAL = "_arrival"
 
 
+def union_schema(runs: list[dict]) -> StructType:
+    """The columns of all runs in the order in which they came."""
+    found: dict[str, object] = {}
+    for r in runs:
+        for f in StructType.fromJson(r["schema"]):
+            had = found.setdefault(f.name.lower(), f)
+            if had.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name} is {f.dataType.simpleString()} and was {had.dataType.simpleString()}")
+    return StructType([StructType().add(f.name, f.dataType, True)[0] for f in found.values()])
+
+
 class ShardStore:
     """A table of runs below one folder of any file system Spark can write."""
 
@@ -80,31 +97,41 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(1, size) / self.least_bytes, self.fan_in)))
 
-    def _written(self, folder: str) -> list[dict]:
-        """Runs in a folder just written: one to an arrival."""
+    def _written(self, folder: str, schema: StructType, arrival: str = "") -> list[dict]:
+        """Runs in a folder just written: one to a value of ``arrival``."""
         files = self.spark.read.parquet(f"{self.root}/{folder}").groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n"))
-        part = F.regexp_extract("file_path", f"/({ARRIVAL}=[^/]*)/", 1)
+        part = F.regexp_extract("file_path", f"/({arrival}=[^/]*)/", 1) if arrival else F.lit("")
         found = files.groupBy(part.alias("part")).agg(F.sum("n").alias("rows"), F.sum("file_size").alias("bytes"), F.count("*").alias("files")).orderBy("part").collect()
-        return [{"path": f"{folder}/{r.part}".rstrip("/"), "rows": r.rows, "bytes": r.bytes, "files": r.files, "tier": self.tier(r.bytes)} for r in found]
+        return [{"path": f"{folder}/{r.part}".rstrip("/"), "rows": r.rows, "bytes": r.bytes, "files": r.files, "tier": self.tier(r.bytes), "schema": schema.jsonValue()} for r in found]
 
     def append(self, arrivals: DataFrame, arrival: Column | None = None) -> int:
         """Adds rows as a run, or as a run for each value of ``arrival``.
 
         Each task writes what it has read; nothing is shuffled. A commit that
         another writer overtakes is tried again on top of the other's."""
-        folder = f"run-{uuid.uuid4().hex}"
+        folder, schema = f"run-{uuid.uuid4().hex}", arrivals.schema
+        union_schema([*self.runs(), {"schema": schema.jsonValue()}])  # refuses before anything is written
+        name = ARRIVAL
+        while name.lower() in {c.lower() for c in arrivals.columns}:
+            name += "_"
         if arrival is None:
             arrivals.write.parquet(f"{self.root}/{folder}")
+            runs = self._written(folder, schema)
         else:
-            arrivals.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).parquet(f"{self.root}/{folder}")
-        runs = self._written(folder) if arrival is None or self._fs().listStatus(self._path(folder))[0].isDirectory() else []
+            # folders are named by a hash, so that any value makes a path
+            dealt = arrivals.withColumn(name, F.md5(F.coalesce(arrival.cast("string"), F.lit(""))))
+            dealt.write.partitionBy(name).parquet(f"{self.root}/{folder}")
+            some = any(f.isDirectory() for f in self._fs().listStatus(self._path(folder)))
+            runs = self._written(folder, schema, name) if some else []
         return self._committed(lambda old: [*old, *runs]) if any(r["rows"] for r in runs) else self.version()
 
     def _committed(self, change) -> int:
         for _ in range(20):
             version = self.version()
             try:
-                return self.commit(change(self.runs(version)), version)
+                runs = change(self.runs(version))
+                union_schema(runs)  # another writer may have brought a column of another type
+                return self.commit(runs, version)
             except Exception as e:
                 if "FileAlreadyExists" not in str(e):
                     raise
@@ -129,7 +156,7 @@ class ShardStore:
         folder = f"run-{uuid.uuid4().hex}"
         count = max(1, math.ceil(sum(r["bytes"] for r in group) / self.target_bytes))
         self._rows(group).coalesce(count).write.parquet(f"{self.root}/{folder}")
-        made, gone = self._written(folder), {r["path"] for r in group}
+        made, gone = self._written(folder, union_schema(group)), {r["path"] for r in group}
 
         def change(old: list[dict]) -> list[dict]:
             if not gone <= {r["path"] for r in old}:
@@ -139,7 +166,7 @@ class ShardStore:
         return self._committed(change)
 
     def _rows(self, runs: list[dict]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{r['path']}" for r in runs])
+        return self.spark.read.schema(union_schema(runs)).parquet(*[f"{self.root}/{r['path']}" for r in runs])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by its manifest."""
