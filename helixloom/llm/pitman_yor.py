@@ -22,6 +22,9 @@ in chunks, a chunk sends each (word, context) that it has once to the word's
 bucket, with its count in training texts, and gets a probability back. Common
 words therefore cost a bucket one entry per chunk and context, not per token.
 
+What is drawn depends on word, restaurant and sweep alone, so scores don't
+change with the number of partitions, buckets or chunks.
+
 Defined results: a null or blank text has the end token alone; repeated rows
 count and are scored each; without training texts every probability is the
 uniform one; a null doc_id is in training. Words are told apart by 64-bit
@@ -190,26 +193,67 @@ class Totals:
     tables: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS + PARENTS + 1, np.int64))
 
 
-def reseat(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """64-bit keys mixed so that near ones have nothing in common."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
+    """The ``draw``-th random number of each key, above 0 and below 1. What a
+    dish draws depends on its word and restaurant alone, not on what it is
+    kept or worked on with."""
+    with np.errstate(over="ignore"):
+        mixed = scrambled(keys + GOLDEN * np.uint64(draw + 1))
+    return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def binomial(keys: np.ndarray, draw: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Successes in ``n`` trials: by inversion where the variance is small,
+    else the normal value rounded."""
+    u, q = uniform(keys, draw), np.minimum(p, 1 - p)
+    variance = n * q * (1 - q)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(keys, draw + 1))
+    got = np.clip(np.rint(n * q + z * np.sqrt(variance)), 0, n)
+    small = np.flatnonzero(variance < 9)
+    k, mass = np.zeros(len(small)), (1 - q[small]) ** n[small]
+    odds, left = q[small] / (1 - q[small]), u[small] - mass
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        k[rows] += 1
+        mass[rows] *= odds[rows] * (n[small][rows] - k[rows] + 1) / k[rows]
+        left[rows] -= mass[rows]
+        rows = rows[(left[rows] > 0) & (k[rows] < n[small][rows]) & (mass[rows] > 0)]
+    got[small] = k
+    return np.where(p > 0.5, n - got, got).astype(np.int64)
+
+
+def reseat(keys: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
     """Tables taken when each dish's ``customers`` sit down one by one.
 
     ``weight`` is (strength + discount * tables of the restaurant) times the
     dish's probability in the parent: with n seated at t tables the next opens
-    a table with odds ``weight`` to ``n - discount * t``.
+    a table with odds ``weight`` to ``n - discount * t``. ``keys`` seed what
+    each dish draws.
     """
     tables = np.minimum(customers, 1)
     rows, seated = np.flatnonzero(customers > 1), 1
     while len(rows) and seated < EXACT:
         w, t = weight[rows], tables[rows]
-        tables[rows] = t + (rng.random(len(rows)) * (w + seated - discount * t) < w)
+        tables[rows] = t + (uniform(keys[rows], seated) * (w + seated - discount * t) < w)
         seated += 1
         rows = rows[customers[rows] > seated]
-    n = np.full(len(rows), seated)
+    n, draw = np.full(len(rows), seated), EXACT
     while len(rows):
         step = np.minimum(customers[rows] - n, n // 16)
         w, t = weight[rows], tables[rows]
-        tables[rows] = t + rng.binomial(step, w / (w + n + step / 2 - discount * t))
-        n = n + step
+        tables[rows] = t + binomial(keys[rows], draw, step, w / (w + n + step / 2 - discount * t))
+        n, draw = n + step, draw + 2
         left = customers[rows] > n
         rows, n = rows[left], n[left]
     return tables
@@ -230,6 +274,8 @@ class Seating:
         word1 = self.middle // PARENTS
         self.starts1 = np.flatnonzero(np.diff(word1, prepend=-1))
         self.row0 = word1
+        below = words[word1] if len(counts) else words
+        self.keys = (scrambled(words[word] ^ scrambled(self.context.astype(np.uint64) + np.uint64(1))), scrambled(below ^ scrambled(self.parent.astype(np.uint64) + np.uint64(1 << 32))), scrambled(words[word1[self.starts1]]) if len(counts) else words)
         self.seat(np.minimum(counts, 1), None, None)
 
     def seat(self, t2: np.ndarray, t1: np.ndarray | None, t0: np.ndarray | None) -> None:
@@ -249,13 +295,14 @@ class Seating:
         x.customers[-1], x.tables[-1] = self.c0.sum(), self.t0.sum()
         return x
 
-    def sweep(self, rng: np.random.Generator, all_: Totals, d: tuple[float, float, float], base: float) -> None:
+    def sweep(self, number: int, all_: Totals, d: tuple[float, float, float], base: float) -> None:
         p0, p1, _ = self.probabilities(all_, d, base)
-        t2 = reseat(rng, self.counts, (STRENGTH + d[2] * all_.tables[self.context]) * p1[self.row1], d[2])
+        k2, k1, k0 = (scrambled(k + np.uint64(number)) for k in self.keys)
+        t2 = reseat(k2, self.counts, (STRENGTH + d[2] * all_.tables[self.context]) * p1[self.row1], d[2])
         self.seat(t2, None, None)
-        t1 = reseat(rng, self.c1, (STRENGTH + d[1] * all_.tables[CONTEXTS + self.parent]) * p0[self.row0], d[1])
+        t1 = reseat(k1, self.c1, (STRENGTH + d[1] * all_.tables[CONTEXTS + self.parent]) * p0[self.row0], d[1])
         self.seat(t2, t1, None)
-        t0 = reseat(rng, self.c0, np.full(len(self.c0), (STRENGTH + d[0] * all_.tables[-1]) * base), d[0])
+        t0 = reseat(k0, self.c0, np.full(len(self.c0), (STRENGTH + d[0] * all_.tables[-1]) * base), d[0])
         self.seat(t2, t1, t0)
 
     def probabilities(self, all_: Totals, d: tuple[float, float, float], base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +327,7 @@ def backing(all_: Totals, d: tuple[float, float, float]) -> tuple[float, np.ndar
 @dataclass
 class Fitted:
     """The totals after each sweep; with a bucket's counts they give its
-    seating again, as sweeps draw from the bucket's own seed."""
+    seating again, as what is drawn depends on words and sweeps alone."""
 
     tokens: int = 0
     words: int = 0
@@ -295,10 +342,9 @@ class Fitted:
         """A bucket's seating at the start and after each sweep, with the
         totals of the same state if they are known yet."""
         s = Seating(loosen(row["words"], np.uint64), loosen(row["per_word"], np.uint16), loosen(row["contexts"], np.uint16), loosen(row["counts"], np.int64))
-        rng = np.random.default_rng([row["bucket"], 11])
         yield s, self.sweeps[0] if self.sweeps else None
         for i, all_ in enumerate(self.sweeps):
-            s.sweep(rng, all_, self.discounts, self.base)
+            s.sweep(i, all_, self.discounts, self.base)
             yield s, self.sweeps[i + 1] if i + 1 < len(self.sweeps) else None
 
 
