@@ -95,22 +95,25 @@ ORACLES = {
         WITH RECURSIVE r AS (
           SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS source_rank
           FROM documents),
-        n AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source),
-        t AS (SELECT source, greatest(1, round({mixing.CYCLE} * w / (SELECT sum(w) FROM n)))::BIGINT AS q FROM n),
-        l AS (SELECT list(q ORDER BY source NULLS FIRST) AS qs, list(source ORDER BY source NULLS FIRST) AS ss, sum(q)::BIGINT AS total FROM t),
+        n AS (SELECT source, sqrt(count(*)) AS x, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS blocks FROM documents GROUP BY source),
+        t AS (SELECT source, blocks, greatest({mixing.LEAST}, round({mixing.RESOLUTION} * (x / (SELECT sum(x) FROM n))))::BIGINT AS w FROM n),
+        l AS (SELECT list(w ORDER BY source NULLS FIRST) AS ws, list(blocks ORDER BY source NULLS FIRST) AS bs, list(source ORDER BY source NULLS FIRST) AS ss, sum(w)::BIGINT AS total FROM t),
+        z AS (SELECT max((blocks * total + w - 1) // w)::BIGINT AS slots, greatest({mixing.CYCLE}, max((total + w - 1) // w))::BIGINT AS cycle FROM t, l),
+        c AS (
+          SELECT cut, i, ws[i] * cut // total AS whole, row_number() OVER (PARTITION BY cut ORDER BY ws[i] * cut % total DESC, i) AS place,
+                 cut - sum(ws[i] * cut // total) OVER (PARTITION BY cut) AS ahead
+          FROM (SELECT unnest(range(0, slots // cycle + 1)) * cycle + cycle AS cut FROM z), (SELECT unnest(range(1, len(ws) + 1)) AS i FROM l), l),
+        b AS (SELECT cut, list(least(bs[i], whole + (place <= ahead)::BIGINT)::BIGINT ORDER BY i) AS last FROM c, l GROUP BY cut),
         e AS (
-          SELECT 0::BIGINT AS slot, list_transform(qs, lambda x: 0::BIGINT) AS done, 0::BIGINT AS i FROM l
+          SELECT 0::BIGINT AS slot, list_transform(ws, lambda x: 0::BIGINT) AS done, 0::BIGINT AS i FROM l
           UNION ALL
-          SELECT slot + 1, list_transform(range(1, len(qs) + 1), lambda j: CASE WHEN j = b.i THEN done[j] + 1 ELSE done[j] END), b.i
-          FROM e, l, LATERAL (
-            SELECT list_min(list_transform(range(1, len(qs) + 1), lambda j:
-              CASE WHEN done[j] < qs[j] AND done[j] * total // qs[j] <= slot
-                   THEN {{'due': ((done[j] + 1) * total + qs[j] - 1) // qs[j], 'i': j}} END)).i AS i) b
-          WHERE slot < total),
-        k AS (SELECT ss[i] AS source, qs[i] AS q, total, slot - 1 AS slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS k FROM e, l WHERE slot > 0)
-        SELECT r.doc_id, r.source, r.source_rank, r.source_rank // {mixing.BLOCK_ROWS} AS block,
-               r.source_rank // {mixing.BLOCK_ROWS} // k.q * k.total + k.k * k.total // k.q AS release,
-               r.source_rank // {mixing.BLOCK_ROWS} // k.q * k.total + ((k.k + 1) * k.total + k.q - 1) // k.q AS due,
-               r.source_rank // {mixing.BLOCK_ROWS} // k.q * k.total + k.slot AS slot
-        FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.source_rank // {mixing.BLOCK_ROWS} % k.q = k.k""",
+          SELECT slot + 1, list_transform(range(1, len(ws) + 1), lambda j: CASE WHEN j = g.i THEN done[j] + 1 ELSE done[j] END), g.i
+          FROM e, l, z, b, LATERAL (
+            SELECT list_min(list_transform(range(1, len(ws) + 1), lambda j:
+              CASE WHEN done[j] < last[j] AND done[j] * total // ws[j] <= slot
+                   THEN {{'due': least(cut, ((done[j] + 1) * total + ws[j] - 1) // ws[j]), 'i': j}} END)).i AS i) g
+          WHERE slot < slots AND cut = slot // cycle * cycle + cycle),
+        k AS (SELECT ss[i] AS source, ws[i] AS w, total, slot - 1 AS slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS block FROM e, l WHERE i > 0)
+        SELECT r.doc_id, r.source, r.source_rank, k.block, k.block * k.total // k.w AS release, ((k.block + 1) * k.total + k.w - 1) // k.w AS due, k.slot
+        FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.source_rank // {mixing.BLOCK_ROWS} = k.block""",
 }
