@@ -16,8 +16,16 @@ link, and the pivot table then discards. The number of blocks follows the
 number of distinct fingerprints so that chance meetings stay linear; each
 choice is exact. A pair is tested only in the first table where it meets.
 
+Links of a dense ball are emitted one by one, but their number has a bound
+that the data can't raise: at most 1 + 64 + 2016 = 2,081 different
+fingerprints lie within four bits of each other (the ball of radius two), and
+equal fingerprints are one node.
+
 Defined results: a null or blank text has fingerprint zero and is linked like
-any other; repeated rows share a class; an empty table gives an empty result.
+any other; repeated rows share a class, and where they are its first document
+:func:`dedup` keeps each of them; a null doc_id counts as larger than all
+numbers, so a class is named null only if all its ids are; extra columns pass
+through :func:`dedup`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -162,7 +170,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     """One row per document: doc_id, text_key, fp, component_id, and the
     first_key that tells which row of the least doc_id represents the class."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("least")), "nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")), "nodes")
     roots = components(links(nodes, radius))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     best = joined.groupBy("root").agg(F.min("least").alias("first"))

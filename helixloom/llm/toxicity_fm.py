@@ -78,9 +78,13 @@ def rows_of(texts: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive ``starts``; empty ones are 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Sums of ``values`` between consecutive ``starts``, each by itself, so
+    that a text's sum doesn't depend on its batch; empty ones are 0."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(starts))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), starts[some], axis=0)
+    return out
 
 
 @dataclass
