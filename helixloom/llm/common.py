@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders made by :func:`stored` in this process, oldest first.
+TABLES: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary folder is
-    set once for the session and used instead.
+    Where a local session names none (tests, a laptop), a temporary folder is
+    set once and used instead; on a cluster that is an error, as executors
+    would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if not current.isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixloom-"))
         current = sc._jsc.sc().getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or current.get()
+    return named or current.get()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -35,6 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the lineage, survives lost executors, and allows column pruning."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    TABLES.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -52,12 +61,13 @@ def as_written(df: DataFrame) -> DataFrame:
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`stored`."""
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+def drop_stored(spark: SparkSession, since: int) -> None:
+    """Deletes the folders made after the first ``since``, but for the newest,
+    which holds what has been made of the others."""
+    for folder in TABLES[since:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del TABLES[since:-1]
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -183,7 +183,23 @@ def test_sharding(spark, docs, odd, none, tmp_path):
     assert store.read().exceptAll(docs).isEmpty() and docs.exceptAll(store.read()).isEmpty()
     other = sharding.ShardStore(spark, str(tmp_path / "u"))
     other.append(odd, F.coalesce("source", F.lit("none")))
-    assert other.read().drop("_arrival").exceptAll(odd).isEmpty() and len(other.runs()) == 4
+    assert other.read().columns == odd.columns and other.read().exceptAll(odd).isEmpty() and len(other.runs()) == 4
+
+
+def test_sharding_keeps_every_column(spark, tmp_path):
+    """A user's own _arrival, values that are no paths, and runs of different columns."""
+    store = sharding.ShardStore(spark, str(tmp_path / "v"), least_bytes=1 << 30, fan_in=2)
+    first = spark.createDataFrame([(1, "a/b c%"), (2, None)], "id int, _arrival string")
+    store.append(first, F.col("_arrival"))
+    assert store.read().exceptAll(first).isEmpty() and store.read().count() == 2
+    store.append(spark.createDataFrame([(3, 1.5)], "ID int, extra double"))
+    want = {(1, "a/b c%", None), (2, None, None), (3, None, 1.5)}
+    assert {tuple(r) for r in store.read().collect()} == want and store.read().columns == ["id", "_arrival", "extra"]
+    store.compact()
+    assert {tuple(r) for r in store.read().collect()} == want and len(store.runs()) == 1
+    with pytest.raises(ValueError, match="column id"):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+    assert store.read().count() == 3
 
 
 def test_simhash(spark, docs, odd, none):
@@ -208,9 +224,6 @@ def test_simhash(spark, docs, odd, none):
 
     for frame in (docs, odd):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-        if frame is odd:  # null ids are smallest to Spark, so a class with one is named null
-            rows = [r for r in rows if r[0] is not None]
-            frame = frame.where("doc_id is not null")
         got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash_dedup.near_groups(frame).collect())
         assert got == brute(rows)
     assert simhash_dedup.near_groups(none).count() == 0 and simhash_dedup.dedup(odd).columns == odd.columns
@@ -276,8 +289,8 @@ def test_probabilities_sum_to_one():
     words, per_word = np.unique(pairs // pitman_yor.CONTEXTS, return_counts=True)
     s = pitman_yor.Seating(words.astype(np.uint64), per_word.astype(np.uint16), (pairs % pitman_yor.CONTEXTS).astype(np.uint16), counts)
     d, base = (0.5, 0.6, 0.7), 1 / (len(words) + 1)
-    for _ in range(3):
-        s.sweep(rng, s.totals(), d, base)
+    for i in range(3):
+        s.sweep(i, s.totals(), d, base)
     all_ = s.totals()
     own0, own1, own2 = s.own(all_, d)
     back0, back1, back2 = pitman_yor.backing(all_, d)
@@ -294,6 +307,7 @@ def test_html(spark, none):
     assert html_text.main_text(page) == want
     plain = page.replace("<article>", "<div>").replace("</article>", "</div>").replace("<header><h1>", "<h1>").replace("</h1></header>", "</h1>")
     assert html_text.main_text(plain) == want
+    assert html_text.main_text("<ul><li><a href=x>only links</a><li><a href=y>here</a></ul>") == ""
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>a < b & c"), (5, "x", "<nav>only")], "page_id bigint, url string, html string")
     got = {r.page_id: r for r in html_text.extract(rows).collect()}
     assert got[1].text == want and got[1].n_chars == len(want) and got[2].text == got[3].text == "" and got[4].text == "a < b & c"
@@ -304,23 +318,72 @@ def test_mixing(spark, docs, odd, none):
     assert len({(r.source, r.source_rank) for r in rows}) == docs.count()
     blocks = sorted({(r.slot, r.source, r.block, r.release, r.due) for r in rows})
     assert len({b[0] for b in blocks}) == len(blocks) and all(r[3] <= r[0] < r[4] for r in blocks)
-    q = {r.source: r.q for r in mixing.tickets(docs.groupBy("source").agg(F.count("*").alias("rows")), 40).collect()}
-    done, total = Counter(), sum(q.values())
-    for slot, source, *_ in blocks:
-        if slot >= total:
+    weights = {r.source: r.n**0.5 for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    left = Counter(b[1] for b in blocks)
+    done, at = Counter(), {b[0]: b[1] for b in blocks}
+    for t in range(1, blocks[-1][0] + 2):  # from the target itself, while every source has rows
+        done[at.get(t - 1)] += 1
+        if any(done[s] == left[s] for s in weights):
             break
-        done[source] += 1
-    plan = mixing.one_cycle(mixing.tickets(docs.groupBy("source").agg(F.count("*").alias("rows")), 40)).orderBy("slot").collect()
-    assert [r.slot for r in plan] == list(range(total))
-    run = Counter()
-    for t, r in enumerate(plan, 1):
-        run[r.source] += 1
-        assert all(abs(run[s] - q[s] * t / total) < 1 for s in q)
+        assert all(abs(done[s] - w * t / sum(weights.values())) < 1 for s, w in weights.items())
+    assert t > 40
     mixed = mixing.mix(odd, block_rows=1, cycle=4)
     assert mixed.columns == odd.columns and mixed.exceptAll(odd).isEmpty() and odd.exceptAll(mixed).isEmpty()
     assert mixing.placements(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_keeps_to_any_target(spark):
+    """Small and odd weights over many cycles, against a plain simulation."""
+    rng = random.Random(4)
+    for n, cycle in ((2, 8), (7, 16), (12, 64)):
+        given = [rng.random() ** 3 + 4e-4 for _ in range(n)]
+        sizes = spark.createDataFrame([(f"s{i:02}", 200) for i in range(n)], "source string, rows bigint")
+        weight = F.create_map(*[F.lit(x) for i, w in enumerate(given) for x in (f"s{i:02}", w)])[F.col("source")]
+        target = mixing.targets(sizes, 1, weight, cycle)
+        found = {r.slot: r for r in mixing.timetable(target).collect()}
+        assert len(found) == 200 * n
+        t = target.first()
+        cycle = t.slots
+        w, total, done = [x.w for x in t.s], t.total, [0] * n
+        for slot in range(max(found) + 1):
+            end, last = (slot // cycle + 1) * cycle, []
+            rest = sorted(range(n), key=lambda i: (-(w[i] * end % total), i))[: end - sum(x * end // total for x in w)]
+            last = [min(200, w[i] * end // total + (i in rest)) for i in range(n)]
+            ready = [(min(end, -(-(done[i] + 1) * total // w[i])), i) for i in range(n) if done[i] < last[i] and done[i] * total // w[i] <= slot]
+            assert (slot in found) == bool(ready)
+            if ready:
+                i = min(ready)[1]
+                r = found[slot]
+                assert (r.source, r.block) == (f"s{i:02}", done[i]) and r.release <= slot < r.due
+                done[i] += 1
+            if max(done) < 200:
+                assert all(abs(d - x / sum(given) * (slot + 1)) < 1 for d, x in zip(done, given))
+
+
+def test_cycles_join_without_a_missed_window():
+    """The rule of the largest remainder over many weights, by itself."""
+    rng = random.Random(9)
+    for _ in range(150):
+        n, cycle = rng.randint(2, 25), rng.choice([5, 16, 40])
+        w = [int((rng.random() ** 3 + 0.01) * 10**6) for _ in range(n)]
+        total, done = sum(w), [0] * n
+        cycle = max(cycle, -(-total // min(w)))
+        for slot in range(cycle * 3):
+            end = (slot // cycle + 1) * cycle
+            rest = sorted(range(n), key=lambda i: (-(w[i] * end % total), i))[: end - sum(x * end // total for x in w)]
+            ready = [(min(end, -(-(done[i] + 1) * total // w[i])), i) for i in range(n) if done[i] < w[i] * end // total + (i in rest) and done[i] * total // w[i] <= slot]
+            due, i = min(ready)
+            assert due > slot
+            done[i] += 1
+            assert all(abs(d * total - x * (slot + 1)) < total for d, x in zip(done, w))
+
+
+def test_mix_keeps_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "x", "en", "a", 1)] * 40 + [(None, "y", None, None, 1)] * 3 + [(2, "", "en", "b", 0)], SCHEMA)
+    mixed = mixing.mix(rows, block_rows=2, weight=F.when(F.col("source") == "a", -1.0))
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, rows.collect()))
+
+
 def test_mix_order_reaches_the_sequences(spark):
     """Over several partitions and files, of which Spark reads the largest first."""
     import corpus_pipeline as P
@@ -341,8 +404,9 @@ def test_mix_order_reaches_the_sequences(spark):
     assert list(dict.fromkeys(r.doc_id for r in pieces)) == want
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
     import corpus_pipeline as P
+    from tokenizers import Tokenizer
 
     out = P.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -353,3 +417,182 @@ def test_pipeline(spark, tmp_path):
         kept[name] = {r.doc_id for r in frame.collect()}
         assert frame.columns == docs.columns
     assert kept["exact_dedup"] <= kept["quality"] and kept["near_dedup"] <= kept["exact_dedup"] and kept["mixing"] == kept["near_dedup"] == {r.doc_id for r in out}
+    order = list(dict.fromkeys(r.doc_id for r in sorted(out, key=lambda r: (r.sequence_id, r.offset))))
+    assert order == [r.doc_id for r in frame.collect()]
+    library, texts = Tokenizer.from_file(tokenizer_path()), {r.doc_id: r.text for r in frame.collect()}
+    for doc_id in order:  # every kept text is covered once, from end to end
+        ids = np.array(library.encode(texts[doc_id], add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for r in sorted((r for r in out if r.doc_id == doc_id), key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, odd, none):
+    import corpus_pipeline as P
+
+    marks = spark.createDataFrame([(4, 1, 0), (1, None, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for name, frame in (("odd", odd), ("none", none)):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / name / "labels.parquet"))
+        ids = {r.doc_id for r in P.run(spark, str(tmp_path / name)).collect()}
+        assert ids == (set() if name == "none" else {2, 5, 7, 8, None})
+
+
+def test_pitman_yor_does_not_change_with_the_session(spark, docs):
+    scores = []
+    for partitions, chunk in (("4", 4_000_000), ("9", 5000)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        scores.append({r.doc_id: r.score for r in pitman_yor.language_scores(docs, labelled.fold(7, 2), chunk_tokens=chunk, bucket_bytes=1 << 14).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and len(scores[0]) == docs.count()
+
+
+def naive_scores(texts, training, sweeps=pitman_yor.SWEEPS):
+    """The model by dictionaries and one customer at a time, for counts below EXACT."""
+    P, key = pitman_yor, lambda x: np.array([x], np.uint64)
+    digest = lambda w: P.xxhash.xxh64_intdigest(w, 0)
+    pairs = [[(w, P.context_of(v)) for v, w in zip([b"", *t], t)] for t in texts]
+    c2 = Counter(x for p, t in zip(pairs, training) if t for x in p)
+    t2 = {x: 1 for x in c2}
+    up1 = lambda t: Counter({y: sum(n for (w, c), n in t.items() if (w, c // P.CHILDREN) == y) for y in {(w, c // P.CHILDREN) for w, c in t}})
+    up0 = lambda t: Counter({w: sum(n for (v, _), n in t.items() if v == w) for w in {v for v, _ in t}})
+    c1 = up1(t2)
+    t1 = {x: 1 for x in c1}
+    c0 = up0(t1)
+    t0 = {x: 1 for x in c0}
+    base = 1 / (len(c0) + 1)
+    d = [min(0.95, max(0.05, (v := list(c.values())).count(1) / max(1, v.count(1) + 2 * v.count(2)))) for c in (c0, c1, c2)]
+
+    def sums(c, r):
+        got = Counter()
+        for x, n in c.items():
+            got[r(x)] += n
+        return got
+
+    def probability(state, w, c):
+        c0, t0, c1, t1, c2, t2, n0, m0, n1, m1, n2, m2 = state
+        p = (c0.get(w, 0) - d[0] * t0.get(w, 0) + (P.STRENGTH + d[0] * m0) * base) / (P.STRENGTH + n0)
+        y = (w, c // P.CHILDREN)
+        p1 = (c1.get(y, 0) - d[1] * t1.get(y, 0) + (P.STRENGTH + d[1] * m1[y[1]]) * p) / (P.STRENGTH + n1[y[1]])
+        return p, p1, (c2.get((w, c), 0) - d[2] * t2.get((w, c), 0) + (P.STRENGTH + d[2] * m2[c]) * p1) / (P.STRENGTH + n2[c])
+
+    def state():
+        r = lambda x: x[1]
+        return (dict(c0), dict(t0), dict(c1), dict(t1), c2, dict(t2), sum(c0.values()), sum(t0.values()), sums(c1, r), sums(t1, r), sums(c2, r), sums(t2, r))
+
+    def seat(k, n, weight, discount):
+        tables = min(n, 1)
+        for seated in range(1, n):
+            tables += int(P.uniform(k, seated)[0] * (weight + seated - discount * tables) < weight)
+        return tables
+
+    scramble = P.scrambled
+    total = [np.zeros(len(p)) for p in pairs]
+    for sweep in range(sweeps):
+        s, one = state(), np.uint64(sweep)
+        t2 = {(w, c): seat(scramble(scramble(key(digest(w)) ^ scramble(key(c + 1))) + one), n, (P.STRENGTH + d[2] * s[11][c]) * probability(s, w, c)[1], d[2]) for (w, c), n in c2.items()}
+        c1 = up1(t2)
+        t1 = {(w, y): seat(scramble(scramble(key(digest(w)) ^ scramble(key(y + (1 << 32)))) + one), n, (P.STRENGTH + d[1] * s[9][y]) * probability(s, w, y * P.CHILDREN)[0], d[1]) for (w, y), n in c1.items()}
+        c0 = up0(t1)
+        t0 = {w: seat(scramble(scramble(key(digest(w))) + one), n, (P.STRENGTH + d[0] * s[7]) * base, d[0]) for w, n in c0.items()}
+        now = state()
+        total = [a + [probability(now, w, c)[2] for w, c in p] for a, p in zip(total, pairs)]
+    return [float(np.log10(x / sweeps).sum()) for x in total]
+
+
+def test_scores_equal_a_naive_model(spark):
+    rng, words = random.Random(6), "the of and a river stone bridge Über it's walking walked talk over under".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25))), "en", "a", 0) for i in range(20)]
+    got = {r.doc_id: r for r in pitman_yor.language_scores(spark.createDataFrame(rows, SCHEMA), labelled.fold(7, 2)).collect()}
+    texts = [r[1].encode().translate(pitman_yor.LOWER).split() + [b""] for r in rows]
+    training = [not got[r[0]].held_out for r in rows]
+    assert [got[r[0]].score for r in rows] == pytest.approx(naive_scores(texts, training), rel=1e-5)
+
+
+def test_lookup_score_is_a_sum_of_entries():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, len(quality_gam.FEATURES))), rng.integers(0, 2, 400).astype(float)
+    model = quality_gam.fit(x, y)
+    for row, got in zip(x[:50], model.score(x)):
+        total = model.bias + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            total += t[sum(e <= row[a] for e in model.pair_edges[a]), sum(e <= row[b] for e in model.pair_edges[b])]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_trees_find_the_best_cuts():
+    rng = np.random.default_rng(8)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + quality_gam.RIDGE)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9)
+        best = max(gain(g[:c], h[:c]) + gain(g[c:], h[c:]) for c in range(1, 9))
+        tree = quality_gam.tree_1d(g, h, leaves=2)
+        parts = [tree == v for v in np.unique(tree)]
+        assert sum(gain(g[p], h[p]) for p in parts) == pytest.approx(max(best, gain(g, h)) if len(parts) > 1 else gain(g, h))
+        g, h = rng.normal(size=(5, 4)), rng.random((5, 4))
+        cells = lambda x, i, j: [x[:i, :j], x[:i, j:], x[i:, :j], x[i:, j:]]
+        found = max((sum(map(gain, cells(g, i, j), cells(h, i, j))), i, j) for i in range(1, 5) for j in range(1, 4))
+        values, best = quality_gam.tree_2d(g, h)
+        assert best == pytest.approx(found[0])
+        for part, a, b in zip(cells(values, *found[1:]), cells(g, *found[1:]), cells(h, *found[1:])):
+            assert np.allclose(part, a.sum() / (b.sum() + quality_gam.RIDGE))
+
+
+def test_pair_sum_equals_a_double_loop():
+    rng = np.random.default_rng(5)
+    m = toxicity_fm.Machine(0.3, rng.normal(size=50).astype(np.float32), rng.normal(size=(50, 4)).astype(np.float32))
+    sets = [np.sort(rng.choice(50, n, replace=False)) for n in (0, 1, 2, 7, 20, 0)]
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    got = m.margin(np.concatenate(sets), starts)[0]
+    for s, value in zip(sets, got):
+        pairs = sum(float(m.v[i].astype(float) @ m.v[j].astype(float)) for k, i in enumerate(s) for j in s[:k])
+        assert value == pytest.approx(0.3 + m.w[s].astype(float).sum() + pairs, rel=1e-4, abs=1e-4)
+    alone = np.concatenate([m.margin(s, np.array([0, len(s)]))[0] for s in sets])
+    assert (alone == got).all()  # whatever the batch
+
+
+LONG = "<p>" + "word " * 60 + "</p>"
+
+
+@pytest.mark.parametrize("page,first,last", [
+    (f'<div class="layout has-sidebar"><article><h1>T</h1>{LONG}</article></div>', "T", "word"),
+    (f'<nav><a href=x>Home</a></nav><div class="content no-comments"><h1>T</h1>{LONG}{LONG}<p>End.</p></div><footer>Legal</footer>', "T", "End."),
+    (f'<article><h1 class="entry-header">T</h1>{LONG}<section id="related-work"><p>Old work.</p></section></article>', "T", "work."),
+    (f'<form id=page><nav><a>m</a></nav><article><h1>T</h1>{LONG}</article><footer>f f f</footer></form>', "T", "word"),
+    (f'<div><h1>T</h1>{LONG}{LONG}</div><article><a href=x>teaser one with a long text</a></article><article><a href=x>other</a></article>', "T", "word"),
+    (f'<p class=notice>Note this<p>First words.</p>{LONG}<p>x</p>', "First", "x"),
+    ('<nav><a>x</a></nav><div class="ad">Some words of an advert, rather more than the text.</div><article><h1>A</h1><p>B</article><footer>&copy; more words than the text has.</footer>', "A", "B"),
+    (f'<article>{LONG}<div id="comments"><article class="comment"><p>A reader says a thing.</p></article></div></article>', "word", "word"),
+])
+def test_html_wrappers(page, first, last):
+    words = html_text.main_text(page).split()
+    assert (words[0], words[-1]) == (first, last)
+
+
+def test_line_windows_by_brute_force(spark):
+    rng = random.Random(2)
+    for _ in range(50):
+        w, k, least = [rng.choice([0, 0, 5, 40, 300]) for _ in range(rng.randint(0, 15))], rng.randint(1, 5), 45
+        sums = [min(sum(w[i : i + k]), sum(w[max(0, i - k + 1) : i + 1])) for i in range(len(w))]
+        assert html_text.window_sums(w, k) == sums
+        inside = [i for a, b in html_text.stretches(sums, least) for i in range(a, b)]
+        assert inside == [i for i, v in enumerate(sums) if v >= least]
+    # on the pages themselves the windows decide: kept lines are those between the points
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    changed = 0
+    for r in rows:
+        lines, _ = html_text.lines_of(r.html)
+        changed += html_text.main_text(r.html) != "\n".join(x.text for x in lines)
+        assert html_text.main_text(r.html) in "\n".join(x.text for x in lines)
+    assert changed == len(rows)
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a ="', "<a ='>", "<div class=ad>", "</b><i>", "<svg>", "<!--", "<li><b>", "<p class=notice>x", "<", "&#"])
+def test_malformed_pages_take_linear_time(unit):
+    import time
+
+    begin = time.perf_counter()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - begin < 5  # about a second; quadratic scanning takes many minutes
