@@ -1,8 +1,14 @@
 """A corpus from raw documents to packed sequences, by five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run``
-writes it to the shared folder and reads it again for the next stage. No
-stage but the last changes the columns of ``documents``.
+writes it to the shared folder and reads it again for the next stage, and
+then deletes what that stage was made of. No stage but the last changes the
+columns of ``documents``.
+
+Defined results: null texts count as empty and equal empty ones; rows that
+repeat a doc_id and text are one; extra columns, whatever their names, are
+carried to the last stage; without labelled rows nothing is rejected; empty
+tables give no pieces.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helixloom.llm import exact_dedup, mixing, packing, quality_gam, simhash_dedup
-from helixloom.llm.common import as_written, stored, table
+from helixloom.llm.common import TABLES, as_written, drop_stored, stored, table
 from helixloom.llm.queries import tokenizer_path
 
 
@@ -46,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), len(TABLES)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, since)
     return docs
