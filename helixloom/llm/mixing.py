@@ -130,7 +130,9 @@ def schedule(docs: DataFrame, cycle: int = CYCLE, block_rows: int = BLOCK_ROWS,
     ``weight`` is an expression of (source, rows). Only these narrow rows are
     shuffled; a block has ``block_rows`` of them, so no join key is hot."""
     rows, sizes = ranked(docs)
-    plan = timetable(targets(sizes, block_rows, weight, cycle)).withColumnsRenamed({"source": "ps", "block": "pb"})
+    target = stored(targets(sizes, block_rows, weight, cycle), "target")  # one row
+    # the timetable grows with the data, which Spark can't tell from the cycles' number
+    plan = timetable(target).withColumnsRenamed({"source": "ps", "block": "pb"}).hint("merge")
     blocks = rows.withColumn("block", F.expr(f"source_rank div {block_rows}"))
     met = blocks.join(plan, blocks["source"].eqNullSafe(plan["ps"]) & (blocks["block"] == plan["pb"]))
     return met.select("doc_id", "source", "key", "source_rank", "block", "release", "due", "slot")
