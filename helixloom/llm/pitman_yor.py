@@ -48,7 +48,7 @@ from .common import stored, text_of
 
 PARENTS, CHILDREN = 128, 32
 CONTEXTS = PARENTS * CHILDREN
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 3_000_000
 SWEEPS, STRENGTH, EXACT = 4, 1.0, 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = b""
@@ -79,6 +79,20 @@ class Numbers(dict):
         return n
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place among them: a sort
+    of values and positions in one array, with little memory besides."""
+    bits = max(1, len(values).bit_length())
+    keys = (values.astype(np.uint64) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+    keys.sort()
+    at = (keys & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    keys >>= np.uint64(bits)
+    fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+    places = np.empty(len(values), np.uint32)
+    places[at] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
+    return keys[fresh].astype(np.int64), places
+
+
 class Chunk:
     def __init__(self):
         self.numbers, self.ids, self.docs, self.size = Numbers(), [], [], 0
@@ -87,7 +101,7 @@ class Chunk:
     def add(self, doc_id: int | None, held: bool, text: str) -> None:
         words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
         words.append(END)
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.docs.append((doc_id, held, len(words)))
         self.size += len(words)
 
@@ -106,10 +120,11 @@ class Chunk:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         words = np.concatenate(self.ids)
+        self.ids = []
         lengths = np.array([n for _, _, n in self.docs])
-        before = np.concatenate(([self.end], words[:-1]))
+        before = np.concatenate(([self.end], words[:-1])).astype(words.dtype)
         before[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = self.end
-        pairs, tokens = np.unique(place[words] * CONTEXTS + contexts[before], return_inverse=True)
+        pairs, tokens = numbered(place[words] * CONTEXTS + contexts[before])
         training = np.repeat(~np.array([h for _, h, _ in self.docs]), lengths)
         counts = np.bincount(tokens[training], minlength=len(pairs))
         columns = [
