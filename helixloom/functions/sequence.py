@@ -14,6 +14,8 @@ TYPE_IIS_SITES = {"BsmBI": "CGTCTC", "BsaI": "GGTCTC", "SapI": "GCTCTTC"}
 SIX_CUTTERS = {"NcoI": "CCATGG", "EcoRI": "GAATTC", "XbaI": "TCTAGA", "SpeI": "ACTAGT", "PstI": "CTGCAG"}
 BASES, PAIRED = "ACGTNacgtn", "TGCANtgcan"
 IUPAC, IUPAC_PAIRED = "ACGTRYKMSWBDHVNacgtrykmswbdhvn", "TGCAYRMKSWVHDBNtgcayrmkswvhdbn"
+CODON_ORDER = "TCAG"
+AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 STOPS = ("TAA", "TAG", "TGA")
 STARTS = ("ATG", "GTG", "TTG")
 SHINE_DALGARNO = "AGGAGG"
@@ -74,9 +76,9 @@ def usable(seq: Column | str, least: int = 12) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """All overlapping k-mers in order; empty if the sequence is shorter."""
-    s = col(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping k-mers in order; empty if the sequence is shorter. One
+    pass of a pattern, which a substring for each place would not be."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def positions(seq: Column | str, motif: str) -> Column:
@@ -103,6 +105,20 @@ def codons(seq: Column | str) -> Column:
     return F.regexp_extract_all(F.upper(col(seq)), F.lit("(?s).{3}"), F.lit(0))
 
 
+def amino_acid(codon: Column | str) -> Column:
+    """One letter of the standard code, ``*`` for a stop, X for other letters."""
+    c = F.upper(col(codon))
+    place = [F.instr(F.lit(CODON_ORDER), F.substr(c, F.lit(i), F.lit(1))) for i in (1, 2, 3)]
+    whole = (F.length(c) == 3) & (place[0] > 0) & (place[1] > 0) & (place[2] > 0)
+    return F.when(whole, F.substr(F.lit(AMINO_ACIDS), 16 * (place[0] - 1) + 4 * (place[1] - 1) + place[2], F.lit(1))).otherwise("X")
+
+
+def has_site(seq: Column | str, motif: str) -> Column:
+    """Whether a site lies on either strand."""
+    s = F.upper(col(seq))
+    return F.contains(s, F.lit(motif)) | F.contains(s, F.lit(motif[::-1].translate(str.maketrans(BASES, PAIRED))))
+
+
 def internal_stop(seq: Column | str) -> Column:
     """A stop codon before the run of stops that ends the frame."""
     c = codons(seq)
@@ -189,17 +205,20 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 def best_segment(query: Column, reference: Column) -> Column:
     """struct(score, start, end, matches) of the maximal run of two aligned
     strings of equal length, +1 for equal letters and -1 for others; 0-based,
-    end exclusive, the first of equal runs; matches over the whole window."""
-    steps = F.zip_with(F.split(query, ""), F.split(reference, ""), lambda x, y: F.when(x == y, 1).otherwise(-1))
+    end exclusive, the first of equal runs; matches over the whole window.
+
+    The walk goes over runs of equal and of differing letters, not letters."""
+    marks = F.array_join(F.zip_with(F.split(query, ""), F.split(reference, ""), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    steps = F.transform(F.regexp_extract_all(marks, F.lit("(1+|0+)"), F.lit(1)), lambda r: F.when(F.startswith(r, F.lit("1")), F.length(r)).otherwise(-F.length(r)))
     zero = F.struct(*[F.lit(0).alias(x) for x in ("now", "low", "i", "best", "start", "end", "matches")])
 
     def step(s: Column, x: Column) -> Column:
-        fresh = s["now"] <= 0
+        fresh, size = s["now"] <= 0, F.abs(x)
         now, low = F.when(fresh, x).otherwise(s["now"] + x), F.when(fresh, s["i"]).otherwise(s["low"])
         better = now > s["best"]
         return F.struct(
-            now.alias("now"), low.alias("low"), (s["i"] + 1).alias("i"), F.when(better, now).otherwise(s["best"]).alias("best"), F.when(better, low).otherwise(s["start"]).alias("start"),
-            F.when(better, s["i"] + 1).otherwise(s["end"]).alias("end"), (s["matches"] + F.when(x > 0, 1).otherwise(0)).alias("matches"),
+            now.alias("now"), low.alias("low"), (s["i"] + size).alias("i"), F.when(better, now).otherwise(s["best"]).alias("best"), F.when(better, low).otherwise(s["start"]).alias("start"),
+            F.when(better, s["i"] + size).otherwise(s["end"]).alias("end"), (s["matches"] + F.greatest(x, F.lit(0))).alias("matches"),
         )
 
     return F.aggregate(steps, zero, step, lambda s: F.struct(s["best"].alias("score"), s["start"].alias("start"), s["end"].alias("end"), s["matches"].alias("matches")))

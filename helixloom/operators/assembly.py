@@ -34,48 +34,76 @@ def features(lines: DataFrame) -> DataFrame:
 
 def inserts(lines: DataFrame) -> DataFrame:
     """One row per construct: the ordered insert, its length, the sum of part
-    lengths, and the junction points between parts."""
-    parts = F.array_sort(F.collect_list(F.struct(*ORDER, "seq")))
+    lengths, the junction points between parts, and whether a binding site is
+    followed by coding bases without ATG."""
+    parts = F.array_sort(F.collect_list(F.struct(*ORDER, "seq", "role")))
     grouped = lines.groupBy("construct").agg(parts.alias("parts"))
     lengths = F.transform("parts", lambda p: F.length(p["seq"]))
-    ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n)))
+    count = F.aggregate(
+        F.transform("parts", lambda p, i: F.coalesce((p["role"] == "rbs") & F.get(F.col("parts"), i + 1)["role"].isin(*CODING) & (F.substring(F.upper(F.get(F.col("parts"), i + 1)["seq"]), 1, 3) != "ATG"), F.lit(False)).cast("int")),
+        F.lit(0), lambda a, x: a + x,
+    )
     return grouped.select(
-        "construct", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("insert"), F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("part_bases"),
-        F.slice(ends, F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0))).alias("junctions"), F.size("parts").alias("n_parts"),
+        "construct", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("insert"), ends.alias("ends"), count.alias("starts_missing"), F.size("parts").alias("n_parts"),
+    ).select(
+        "construct", "insert", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).alias("part_bases"), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))).alias("junctions"), "n_parts", "starts_missing"
     )
 
 
-def crossing_sites(insert: Column, junctions: Column, sites: dict[str, str]) -> Column:
-    """Names of sites that lie over a junction: a recognition site from
-    0-based p reaches over junction j if p < j < p + its length."""
-    hit = [F.when(F.exists(S.site_positions(insert, m), lambda p: F.exists(junctions, lambda j: (p < j) & (j < p + len(m)))), F.lit(n)) for n, m in sites.items()]  # noqa: B023
-    return F.array_compact(F.array(*hit))
+def crossing(insert: Column, junctions: Column, sites: dict[str, str]) -> Column:
+    """Whether some site lies over a junction: only the bases around each
+    junction that such a site could take up are looked at."""
+
+    def over(j: Column) -> Column:
+        found = F.lit(False)
+        for motif in sites.values():
+            n = len(motif)
+            start = F.greatest(j - n + 1, F.lit(0))
+            found = found | S.has_site(F.substr(insert, start + 1, j + n - 1 - start), motif)
+        return found
+
+    return F.exists(junctions, over)
 
 
 def validation(lines: DataFrame, cap: int = FRAGMENT_CAP, low: float = 0.25, high: float = 0.65, run: int = 10) -> DataFrame:
     """A row per finding: construct, rule, level. BLOCK, WARN or INFO."""
-    whole = inserts(lines)
+    return found_in(inserts(lines), cap, low, high, run).where("rule is not null").select("construct", "rule", "level")
+
+
+def found_in(whole: DataFrame, cap: int = FRAGMENT_CAP, low: float = 0.25, high: float = 0.65, run: int = 10) -> DataFrame:
+    """The findings of each construct; one row without a rule where there are
+    none. All rules read the one row that :func:`inserts` makes of a construct."""
     gc = S.gc_fraction("insert")
     rules = [
         ("empty insert", "BLOCK", F.length("insert") == 0),
-        ("length differs", "BLOCK", F.length("insert") != F.col("part_bases")),
-        ("site over junction", "BLOCK", F.size(crossing_sites(F.col("insert"), F.col("junctions"), S.BUILD_SITES)) > 0),
+        ("site over junction", "BLOCK", crossing(F.col("insert"), F.col("junctions"), S.BUILD_SITES)),
         ("gc out of range", "WARN", (gc < low) | (gc > high)),
         ("homopolymer", "WARN", S.longest_run("insert", any_letter=False) > run),
         ("over fragment cap", "INFO", F.length("insert") > cap),
     ]
-    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"))) for rule, level, test in rules]))
-    by_insert = whole.select("construct", F.explode(found).alias("f")).select("construct", "f.rule", "f.level")
-    junction = features(lines).where((F.col("role") == "rbs") & F.col("next_role").isin(*CODING) & (F.substring(F.upper("next_seq"), 1, 3) != "ATG"))
-    return by_insert.unionByName(junction.select("construct", F.lit("rbs before no start").alias("rule"), F.lit("WARN").alias("level")))
+    one = lambda rule, level: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"))
+    found = F.array_compact(F.array(*[F.when(test, one(rule, level)) for rule, level, test in rules]))
+    found = F.concat(found, F.array_repeat(one("rbs before no start", "WARN"), F.col("starts_missing")))
+    return whole.select("construct", F.explode_outer(found).alias("f")).select("construct", "f.rule", "f.level")
+
+
+def build_verdicts(lines: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame:
+    """:func:`verdicts` of every construct by one grouping of its lines."""
+    counts = found_in(inserts(lines), cap).groupBy("construct").agg(*[F.count_if(F.col("level") == x).alias(x.lower()) for x in ("BLOCK", "WARN", "INFO")])
+    return judged(counts)
+
+
+def judged(counts: DataFrame) -> DataFrame:
+    n = {x: F.coalesce(F.col(x), F.lit(0)) for x in ("block", "warn", "info")}
+    verdict = F.when(n["block"] > 0, "FAIL").when(n["warn"] > 0, "REVIEW").otherwise("PASS")
+    return counts.select("construct", *[c.alias(k) for k, c in n.items()], verdict.alias("verdict"), F.when(n["block"] > 0, 1).when(n["warn"] > 0, 5).otherwise(0).alias("exit_code"))
 
 
 def verdicts(constructs: DataFrame, findings: DataFrame) -> DataFrame:
     """Severity roll-up: FAIL for a block, REVIEW for a warning, else PASS."""
     counts = findings.groupBy("construct").agg(*[F.count_if(F.col("level") == x).alias(x.lower()) for x in ("BLOCK", "WARN", "INFO")])
-    n = {x: F.coalesce(F.col(x), F.lit(0)) for x in ("block", "warn", "info")}
-    verdict = F.when(n["block"] > 0, "FAIL").when(n["warn"] > 0, "REVIEW").otherwise("PASS")
-    return constructs.join(counts, "construct", "left").select("construct", *[c.alias(k) for k, c in n.items()], verdict.alias("verdict"), F.when(n["block"] > 0, 1).when(n["warn"] > 0, 5).otherwise(0).alias("exit_code"))
+    return judged(constructs.join(counts, "construct", "left"))
 
 
 def split_points(lines: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def frame_note(net: Column) -> Column:
 def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool = False, cap: int | None = None) -> DataFrame:
     """(record, category, status) of whole sequences (record, seq)."""
     gc, n = S.gc_percent("seq"), F.length("seq")
-    sites = [F.when(F.size(S.site_positions("seq", m)) > 0, F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if biobrick else "NOTE").alias("status"))) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"]
-    sites += [F.when(F.size(S.site_positions("seq", m)) > 0, F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if type_iis else "NOTE").alias("status"))) for e, m in S.TYPE_IIS_SITES.items()]
+    sites = [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if biobrick else "NOTE").alias("status"))) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"]
+    sites += [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if type_iis else "NOTE").alias("status"))) for e, m in S.TYPE_IIS_SITES.items()]
     row = lambda c, s: F.struct(F.lit(c).alias("category"), s.alias("status"))
     checks = [
         F.when(n == 0, row("invariant", F.lit("FAIL"))), F.when(n > 0, row("composition", F.when((gc < 25) | (gc > 65), "FLAG").otherwise("PASS"))),
@@ -73,9 +73,16 @@ def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool =
 
 
 def repeats(records: DataFrame, k: int = 30) -> DataFrame:
-    """Records in which some k-mer occurs twice: (record, repeated)."""
-    words = records.select("record", F.explode(S.kmers("seq", k)).alias("w")).groupBy("record", "w").count().where("count > 1")
-    return words.groupBy("record").agg(F.count("*").alias("repeated"))
+    """Records in which some k-mer occurs twice: (record, repeated).
+
+    A record is one row, so its k-mers are compared where it is read; only
+    records with a repeat are opened to count which."""
+    def repeated(words: Column) -> Column:
+        twice = lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)) & ((i < 2) | (x != F.get(w, i - 2)))))
+        return F.when(F.size(F.array_distinct(words)) < F.size(words), F.get(F.transform(F.array(F.array_sort(words)), twice), F.lit(0)))
+
+    found = F.get(F.transform(F.array(S.kmers("seq", k)), repeated), F.lit(0))  # in an array, so that k-mers are made once
+    return records.select("record", found.cast("long").alias("repeated")).where("repeated is not null")
 
 
 def homology(longest: Column, has_host: Column, reca_minus: Column) -> Column:

@@ -207,8 +207,7 @@ def construct_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
          CASE WHEN block > 0 THEN 'FAIL' WHEN warn > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN block > 0 THEN 1 WHEN warn > 0 THEN 5 ELSE 0 END AS exit_code
   FROM inserts LEFT JOIN c USING (construct)""")
 def construct_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = lines(spark, sf_dir)  # noqa: E741
-    return assembly.verdicts(l.select("construct").distinct(), assembly.validation(l, cap=700))
+    return assembly.build_verdicts(lines(spark, sf_dir), cap=700)
 
 
 @query(f"""WITH {INSERTS_SQL} SELECT construct, arg_min("end", (abs("end" - length(insert) / 2), "end")) AS split_at, any_value(length(insert)) AS length
@@ -343,11 +342,11 @@ def direct_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.repeats(whole, 30)
 
 
-@query(f"""WITH {PARTS_SQL}, c AS (SELECT part, substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT part, seq, unnest(range(0, length(seq) // 3)) AS i FROM parts)), u AS (SELECT codon, substr(codon, 1, 2) AS family, count(*) AS n FROM c GROUP BY ALL),
+@query(f"""WITH {PARTS_SQL}, c AS (SELECT part, substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT part, seq, unnest(range(0, length(seq) // 3)) AS i FROM parts)), u AS (SELECT codon, substr('{S.AMINO_ACIDS}', (16 * (instr('TCAG', substr(codon, 1, 1)) - 1) + 4 * (instr('TCAG', substr(codon, 2, 1)) - 1) + instr('TCAG', substr(codon, 3, 1)))::INT, 1) AS family, count(*) AS n FROM c GROUP BY ALL),
   w AS (SELECT codon, n / max(n) OVER (PARTITION BY family) AS w FROM u) SELECT part AS gene, round(exp(avg(ln(greatest(w, 0.01)))), 6) AS cai FROM c JOIN w USING (codon) GROUP BY part""")
 def codon_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    usage = p.select(F.explode(S.codons("seq")).alias("codon")).groupBy("codon", F.substring("codon", 1, 2).alias("family")).agg(F.count("*").alias("n"))
+    usage = p.select(F.explode(S.codons("seq")).alias("codon")).groupBy("codon", S.amino_acid("codon").alias("family")).agg(F.count("*").alias("n"))
     return codon.adaptation(p.select(F.col("part").alias("gene"), "seq"), codon.weights(usage)).select("gene", F.round("cai", 6).alias("cai"))
 
 
