@@ -20,7 +20,9 @@ corpus - dishes are independent, so the vocabulary is dealt out by word hash
 and a sweep is a pass over it. Texts go through once: documents are gathered
 in chunks, a chunk sends each (word, context) that it has once to the word's
 bucket, with its count in training texts, and gets a probability back. Common
-words therefore cost a bucket one entry per chunk and context, not per token.
+words therefore cost a bucket one entry per chunk and context, not per token;
+counts are added up in steps of FAN chunks, and a bucket with more questions
+than SPLIT_BYTES answers them in several tasks, each with its counts.
 
 What is drawn depends on word, restaurant and sweep alone, so scores don't
 change with the number of partitions, buckets or chunks.
@@ -53,7 +55,10 @@ SWEEPS, STRENGTH, EXACT = 4, 1.0, 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = b""
 CHUNK_SCHEMA = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, per_word binary, words binary, contexts binary, counts binary"
-BLOCK_SCHEMA = "bucket int, chunk bigint, words binary, per_word binary, contexts binary, counts binary"
+BLOCK_SCHEMA = "bucket int, chunk bigint, words binary, per_word binary, contexts binary, counts binary, size bigint"
+#: Chunks whose counts of a bucket one task adds up, and bytes of a bucket's
+#: questions from which they are dealt to several tasks.
+FAN, SPLIT_BYTES = 128, 64 << 20
 SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -171,7 +176,7 @@ def blocks(table: DataFrame, buckets: int) -> DataFrame:
                     [
                         pa.array([i for i, _, _ in got], pa.int32()), pa.array([row["chunk"]] * len(got), pa.int64()), pa.array([squeeze(words[a:b]) for _, a, b in got], pa.binary()),
                         pa.array([squeeze(per_word[a:b]) for _, a, b in got], pa.binary()), pa.array([squeeze(contexts[at[a] : at[b]]) for _, a, b in got], pa.binary()),
-                        pa.array([squeeze(counts[at[a] : at[b]]) for _, a, b in got], pa.binary()),
+                        pa.array([squeeze(counts[at[a] : at[b]].astype(np.int64)) for _, a, b in got], pa.binary()), pa.array([8 * int(b - a) + 6 * int(at[b] - at[a]) for _, a, b in got], pa.int64()),
                     ],
                     names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")],
                 )
@@ -179,24 +184,33 @@ def blocks(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("chunk", "words", "per_word", "contexts", "counts").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def counted(parts: DataFrame) -> DataFrame:
-    """The counts of each bucket over all training texts, a row per bucket
-    with chunk -1; counts are 64-bit here."""
+def added(table: pa.Table) -> pa.Table:
+    """The sums over rows of one bucket, as a row of the same kind."""
+    rows = table.to_pylist()
+    words = [loosen(r["words"], np.uint64) for r in rows]
+    known, place = np.unique(np.concatenate(words), return_inverse=True)
+    word = np.repeat(place, np.concatenate([loosen(r["per_word"], np.uint16) for r in rows]))
+    pairs, where = np.unique(word * CONTEXTS + np.concatenate([loosen(r["contexts"], np.uint16) for r in rows]), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([loosen(r["counts"], np.int64) for r in rows]), len(pairs)).astype(np.int64)
+    pairs, counts = pairs[counts > 0], counts[counts > 0]
+    have, per_word = np.unique(pairs // CONTEXTS, return_counts=True)
+    columns = [[rows[0]["bucket"]], [-1], [squeeze(known[have])], [squeeze(per_word.astype(np.uint16))], [squeeze((pairs % CONTEXTS).astype(np.uint16))], [squeeze(counts)], [sum(r["size"] for r in rows)]]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        words = [loosen(r["words"], np.uint64) for r in rows]
-        known, place = np.unique(np.concatenate(words), return_inverse=True)
-        word = np.repeat(place, np.concatenate([loosen(r["per_word"], np.uint16) for r in rows]))
-        pairs, where = np.unique(word * CONTEXTS + np.concatenate([loosen(r["contexts"], np.uint16) for r in rows]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([loosen(r["counts"], np.uint32) for r in rows]), len(pairs)).astype(np.int64)
-        pairs, counts = pairs[counts > 0], counts[counts > 0]
-        have, per_word = np.unique(pairs // CONTEXTS, return_counts=True)
-        columns = [[rows[0]["bucket"]], [-1], [squeeze(known[have])], [squeeze(per_word.astype(np.uint16))], [squeeze((pairs % CONTEXTS).astype(np.uint16))], [squeeze(counts)]]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-    return parts.groupBy("bucket").applyInArrow(run, BLOCK_SCHEMA)
+def counted(parts: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
+    """The counts of each bucket over all training texts, a row per bucket
+    with chunk -1, and the size of what was asked about it.
+
+    Added up in steps of ``fan`` chunks: however many chunks have a common
+    word, no task reads more than ``fan`` rows of its bucket."""
+    level = parts
+    while chunks > fan:
+        chunks = -(-chunks // fan)
+        dealt = level.withColumn("group", F.pmod(F.xxhash64("bucket", "chunk", F.md5("words")), F.lit(chunks)))
+        level = dealt.groupBy("bucket", "group").applyInArrow(lambda t: added(t.drop_columns(["group"])), BLOCK_SCHEMA)
+    return level.groupBy("bucket").applyInArrow(added, BLOCK_SCHEMA)
 
 
 @dataclass
@@ -404,7 +418,7 @@ def fit(counts: DataFrame, sweeps: int = SWEEPS) -> Fitted:
     return model
 
 
-def answered(parts: DataFrame, counts: DataFrame, model: Fitted) -> DataFrame:
+def answered(parts: DataFrame, counts: DataFrame, model: Fitted, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """For each chunk and bucket log10 probabilities of its pairs, averaged
     over sweeps, and the training counts of its words."""
     held = parts.sparkSession.sparkContext.broadcast(model)  # bounded: a few arrays of CONTEXTS numbers
@@ -412,6 +426,8 @@ def answered(parts: DataFrame, counts: DataFrame, model: Fitted) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         model, rows = held.value, table.to_pylist()
         asked = [r for r in rows if r["chunk"] >= 0]
+        if not asked:
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "logs": pa.array([], pa.binary()), "known": pa.array([], pa.binary())})
         main = next((r for r in rows if r["chunk"] < 0 and len(loosen(r["words"], np.uint64))), None)  # a bucket may have no training words
         words = [loosen(r["words"], np.uint64) for r in asked]
         every = np.concatenate(words)
@@ -446,8 +462,12 @@ def answered(parts: DataFrame, counts: DataFrame, model: Fitted) -> DataFrame:
         ]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "logs", "known"])
 
-    both = parts.unionByName(counts)
-    return both.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, logs binary, known binary")
+    # a bucket with much asked about it is answered by several tasks; there are
+    # fewer such than one for each split_bytes of the whole
+    hot = F.broadcast(counts.where(F.col("size") > split_bytes).select("bucket", F.expr(f"int(ceil(size / {split_bytes}))").alias("n")))
+    asked = parts.withColumn("counts", F.lit(None).cast("binary")).join(hot, "bucket", "left").withColumn("part", F.coalesce(F.pmod("chunk", "n"), F.lit(0)).cast("int")).drop("n")
+    known_ = counts.join(hot, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+    return asked.unionByName(known_).groupBy("bucket", "part").applyInArrow(run, "chunk bigint, bucket int, logs binary, known binary")
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -479,16 +499,17 @@ def scored(table: DataFrame, answers: DataFrame, model: Fitted) -> DataFrame:
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORE_SCHEMA)
 
 
-def language_scores(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, sweeps: int = SWEEPS, bucket_bytes: int = 8 << 20) -> DataFrame:
+def language_scores(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, sweeps: int = SWEEPS, bucket_bytes: int = 8 << 20, split_bytes: int = SPLIT_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Perplexity of a text is ``10 ** (-score / n_tokens)``.
     """
     spark = docs.sparkSession
     table = stored(chunks(docs, held_out, chunk_tokens), "chunks")
-    size = table.agg(F.sum(F.octet_length("words") + F.octet_length("contexts") + F.octet_length("counts"))).first()[0] or 0
+    size, made = table.agg(F.sum(F.octet_length("words") + F.octet_length("contexts") + F.octet_length("counts")), F.count("*")).first()
+    size = size or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     parts = blocks(table, buckets)
-    counts = stored(counted(parts), "counts")
+    counts = stored(counted(parts, made, fan), "counts")
     model = fit(counts, sweeps)
-    return scored(table, answered(parts, counts, model), model)
+    return scored(table, answered(parts, counts, model, split_bytes), model)

@@ -442,9 +442,10 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, odd, none):
 
 def test_pitman_yor_does_not_change_with_the_session(spark, docs):
     scores = []
-    for partitions, chunk in (("4", 4_000_000), ("9", 5000)):
+    for partitions, chunk, split, fan in (("4", 4_000_000, 64 << 20, 128), ("9", 2000, 5000, 2)):  # the second deals every bucket to several tasks
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
-        scores.append({r.doc_id: r.score for r in pitman_yor.language_scores(docs, labelled.fold(7, 2), chunk_tokens=chunk, bucket_bytes=1 << 14).collect()})
+        got = pitman_yor.language_scores(docs, labelled.fold(7, 2), chunk_tokens=chunk, bucket_bytes=1 << 14, split_bytes=split, fan=fan)
+        scores.append({r.doc_id: r.score for r in got.collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert scores[0] == pytest.approx(scores[1], rel=1e-6) and len(scores[0]) == docs.count()
 
