@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, audit, codon, gates, manifest
+from helixloom.operators import assembly, audit, codon, decompose, gates, manifest
 from helixloom.plans.reference_queries import BLOCKS_SQL, FOUND_SQL, INSERTS_SQL, LINES_SQL, PARTS_SQL, SEALED_SQL, blocks, lines, parts, query, read, sealed, sites_sql
 
 BUILDS_SQL = INSERTS_SQL + """, trims AS (SELECT part, CASE WHEN part % 5 = 0 THEN substr(seq, 93, 4) WHEN part % 31 = 0 THEN 'NNNN' END AS t3, CASE WHEN part % 7 = 0 THEN substr(seq, 1, 3) END AS t5 FROM parts),
@@ -245,3 +245,33 @@ def site_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def genome_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("part")
     return gates.genome_checks(parts(spark, sf_dir).select((k % 8).alias("genome"), F.when(k % 100 == 3, ">1 E. Coli strain").otherwise(">2").alias("header"), F.concat(F.lower("seq"), F.lit("\n-")).alias("seq"), F.lit("e. coli").alias("organism")))
+
+
+WHOLE_SQL = INSERTS_SQL + """, refs AS (SELECT 'p' || min(part) AS ref, seq FROM parts GROUP BY seq), spots AS (SELECT construct AS record, start::INT AS start, "end"::INT AS "end", part, ref AS ident FROM places JOIN refs USING (seq))"""
+
+
+def whole_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Constructs as records, one reference for each sequence of parts, and
+    labels of the parts: some wrong, some the wrong way round."""
+    p, l = parts(spark, sf_dir), lines(spark, sf_dir)  # noqa: E741
+    refs = p.groupBy("seq").agg(F.concat(F.lit("p"), F.min("part").cast("string")).alias("ref"))
+    records = assembly.inserts(l).select(F.col("construct").alias("record"), F.col("insert").alias("seq"))
+    k = F.col("part")
+    labels = assembly.features(l).join(F.broadcast(refs) if p.count() <= 100_000 else refs, "seq").select(
+        F.col("construct").alias("record"), F.when(k % 4 == 0, "other").otherwise(F.col("ref")).alias("claim"), F.lit("promoter").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.when(k % 9 == 0, -1).otherwise(1).alias("strand")
+    )
+    return records, refs.select("ref", "seq"), labels
+
+
+@query(f"""WITH {WHOLE_SQL} SELECT record, start, "end", ident, 1 AS strand, 100.0 AS pident, CASE WHEN part % 4 = 0 THEN 'other' ELSE ident END AS claim FROM spots""")
+def identified_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, _ = decompose.decompose(*whole_records(spark, sf_dir))
+    return blocks.select(F.col("record").cast("long").alias("record"), "start", "end", "ident", "strand", "pident", "claim")
+
+
+@query(f"""WITH {WHOLE_SQL} SELECT record, start, "end", 'identity-orientation' AS category, 'FLAG' AS status FROM spots WHERE part % 9 = 0 UNION ALL SELECT record, start, "end", 'identity-mislabel', 'FLAG' FROM spots WHERE part % 4 = 0""")
+def identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, refs, labels = whole_records(spark, sf_dir)
+    blocks, inner = decompose.decompose(records, refs, labels)
+    found = decompose.identity_findings(blocks, decompose.inner_names(inner, records, refs), records, refs)
+    return found.withColumn("record", F.col("record").cast("long"))
