@@ -1,12 +1,11 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A token is drawn in the restaurant of its context: the ending of the word
-before it, or that word itself if it is short, hashed to one of ``CONTEXTS``
-restaurants. Restaurants whose word ends in the same two letters share a
-parent, all parents share the restaurant of single words, and below it lies
-the uniform distribution over the known words and one unknown. (Whole words
-as contexts would need a restaurant for nearly every other token of a corpus
-whose vocabulary keeps growing.)
+A token is drawn in the restaurant of the word before it, whole words hashed
+to one of ``CONTEXTS`` restaurants. Restaurants whose word ends in the same
+two letters share a parent, all parents share the restaurant of single words,
+and below it lies the uniform distribution over the known words and one
+unknown. (A restaurant for each word of a corpus whose vocabulary keeps
+growing would have totals too large for every task to hold.)
 
 Customers are seated by the Chinese-restaurant rule. In each Gibbs sweep all
 customers of a dish in a restaurant stand up and are seated again one by one,
@@ -48,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-PARENTS, CHILDREN = 128, 32
+PARENTS, CHILDREN = 128, 511  # their product fits 16 bits, and so do a word's contexts
 CONTEXTS = PARENTS * CHILDREN
 CHUNK_TOKENS = 3_000_000
 SWEEPS, STRENGTH, EXACT = 4, 1.0, 64
@@ -73,7 +72,7 @@ def loosen(b: bytes, kind) -> np.ndarray:
 def context_of(word: bytes) -> int:
     """The restaurant that the token after ``word`` is drawn in."""
     parent = xxhash.xxh32_intdigest(word[-2:], 1) % PARENTS
-    return parent * CHILDREN + xxhash.xxh32_intdigest(word if len(word) <= 4 else b"\0" + word[-3:], 2) % CHILDREN
+    return parent * CHILDREN + xxhash.xxh32_intdigest(word, 2) % CHILDREN
 
 
 class Numbers(dict):
@@ -113,14 +112,7 @@ class Chunk:
     def row(self, number: int) -> pa.RecordBatch:
         """Words in order of their hashes; pairs by word, then context."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in self.numbers), np.uint64, len(self.numbers))
-        seen: dict[bytes, int] = {}
-        contexts = np.empty(len(hashes), np.int64)
-        for i, w in enumerate(self.numbers):
-            key = w if len(w) <= 4 else b"\0" + w[-3:]
-            c = seen.get(key)
-            if c is None:
-                c = seen[key] = context_of(w)
-            contexts[i] = c
+        contexts = np.fromiter(map(context_of, self.numbers), np.int64, len(hashes))
         order = np.argsort(hashes)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
@@ -377,25 +369,30 @@ class Fitted:
             yield s, self.sweeps[i + 1] if i + 1 < len(self.sweeps) else None
 
 
+#: Where ``summed`` counts tables, dishes with one and two customers, and words.
+TABLES_AT = CONTEXTS + PARENTS + 1
+ONES_AT = 2 * TABLES_AT
+WORDS_AT = ONES_AT + 6
+
+
 def summed(counts: DataFrame, model: Fitted) -> dict[int, int]:
-    """Sums over buckets of the newest state: customers from 0, tables from
-    2^20, and dishes with one and two customers by level from 2^21."""
+    """Sums over buckets of the newest state: customers, tables, dishes with
+    one and two customers by level, and words, each from its place on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = np.zeros(WORDS_AT + 1, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 for s, _ in model.states(row):
                     pass
                 x = s.totals()
-                found = {**{i: v for i, v in enumerate(x.customers.tolist())}, **{(1 << 20) + i: v for i, v in enumerate(x.tables.tolist())}}
+                total[: len(x.customers)] += x.customers
+                total[TABLES_AT : TABLES_AT + len(x.tables)] += x.tables
                 for level, c in enumerate((s.c0, s.c1, s.counts)):
-                    found |= {(1 << 21) + 4 * level: int((c == 1).sum()), (1 << 21) + 4 * level + 1: int((c == 2).sum())}
-                found[1 << 22] = len(s.words)
-                for k, v in found.items():
-                    if v:
-                        total[k] = total.get(k, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "v"])
+                    total[ONES_AT + 2 * level : ONES_AT + 2 * level + 2] += (c == 1).sum(), (c == 2).sum()
+                total[WORDS_AT] += len(s.words)
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "v"])
 
     rows = counts.mapInArrow(run, "id bigint, v bigint").groupBy("id").agg(F.sum("v").alias("v"))
     return {r.id: r.v for r in rows.collect()}  # at most 2 * CONTEXTS and a few more
@@ -407,13 +404,13 @@ def fit(counts: DataFrame, sweeps: int = SWEEPS) -> Fitted:
         got = summed(counts, model)
         x = Totals()
         for k, v in got.items():
-            if k < 1 << 20:
+            if k < TABLES_AT:
                 x.customers[k] = v
-            elif k < 1 << 21:
-                x.tables[k - (1 << 20)] = v
+            elif k < ONES_AT:
+                x.tables[k - TABLES_AT] = v
         if not i:
-            ones = [(got.get((1 << 21) + 4 * n, 0), got.get((1 << 21) + 4 * n + 1, 0)) for n in range(3)]
-            model = Fitted(int(x.customers[:CONTEXTS].sum()), got.get(1 << 22, 0), tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ones))
+            ones = [(got.get(ONES_AT + 2 * n, 0), got.get(ONES_AT + 2 * n + 1, 0)) for n in range(3)]
+            model = Fitted(int(x.customers[:CONTEXTS].sum()), got.get(WORDS_AT, 0), tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ones))
         model.sweeps.append(x)
     return model
 
