@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-PARENTS, CHILDREN = 128, 511  # their product fits 16 bits, and so do a word's contexts
+PARENTS, CHILDREN = 128, 63
 CONTEXTS = PARENTS * CHILDREN
 CHUNK_TOKENS = 3_000_000
 SWEEPS, STRENGTH, EXACT = 4, 1.0, 64
