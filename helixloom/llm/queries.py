@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, labelled, mixing, ogg_media, packing, pitman_yor, quality_gam, sharding, simhash_dedup, toxicity_fm
+from . import exact_dedup, hard_negatives, html_text, labelled, mixing, ogg_media, packing, periodic_runs, pitman_yor, quality_gam, sharding, simhash_dedup, toxicity_fm, url_filters
 from .common import shared_folder, table
 
 #: Arrivals that a stored table is dealt into.
@@ -71,6 +71,48 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placements(table(spark, sf_dir, "documents"))
 
 
+#: Site rules of the URL query: host, path, whether it allows.
+SITES = (("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False))
+
+
+def op11_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filters.site_rule(*x) for x in SITES] + url_filters.unwanted()
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules).drop("by")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by their ids' hashes, with periodic ends."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " ")).otherwise("")
+
+    # in an array, so that a text's words are found once
+    words = F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(F.transform(words, periodic), F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(planted(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.reduce("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -82,6 +124,9 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_html": op9_html,
     "op10_mixing": op10_mixing,
+    "op11_url": op11_url,
+    "op12_periodic": op12_periodic,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES = {
@@ -116,4 +161,48 @@ ORACLES = {
         k AS (SELECT ss[i] AS source, ws[i] AS w, total, slot - 1 AS slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS block FROM e, l WHERE i > 0)
         SELECT r.doc_id, r.source, r.source_rank, k.block, k.block * k.total // k.w AS release, ((k.block + 1) * k.total + k.w - 1) // k.w AS due, k.slot
         FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.source_rank // {mixing.BLOCK_ROWS} = k.block""",
+    "op11_url": f"""
+        WITH u AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r(h, p, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{'allow' if a else 'block'}')" for h, p, a in SITES)}),
+        f AS (SELECT *, (SELECT arg_max(struct_pack(rule := h || p, verdict := verdict), length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS x FROM u)
+        SELECT page_id, host, path, x.rule AS rule,
+               coalesce(x.verdict, CASE WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({"|".join(url_filters.UNWANTED)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM f""",
+    "op12_periodic": r"""
+        WITH t0 AS (SELECT list_transform(range(256), lambda x: x::BIGINT) AS t),
+        """
+    + ", ".join(f"t{k + 1} AS (SELECT list_transform(t, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS t FROM t{k})" for k in range(8))
+    + r""",
+        h AS (
+          SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+          FROM documents, t8),
+        g AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM h),
+        a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g),
+        p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+        d AS (SELECT rid, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
+        words AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS word FROM d),
+        same AS (SELECT x.rid, y.i - x.i AS p, x.i FROM words x JOIN words y ON x.rid = y.rid AND x.word = y.word AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+        islands AS (SELECT rid, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS k FROM same) GROUP BY rid, p, k),
+        runs AS (SELECT rid, start, length, min(p) AS period FROM islands WHERE length >= greatest(24, 3 * p) GROUP BY rid, start, length),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length::DECIMAL(38, 18) / period DESC, start, period) = 1),
+        per AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY rid),
+        gone AS (SELECT DISTINCT w.rid, w.i FROM words w JOIN runs r ON r.rid = w.rid AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+        kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN per USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)""",
+    "op13_negatives": """
+        WITH v AS (
+          SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.id % 50 = 0 AND c.id <> a.id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, s.id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.id) QUALIFY row_number() OVER w <= 3""",
 }
