@@ -193,6 +193,22 @@ def circular_slice(seq: Column | str, start: Column, end: Column) -> Column:
     return F.substr(F.concat(col(seq), col(seq)), start, end - start + 1)
 
 
+def stretch(seq: Column | str, start: Column, end: Column) -> Column:
+    """Bases start..end of a record; past its length they go on at its origin."""
+    start, end = start.cast("int"), end.cast("int")
+    return F.when(end > F.length(col(seq)), circular_slice(seq, start, end)).otherwise(F.substr(col(seq), start, end - start + 1))
+
+
+def circular_location(loc: Column | str, length: Column) -> Column:
+    """:func:`location` on a circle of ``length`` bases: where a piece ends at
+    the length and the next begins at 1, the whole ends past the length."""
+    at = location(loc)
+    pieces = F.transform(F.regexp_extract_all(F.translate(col(loc), "<>", ""), F.lit(r"(\d+\.\.\d+)"), F.lit(1)), lambda x: F.transform(F.split(x, r"\.\."), lambda y: y.cast("int")))
+    over = F.exists(F.transform(pieces, lambda x, i: (x[1] == length) & F.coalesce(F.get(pieces, i + 1)[0] == 1, F.lit(False))), lambda x: x)
+    last = F.get(pieces, F.size(pieces) - 1)[1]
+    return F.struct(F.when(over, F.get(pieces, F.lit(0))[0]).otherwise(at["start"]).alias("start"), F.when(over, length + last).otherwise(at["end"]).alias("end"), at["strand"].alias("strand"))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     """struct(mismatches, first, delta): over the common length, the 1-based
     first difference (null without), and the difference of lengths."""

@@ -90,13 +90,15 @@ def homology(longest: Column, has_host: Column, reca_minus: Column) -> Column:
     return F.when(~has_host, "SKIP").when(longest >= 500, "FLAG").when(longest > 40, F.when(reca_minus, "NOTE").otherwise("FLAG")).otherwise("PASS")
 
 
-def verdict(findings: DataFrame) -> DataFrame:
-    """Per record: counts by status and FAIL, REVIEW or PASS; an identity
-    check that could not be made asks for review."""
+def verdict(findings: DataFrame, records: DataFrame) -> DataFrame:
+    """Of each of ``records`` (record): counts by status and FAIL, REVIEW or
+    PASS. An identity check that could not be made asks for review; a record
+    without findings passes."""
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in RANK]
     per = findings.groupBy("record").agg(*counts, F.count_if((F.col("status") == "SKIP") & F.startswith("category", F.lit("identity"))).alias("unchecked"))
+    whole = records.select("record").join(per, "record", "left").na.fill(0, [*(f"n_{s.lower()}" for s in RANK), "unchecked"])
     word = F.when(F.col("n_fail") > 0, "FAIL").when((F.col("n_flag") > 0) | (F.col("unchecked") > 0), "REVIEW").otherwise("PASS")
-    return per.select("record", *[f"n_{s.lower()}" for s in RANK], word.alias("verdict"), F.when(word == "FAIL", 1).when(word == "REVIEW", 5).otherwise(0).alias("exit_code"))
+    return whole.select("record", *[f"n_{s.lower()}" for s in RANK], word.alias("verdict"), F.when(word == "FAIL", 1).when(word == "REVIEW", 5).otherwise(0).alias("exit_code"))
 
 
 def severity() -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.functions import sequence as S
 from helixloom.operators import audit, claims, gates, identify, orfs
 from helixloom.operators.lineage import cut
 
@@ -26,22 +27,30 @@ def shaped(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
 
 
+def texts(records: DataFrame) -> DataFrame:
+    """(record, seq, circular) of records, in upper case."""
+    circular = F.coalesce("circular", F.lit(False)) if "circular" in records.columns else F.lit(False)
+    return records.select(F.col("record").cast("string").alias("record"), F.upper("seq").alias("seq"), circular.alias("circular"))
+
+
 def decompose(records: DataFrame, refs: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of records (record, seq) and the claims inside them.
+    """Blocks of records (record, seq, and circular where some are circles)
+    and the claims inside them.
 
     ``refs`` has ref, seq, and may have provenance; ``features`` record, claim,
     kind, start, end, strand. A block is ``found`` in the references with the
-    claim that lies most over it, ``claimed`` only, or what fills a ``gap``.
+    claim that lies most over it, ``claimed`` only, or what fills a ``gap``. On
+    a circle blocks start at 1 to its length and may end past it.
     """
-    text = records.select(F.col("record").cast("string").alias("record"), F.upper("seq").alias("seq"))
-    queries = text.where(F.length("seq") >= LEAST_RECORD).select(F.col("record").alias("query"), F.col("seq").alias("qseq"))
+    text = texts(records)
+    queries = text.where(F.length("seq") >= LEAST_RECORD).select(F.col("record").alias("query"), F.col("seq").alias("qseq"), *(["circular"] if "circular" in records.columns else []))
     hits = cut(identify.identify(queries, refs))
     given = features.select(F.col("record").cast("string").alias("record"), "claim", "kind", "start", "end", "strand").withColumn("number", F.struct("start", "end", "claim", "strand", "kind"))
     asked = given.where(~F.col("kind").isin("source", "misc")).select(F.col("record").alias("query"), "start", "end", F.col("number").alias("claim"))
-    over = identify.claimed(hits.select("query", "qstart", "qend").distinct(), asked).select("query", "qstart", "qend", F.col("claim").alias("c"))
+    over = identify.claimed(hits.select("query", "qstart", "qend", "real").distinct(), asked).select("query", "qstart", "qend", F.col("claim").alias("c"))
     met = hits.join(over, ["query", "qstart", "qend"], "left").select(
         F.col("query").alias("record"), F.col("qstart").alias("start"), F.col("qend").alias("end"), "strand", F.col("ref").alias("ident"), "pident", "cov", "indel", "indel_net", "ref_length",
-        F.round(F.col("cov") * F.col("ref_length")).alias("matched"), "n_diagonals", "alternatives", F.col("c.claim").alias("claim"), F.col("c.strand").alias("claim_strand"), F.col("c.kind").alias("role"), F.lit("found").alias("kind"), "c",
+        F.round(F.col("cov") * F.col("ref_length")).alias("matched"), "n_diagonals", "alternatives", F.col("c.claim").alias("claim"), F.col("c.strand").alias("claim_strand"), F.col("c.kind").alias("role"), F.lit("found").alias("kind"), "c", "real",
     )
     met = cut(met)
     used = met.where("c is not null").select("record", F.col("c").alias("number"), F.lit(True).alias("used")).distinct()
@@ -50,7 +59,7 @@ def decompose(records: DataFrame, refs: DataFrame, features: DataFrame) -> tuple
     claimed = shaped(alone.select("record", "start", "end", "strand", "claim", F.col("strand").alias("claim_strand"), F.col("kind").alias("role"), F.lit("claimed").alias("kind")))
     blocks = cut(shaped(met).unionByName(claimed))
     spans = blocks.select(F.col("record").alias("query"), F.col("start").alias("qstart"), F.col("end").alias("qend"))
-    gaps = identify.gaps(spans, text.select(F.col("record").alias("query"), F.length("seq").alias("length")))
+    gaps = identify.gaps(spans, text.select(F.col("record").alias("query"), F.length("seq").alias("length"), "circular"))
     filled = orfs.gap_blocks(gaps, text).select(F.col("query").alias("record"), "start", "end", "strand", "role", F.lit("gap").alias("kind"))
     return cut(blocks.unionByName(shaped(filled))), cut(inner)
 
@@ -59,7 +68,7 @@ def inner_names(inner: DataFrame, records: DataFrame, refs: DataFrame) -> DataFr
     """The claims inside blocks with what their own bases are: each goes
     through identification once more as a query of its own."""
     text = records.select(F.col("record").cast("string").alias("record"), F.upper("seq").alias("seq"))
-    bases = inner.join(text, "record").select("record", "start", "end", F.substr("seq", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")).alias("qseq"))
+    bases = inner.join(text, "record").select("record", "start", "end", S.stretch("seq", F.col("start"), F.col("end")).alias("qseq"))
     queries = bases.where(F.length("qseq") >= LEAST_RECORD).distinct().withColumn("query", F.concat_ws(":", "record", "start", "end"))
     hits = cut(identify.whole_hits(queries.select("query", "qseq"), refs)).join(queries.drop("qseq"), "query")
     asked = inner.where(F.col("end") - F.col("start") + 1 >= LEAST_RECORD)
@@ -71,7 +80,7 @@ def identity_findings(blocks: DataFrame, inner: DataFrame, records: DataFrame, r
     blocks and inside them, of blocks' own checks, and of unnamed claims."""
     text = records.select(F.col("record").cast("string").alias("record"), F.upper("seq").alias("whole"))
     place = F.struct("start", "end")
-    read = blocks.join(text, "record").withColumn("seq", F.substr("whole", "start", F.col("end") - F.col("start") + 1)).drop("whole").withColumn("block", place)
+    read = blocks.join(text, "record").withColumn("seq", S.stretch("whole", F.col("start"), F.col("end"))).drop("whole").withColumn("block", place)
     named = claims.claim_findings(read, refs).where("category <> 'truncation'")
     own = audit.block_findings(read).where("category not in ('identity-orientation', 'identity-mislabel')")
     both = named.unionByName(own).select("record", "block.start", "block.end", "category", "status")
@@ -87,4 +96,4 @@ def audited(records: DataFrame, refs: DataFrame, features: DataFrame) -> tuple[D
     places = blocks.where("kind = 'found'").groupBy("record", F.col("ident").alias("ref")).agg(F.max("n_diagonals").alias("places"))
     runs = gates.run_findings(sizes, blocks.select("record", "start", "end", "ident"), ran, places)
     findings = found.select("record", "category", "status").unionByName(runs.select("record", "category", "status"))
-    return blocks, findings, audit.verdict(findings)
+    return blocks, findings, audit.verdict(findings, sizes)

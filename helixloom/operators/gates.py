@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from helixloom.functions import sequence as S
 from helixloom.operators import audit, claims, manifest
-from helixloom.operators.identify import LOCI
+from helixloom.operators.identify import LOCI, within
 
 # Thresholds of the codon, homology and order checks.
 CAI_BLOCK, CAI_WARN = 0.75, 0.80
@@ -132,10 +132,12 @@ def run_findings(records: DataFrame, blocks: DataFrame, status: DataFrame, cappe
 def inner_claims(given: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims (record, claim, kind, start, end, used) that no block took up:
     those that lie inside a block, and those that become blocks themselves.
-    Claims of a record meet its blocks by the record."""
+    Claims of a record meet its blocks by the record; blocks on a circle have
+    its length ``real``."""
     rest = given.where(~F.col("used") & ~F.col("kind").isin("source", "misc")).drop("used")
-    b = blocks.select(F.col("record").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (F.col("record") == F.col("r")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end"))
+    real = F.col("real") if "real" in blocks.columns else F.lit(None).cast("int")
+    b = blocks.select(F.col("record").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"), real.alias("n"))
+    inside = (F.col("record") == F.col("r")) & within(F.col("start"), F.col("end"), F.col("s"), F.col("e"), F.col("n"))
     return rest.join(b, inside, "left_semi"), rest.join(b, inside, "left_anti")
 
 

@@ -53,10 +53,11 @@ def open_frames(records: DataFrame, least: int = LEAST_AA) -> DataFrame:
 def gap_blocks(gaps: DataFrame, records: DataFrame, least: int = LEAST_AA) -> DataFrame:
     """What lies in each gap (query, start, end): its longest frame where that
     takes up most of it, and unidentified rests of LEAST_GAP or more; else one
-    unidentified block. Returns (query, start, end, strand, role, aa)."""
+    unidentified block. Returns (query, start, end, strand, role, aa). A gap
+    may go on past the origin of a circle; blocks start on it."""
     met = gaps.join(records.select(F.col("record").alias("query"), "seq"), "query")
-    part = F.substr(F.upper("seq"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    cut = met.select("query", F.col("start").cast("int").alias("gs"), F.col("end").cast("int").alias("ge"), part.alias("part"))
+    part = S.stretch(F.upper("seq"), F.col("start"), F.col("end"))
+    cut = met.select("query", F.col("start").cast("int").alias("gs"), F.col("end").cast("int").alias("ge"), part.alias("part"), F.length("seq").alias("n"))
     ranked = F.array_min(F.transform(frames("part", least), lambda x: F.struct((-x["aa"]).alias("less"), (-x["strand"]).alias("back"), x["frame"].alias("frame"), (x["start"] * x["strand"]).alias("at"), x.alias("orf"))))
     held = cut.withColumn("o", ranked["orf"]).withColumn("fits", F.coalesce(F.col("o.aa") * 3 >= ORF_SHARE * F.length("part"), F.lit(False)))
     low, high = F.col("gs") + F.col("o.start") - 1, F.col("gs") + F.col("o.end") - 1
@@ -70,7 +71,9 @@ def gap_blocks(gaps: DataFrame, records: DataFrame, least: int = LEAST_AA) -> Da
         F.when(F.col("ge") - high >= LEAST_GAP, block(high + 1, F.col("ge"))),
     )
     rows = F.array_compact(F.when(F.col("fits"), split).otherwise(F.array(block(F.col("gs"), F.col("ge")))))
-    return held.select("query", F.explode(rows).alias("b")).select("query", "b.*")
+    turn = F.when(F.col("b.start") > F.col("n"), F.col("n")).otherwise(0)
+    placed = held.select("query", "n", F.explode(rows).alias("b"))
+    return placed.select("query", (F.col("b.start") - turn).alias("start"), (F.col("b.end") - turn).alias("end"), "b.strand", "b.role", "b.aa")
 
 
 def start_spacing(blocks: DataFrame) -> DataFrame:

@@ -315,11 +315,12 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.block_findings(blocks(spark, sf_dir))
 
 
-@query(f"""WITH {FOUND_SQL}, c AS (SELECT record, count_if(status = 'FAIL') AS n_fail, count_if(status = 'FLAG') AS n_flag, count_if(status = 'SKIP') AS n_skip, count_if(status = 'NOTE') AS n_note, count_if(status = 'PASS') AS n_pass,
-    count_if(status = 'SKIP' AND starts_with(category, 'identity')) AS unchecked FROM found GROUP BY record), v AS (SELECT *, CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_flag > 0 OR unchecked > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM c)
+@query(f"""WITH {FOUND_SQL}, c AS (SELECT record, coalesce(count_if(status = 'FAIL'), 0) AS n_fail, coalesce(count_if(status = 'FLAG'), 0) AS n_flag, coalesce(count_if(status = 'SKIP'), 0) AS n_skip, coalesce(count_if(status = 'NOTE'), 0) AS n_note, coalesce(count_if(status = 'PASS'), 0) AS n_pass,
+    count_if(status = 'SKIP' AND starts_with(category, 'identity')) AS unchecked FROM (SELECT DISTINCT record FROM blocks) LEFT JOIN found USING (record) GROUP BY record), v AS (SELECT *, CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_flag > 0 OR unchecked > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM c)
   SELECT record, n_fail, n_flag, n_skip, n_note, n_pass, verdict, CASE verdict WHEN 'FAIL' THEN 1 WHEN 'REVIEW' THEN 5 ELSE 0 END AS exit_code FROM v""")
 def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.verdict(audit.block_findings(blocks(spark, sf_dir)))
+    b = blocks(spark, sf_dir)
+    return audit.verdict(audit.block_findings(b), b.select("record").distinct())
 
 
 def site_rows_sql() -> str:

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from helixloom.functions import sequence as S
 from helixloom.operators import decompose, identify
+from pyspark.sql import functions as F
 from helixloom.plans import reference_queries  # noqa: F401
 
 
@@ -67,10 +69,50 @@ def test_findings(audit):
     assert audit[2]["cut"] == "REVIEW" and audit[2]["wrong"] == "FAIL"  # a random part labelled as coding has stops
 
 
-def test_gapped_pieces_are_counted_once():
+def test_gapped_pieces_are_counted_once(spark):
     """Pieces that both reach past the lost base, against an alignment by hand."""
     a = {"diag": 0, "qstart": 1, "qend": 60, "rstart": 0, "rend": 60, "span": 60, "matches": 55, "marks": "1" * 50 + "10" * 5, "indel": 0, "indel_net": 0, "indel_events": 0}
     b = {"diag": -1, "qstart": 45, "qend": 99, "rstart": 45, "rend": 100, "span": 55, "matches": 52, "marks": "101" * 3 + "1" * 46}
-    both = identify.joined(a, b)
+    fields = [x.split(":") for x in identify.PIECE[7:-1].split(",")]
+    piece = lambda x: F.struct(*[F.lit(x.get(c, False if kind == "boolean" else 0 if kind == "int" else None)).cast(kind).alias(c) for c, kind in fields]).cast(identify.PIECE)
+    got = spark.range(1).select(
+        identify.lengthened(piece(a), piece(b)).alias("both"), identify.adjoining(piece(a), piece(b)).alias("fit"), identify.adjoining(piece(a), piece(b | {"diag": 0})).alias("same"), identify.adjoining(piece(a), piece(b | {"diag": -40})).alias("far"),
+        identify.chains(F.array(piece(a), piece(b), piece(b | {"diag": -40, "qstart": 300, "qend": 354}))).alias("chains"),
+    ).first()
+    both = got.both
     assert (both["matches"], both["span"], both["pident"]) == (55 + 39, 60 + 39, 94.0) and (both["indel"], both["indel_net"], both["qend"]) == (1, -1, 99)
-    assert identify.joined(a, b | {"diag": 0}) is None and identify.joined(a, b | {"diag": -40}) is None
+    assert (got.fit, got.same, got.far) == (True, False, False)
+    assert [(c.qstart, c.qend, c.indel_events) for c in got.chains] == [(1, 99, 1), (300, 354, 0)]
+
+
+def test_circles(spark):
+    """A part over the origin is whole and reported once, a truncated copy
+    elsewhere stays, gaps go round, and a line is not read as a circle."""
+    part, other = made(160, 31), made(130, 32)
+    ring = part + made(30, 33) + part[:110] + made(40, 34) + other + made(20, 35)
+    n, at = len(ring), lambda r: ring[r:] + ring[:r]
+    records = {**{f"r{r}": (at(r), True) for r in (0, 26, 60, 155, 185, 300, 470, 485)}, "line": (at(60), False), "small": (part[40:] + part[:40], True)}
+    text = spark.createDataFrame([(k, *v) for k, v in records.items()], "record string, seq string, circular boolean")
+    refs = spark.createDataFrame([("PART", part), ("OTHER", other)], "ref string, seq string")
+    feats = spark.createDataFrame([("r60", "PART", "promoter", n - 60 + 1, n + 100, 1)], "record string, claim string, kind string, start int, end int, strand int")
+    blocks, findings, verdicts = decompose.audited(text, refs, feats)
+    rows = blocks.collect()
+    for name in (k for k in records if k[0] == "r"):
+        r = int(name[1:])
+        got = {((b.start - 1 + r) % n, b.end - b.start + 1, b.ident, b.kind) for b in rows if b.record == name}
+        assert got == {(0, 160, "PART", "found"), (160, 30, None, "gap"), (190, 110, "PART", "found"), (300, 40, None, "gap"), (340, 130, "OTHER", "found"), (470, 20, None, "gap")}, name
+        assert sum(b.end - b.start + 1 for b in rows if b.record == name) == n
+    assert {(b.ident, b.end - b.start + 1) for b in rows if b.record == "line" and b.ident == "PART"} == {("PART", 100), ("PART", 110)}
+    assert [(b.start, b.end, b.ident) for b in rows if b.record == "small"] == [(121, 280, "PART")]
+    (claimed,) = [b for b in rows if b.claim]
+    assert (claimed.record, claimed.ident, claimed.end - claimed.start + 1) == ("r60", "PART", 160)
+    same = {v.record: (v.verdict, v.n_fail, v.n_flag) for v in verdicts.collect()}
+    assert len({same[k] for k in same if k[0] == "r" and k != "r60"}) == 1 and len(same) == len(records)
+    assert ("small", "truncation") not in {(f.record, f.category) for f in findings.collect()}
+
+
+def test_circular_locations(spark):
+    rows = [("join(104..129,1..103)", 104, 232), ("complement(join(100..129,1..20))", 100, 149), ("join(5..20,30..40)", 5, 40), ("<7", 7, 7), ("join(90..100,110..129,1..4,9..12)", 90, 141), ("3..129", 3, 129)]
+    got = spark.createDataFrame([(x,) for x, _, _ in rows], "loc string").select(S.circular_location("loc", F.lit(129)).alias("l")).collect()
+    assert [(r.l.start, r.l.end) for r in got] == [(a, b) for _, a, b in rows] and [r.l.strand for r in got] == [1, -1, 1, 1, 1, 1]
+    assert spark.range(1).select(S.stretch(F.lit("ABCDE"), F.lit(4), F.lit(7)), S.stretch(F.lit("ABCDE"), F.lit(2), F.lit(3))).first()[:] == ("DEAB", "BC")
