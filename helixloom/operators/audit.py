@@ -8,6 +8,10 @@ column expression or one aggregate by record.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from .identify import LOCI
 
 RANK = {"FAIL": 0, "FLAG": 1, "SKIP": 2, "NOTE": 3, "PASS": 4}
 CODING = ("cds", "reporter", "gene")
+LEAST_REPEAT = 30
+# The longest fragment that each vendor makes.
+VENDOR_CAPS = {"Twist": 5000, "IDT": 3000, "GenScript": 10000}
 
 
 def accuses() -> Column:
@@ -85,9 +92,61 @@ def repeats(records: DataFrame, k: int = 30) -> DataFrame:
     return records.select("record", found.cast("long").alias("repeated")).where("repeated is not null")
 
 
-def homology(longest: Column, has_host: Column, reca_minus: Column) -> Column:
-    """Status of the longest stretch shared with the host."""
-    return F.when(~has_host, "SKIP").when(longest >= 500, "FLAG").when(longest > 40, F.when(reca_minus, "NOTE").otherwise("FLAG")).otherwise("PASS")
+def longest_repeat(text: str) -> tuple[int, int, int]:
+    """Length and the first two 1-based places of the longest stretch that
+    occurs twice, the first of equals; 0 if no letter does.
+
+    Stretches of 1, 2, 4 ... letters are ranked by the ranks of their halves.
+    The longest power that occurs twice is then lengthened by the smaller ones,
+    largest first, wherever some stretch still occurs twice."""
+    n, levels = len(text), []
+    ranks = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1]
+    twice = lambda r: len(r) > 1 and int(r.max()) + 1 < len(r)
+    joined = lambda a, b: np.unique(a.astype(np.int64) * n + b, return_inverse=True)[1]
+    while twice(ranks):
+        levels.append(ranks)
+        size = 1 << len(levels) - 1
+        if n - 2 * size < 1:
+            break
+        ranks = joined(ranks[: n - 2 * size + 1], ranks[size:])
+    if not levels:
+        return 0, 0, 0
+    length, best = 1 << len(levels) - 1, levels[-1]
+    for j in range(len(levels) - 2, -1, -1):
+        places = n - length - (1 << j) + 1
+        if places > 1:
+            longer = joined(best[:places], levels[j][length : length + places])
+            if twice(longer):
+                length, best = length + (1 << j), longer
+    order = np.argsort(best, kind="stable")
+    pair = np.flatnonzero(best[order[1:]] == best[order[:-1]])
+    first = pair[np.argmin(order[pair])]
+    return length, int(order[first]) + 1, int(order[first + 1]) + 1
+
+
+def longest_repeats(records: DataFrame) -> DataFrame:
+    """(record, repeat_length, first, second) of every record (record, seq)."""
+    kind = records.schema["record"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [longest_repeat(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in got], pa.int32()) for i in range(3))], names=["record", "repeat_length", "first", "second"])
+
+    rows = records.select("record", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"))
+    return rows.mapInArrow(run, f"record {kind}, repeat_length int, first int, second int")
+
+
+def repeat_findings(longest: DataFrame, least: int = LEAST_REPEAT) -> DataFrame:
+    """(record, category, status, said) of repeats of ``least`` bases or more."""
+    said = F.concat(F.col("repeat_length").cast("string"), F.lit(" bp at "), F.col("first").cast("string"), F.lit(" and "), F.col("second").cast("string"))
+    return longest.where(F.col("repeat_length") >= least).select("record", F.lit("repeats").alias("category"), F.lit("FLAG").alias("status"), said.alias("said"))
+
+
+def homology(longest: Column, has_host: Column, reca_minus: Column, gene: int = 500) -> Column:
+    """Status of the longest stretch shared with the host; from a ``gene``'s
+    size on, a strain without recA doesn't settle it."""
+    return F.when(~has_host, "SKIP").when(longest >= gene, "FLAG").when(longest > 40, F.when(reca_minus, "NOTE").otherwise("FLAG")).otherwise("PASS")
 
 
 def verdict(findings: DataFrame, records: DataFrame) -> DataFrame:

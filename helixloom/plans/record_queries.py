@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, decompose
+from helixloom.operators import assembly, audit, decompose, offtarget
 from helixloom.plans.gate_queries import WHOLE_SQL, whole_records
-from helixloom.plans.reference_queries import HEX, LINES_SQL, SPELT, lines, parts, query, rc_sql, read, spell
+from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, SPELT, lines, parts, query, rc_sql, read, spell
+from helixloom.plans.rule_queries import genomes
 
 SPACER = 24
 ROTATED_SQL = WHOLE_SQL + f""", ring AS (SELECT construct AS record, insert || substr(translate(md5(construct::VARCHAR), '{HEX}', '{SPELT}'), 1, {SPACER}) AS seq FROM inserts),
@@ -38,7 +39,8 @@ def rotated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.col("record").cast("long").alias("record"), "start", "end", "ident", "strand", "pident", "claim", "kind")
 
 
-HARD_SQL = LINES_SQL + f""", own AS (SELECT part, translate(md5(id || '#' || part) || md5(id || '#' || part || 'x') || md5('y' || id || '#' || part), '{HEX}', '{SPELT}') AS s FROM parts),
+HARD_SQL = LINES_SQL + f""", raw AS (SELECT part, translate(md5(id || '#' || part) || md5(id || '#' || part || 'x') || md5('y' || id || '#' || part), '{HEX}', '{SPELT}') AS s FROM parts),
+  own AS (SELECT part, substr(s, 1, 40) || 'ACATGT' || substr(s, 47, 4) || 'ACATGT' || substr(s, 57) AS s FROM raw),
   o AS (SELECT construct, part, row_number() OVER (PARTITION BY construct ORDER BY position, part) AS i FROM lines),
   t AS (SELECT construct, part, i, (construct + i) % 3 = 1 AS back, CASE WHEN (construct + i) % 3 = 1 THEN {rc_sql('s')} ELSE s END AS s, substr(translate(md5(construct || '/' || i), '{HEX}', '{SPELT}'), 1, 16) AS spacer,
     substr(translate(md5('s' || part % 50), '{HEX}', '{SPELT}'), 1, 18) AS tiny FROM o JOIN own USING (part)),
@@ -58,6 +60,8 @@ def hard_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     some of which have two names."""
     k, n = F.col("part"), F.col("ordinal")
     p = parts(spark, sf_dir).select(k, spell(F.concat("id", F.lit("#"), k.cast("string"))).alias("own"))
+    # no letter twice in a row around the lost base, whichever way it is read
+    p = p.select("part", F.concat(F.substr("own", F.lit(1), F.lit(40)), F.lit("ACATGT"), F.substr("own", F.lit(47), F.lit(4)), F.lit("ACATGT"), F.substr("own", F.lit(57))).alias("own"))
     letters = lambda text, size: F.substring(F.translate(F.md5(text), HEX, SPELT), 1, size)
     tiny = lambda key: letters(F.concat(F.lit("s"), key.cast("string")), 18)
     placed = assembly.features(lines(spark, sf_dir)).select("construct", "part", "ordinal").join(p, "part")
@@ -80,3 +84,33 @@ def hard_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def hard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, _ = decompose.decompose(*hard_records(spark, sf_dir))
     return blocks.select(F.col("record").cast("long").alias("record"), "start", "end", "strand", "ident", "pident", "indel", "indel_net", F.coalesce(F.array_join("alternatives", ","), F.lit("")).alias("alternatives"), "kind")
+
+
+@query(f"""WITH {INSERTS_SQL}, k AS (SELECT construct AS record, i, substr(insert, i, 4) AS w FROM (SELECT construct, insert, unnest(range(1, length(insert) - 2)) AS i FROM inserts)),
+  p AS (SELECT a.record, a.i AS first, b.i - a.i AS d FROM k a JOIN k b ON a.record = b.record AND a.w = b.w AND a.i < b.i),
+  s AS (SELECT record, min(first) AS first, min(first) + d AS second, count(*) + 3 AS n FROM (SELECT *, first - row_number() OVER (PARTITION BY record, d ORDER BY first) AS island FROM p) GROUP BY record, d, island)
+  SELECT record, n::INT AS repeat_length, first::INT AS first, second::INT AS second FROM s QUALIFY row_number() OVER (PARTITION BY record ORDER BY n DESC, first, second) = 1""")
+def longest_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.longest_repeats(assembly.inserts(lines(spark, sf_dir)).select(F.col("construct").alias("record"), F.col("insert").alias("seq")))
+
+
+STRETCH_SQL = INSERTS_SQL + f""", h AS (SELECT part % 8 AS host, string_agg(seq, '' ORDER BY part) AS g FROM parts GROUP BY part % 8),
+  q AS (SELECT construct AS query, CASE WHEN construct % 3 = 0 THEN {rc_sql("substr(insert, 30, 40 + construct % 90)")} WHEN construct % 3 = 1 THEN substr(insert, 70, 20 + construct % 60) || 'ACGT' || substr(insert, 5, construct % 30)
+    ELSE translate(md5(construct::VARCHAR), '{HEX}', '{SPELT}') END AS t FROM inserts),
+  qs AS (SELECT query, t FROM q UNION ALL SELECT query, {rc_sql("t")} FROM q), qn AS (SELECT *, row_number() OVER () AS id FROM qs),
+  qk AS (SELECT id, query, p, substr(t, p + 1, 12) AS w FROM (SELECT *, unnest(range(0, length(t) - 11)) AS p FROM qn)), hk AS (SELECT host, p, substr(g, p + 1, 12) AS w FROM (SELECT *, unnest(range(0, length(g) - 11)) AS p FROM h)),
+  seeds AS (SELECT query, id, host, hk.p - qk.p AS d, qk.p FROM qk JOIN hk USING (w)),
+  runs AS (SELECT query, count(*) + 11 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY id, host, d ORDER BY p) AS island FROM seeds) GROUP BY query, id, host, d, island),
+  longest AS (SELECT q.query, CASE WHEN coalesce(max(n), 0) >= 23 THEN least(max(n), 100) ELSE 0 END AS n FROM q LEFT JOIN runs USING (query) GROUP BY q.query)"""
+
+
+@query(f"""WITH {STRETCH_SQL} SELECT query, n::INT AS longest, CASE WHEN n >= 60 THEN 'FLAG' WHEN n > 40 THEN CASE WHEN query % 2 = 0 THEN 'NOTE' ELSE 'FLAG' END ELSE 'PASS' END AS status FROM longest""")
+def host_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned, joined and unrelated pieces of constructs against genomes that
+    lie in rows of a part each; the cap and the gene's scale are lowered."""
+    k = F.col("construct")
+    piece = lambda a, n: F.substr("insert", F.lit(a), n.cast("int"))
+    text = F.when(k % 3 == 0, S.revcomp(piece(30, 40 + k % 90))).when(k % 3 == 1, F.concat(piece(70, 20 + k % 60), F.lit("ACGT"), piece(5, k % 30))).otherwise(F.translate(F.md5(k.cast("string")), HEX, SPELT))
+    q = assembly.inserts(lines(spark, sf_dir)).select(k.alias("query"), text.alias("qseq"))
+    longest = offtarget.longest_shared(q, genomes(parts(spark, sf_dir)), cap=100, size=96)
+    return longest.select("query", "longest", audit.homology(F.col("longest"), F.lit(True), F.col("query") % 2 == 0, gene=60).alias("status"))
