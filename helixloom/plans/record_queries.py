@@ -39,36 +39,40 @@ def rotated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.col("record").cast("long").alias("record"), "start", "end", "ident", "strand", "pident", "claim", "kind")
 
 
-HARD_SQL = LINES_SQL + f""", raw AS (SELECT part, translate(md5(id || '#' || part) || md5(id || '#' || part || 'x') || md5('y' || id || '#' || part), '{HEX}', '{SPELT}') AS s FROM parts),
-  own AS (SELECT part, substr(s, 1, 40) || 'ACATGT' || substr(s, 47, 4) || 'ACATGT' || substr(s, 57) AS s FROM raw),
+#: Letters from the lost base on that differ from the next, so that its place is plain.
+ALONE = range(51, 56)
+ALONE_SQL = " AND ".join(f"substr(s, {i}, 1) <> substr(s, {i + 1}, 1)" for i in ALONE)
+HARD_SQL = LINES_SQL + f""", own AS (SELECT part, translate(md5(id || '#' || part) || md5(id || '#' || part || 'x') || md5('y' || id || '#' || part), '{HEX}', '{SPELT}') AS s FROM parts),
   o AS (SELECT construct, part, row_number() OVER (PARTITION BY construct ORDER BY position, part) AS i FROM lines),
   t AS (SELECT construct, part, i, (construct + i) % 3 = 1 AS back, CASE WHEN (construct + i) % 3 = 1 THEN {rc_sql('s')} ELSE s END AS s, substr(translate(md5(construct || '/' || i), '{HEX}', '{SPELT}'), 1, 16) AS spacer,
     substr(translate(md5('s' || part % 50), '{HEX}', '{SPELT}'), 1, 18) AS tiny FROM o JOIN own USING (part)),
-  m AS (SELECT *, CASE i WHEN 2 THEN substr(s, 1, 50) || substr(s, 52) WHEN 3 THEN substr(s, 1, 40) || translate(substr(s, 41, 1), 'ACGT', 'TGCA') || substr(s, 42) ELSE s END AS piece,
-    CASE WHEN i = 4 THEN tiny ELSE '' END AS short, CASE WHEN i IN (2, 5) THEN spacer ELSE '' END AS rest FROM t),
+  u AS (SELECT *, i = 2 AND {ALONE_SQL} AS lost FROM t),
+  m AS (SELECT *, CASE WHEN lost THEN substr(s, 1, 50) || substr(s, 52) WHEN i = 3 THEN substr(s, 1, 40) || translate(substr(s, 41, 1), 'ACGT', 'TGCA') || substr(s, 42) ELSE s END AS piece,
+    CASE WHEN i = 4 THEN tiny ELSE '' END AS short, CASE WHEN i IN (2, 5) THEN spacer ELSE '' END AS rest FROM u),
   p AS (SELECT *, coalesce(sum(length(piece) + length(short) + length(rest)) OVER (PARTITION BY construct ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fore FROM m),
   -- the first half's hit goes on past the lost base while that adds to its score
   c AS (SELECT *, list_transform(range(50, 96), lambda j: CASE WHEN substr(s, j + 1, 1) = substr(s || rest, j + 2, 1) THEN 1 ELSE -1 END) AS e FROM p),
   g AS (SELECT *, list_transform(range(0, 47), lambda j: coalesce(list_sum(e[1:j]), 0)) AS reach FROM c),
   f AS (SELECT *, list_position(reach, list_max(reach)) - 1 AS beyond FROM g),
-  h AS (SELECT *, CASE i WHEN 2 THEN 95 - (beyond - list_max(reach)) / 2 WHEN 3 THEN 95 ELSE 96 END AS same FROM f)"""
+  h AS (SELECT *, CASE WHEN lost THEN 95 - (beyond - list_max(reach)) / 2 WHEN i = 3 THEN 95 ELSE 96 END AS same FROM f)"""
 
 
 def hard_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records of parts read either way, the second without a base, the third
-    with another base, with short parts and spacers between, and references
+    """Records of parts read either way, many second ones without a base, the
+    third with another base, with short parts and spacers between, and references
     some of which have two names."""
     k, n = F.col("part"), F.col("ordinal")
     p = parts(spark, sf_dir).select(k, spell(F.concat("id", F.lit("#"), k.cast("string"))).alias("own"))
-    # no letter twice in a row around the lost base, whichever way it is read
-    p = p.select("part", F.concat(F.substr("own", F.lit(1), F.lit(40)), F.lit("ACATGT"), F.substr("own", F.lit(47), F.lit(4)), F.lit("ACATGT"), F.substr("own", F.lit(57))).alias("own"))
     letters = lambda text, size: F.substring(F.translate(F.md5(text), HEX, SPELT), 1, size)
     tiny = lambda key: letters(F.concat(F.lit("s"), key.cast("string")), 18)
     placed = assembly.features(lines(spark, sf_dir)).select("construct", "part", "ordinal").join(p, "part")
     s = F.when((F.col("construct") + n) % 3 == 1, S.revcomp("own")).otherwise(F.col("own"))
     cut = F.concat(F.substr(s, F.lit(1), F.lit(50)), F.substr(s, F.lit(52)))
     changed = F.concat(F.substr(s, F.lit(1), F.lit(40)), F.translate(F.substr(s, F.lit(41), F.lit(1)), "ACGT", "TGCA"), F.substr(s, F.lit(42)))
-    piece = F.concat(F.when(n == 2, cut).when(n == 3, changed).otherwise(s), F.when(n == 4, tiny(k % 50)).otherwise(""), F.when(n.isin(2, 5), letters(F.concat_ws("/", "construct", "ordinal"), 16)).otherwise(""))
+    lost = n == 2
+    for i in ALONE:
+        lost = lost & (F.substr(s, F.lit(i), F.lit(1)) != F.substr(s, F.lit(i + 1), F.lit(1)))
+    piece = F.concat(F.when(lost, cut).when(n == 3, changed).otherwise(s), F.when(n == 4, tiny(k % 50)).otherwise(""), F.when(n.isin(2, 5), letters(F.concat_ws("/", "construct", "ordinal"), 16)).otherwise(""))
     whole = placed.withColumn("piece", piece).groupBy(F.col("construct").alias("record")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "piece"))), lambda x: x["piece"]), "").alias("seq"))
     name = lambda letter: F.concat(F.lit(letter), k.cast("string"))
     refs = p.select(name("h").alias("ref"), F.col("own").alias("seq")).unionByName(p.where(k % 10 == 4).select(name("b").alias("ref"), F.col("own").alias("seq")))
@@ -78,7 +82,7 @@ def hard_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 @query(f"""WITH {HARD_SQL} SELECT construct AS record, (fore + 1)::INT AS start, (fore + length(piece))::INT AS "end", CASE WHEN back THEN -1 ELSE 1 END AS strand, CASE WHEN part % 10 = 4 THEN 'b' ELSE 'h' END || part AS ident, round(100.0 * same / 96, 1) AS pident,
-    CASE WHEN i = 2 THEN 1 ELSE 0 END AS indel, CASE WHEN i = 2 THEN -1 ELSE 0 END AS indel_net, CASE WHEN part % 10 = 4 THEN 'h' || part ELSE '' END AS alternatives, 'found' AS kind FROM h
+    CASE WHEN lost THEN 1 ELSE 0 END AS indel, CASE WHEN lost THEN -1 ELSE 0 END AS indel_net, CASE WHEN part % 10 = 4 THEN 'h' || part ELSE '' END AS alternatives, 'found' AS kind FROM h
   UNION ALL SELECT construct, fore + length(piece) + 1, fore + length(piece) + 18, 1, 's' || part % 50, 100.0, 0, 0, '', 'found' FROM h WHERE short <> ''
   UNION ALL SELECT construct, fore + length(piece || short) + 1, fore + length(piece || short) + 16, 1, NULL, NULL, NULL, NULL, '', 'gap' FROM h WHERE rest <> ''""")
 def hard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
