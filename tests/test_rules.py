@@ -29,6 +29,28 @@ def test_longest_clean_window(spark):
     assert [tuple(r.c) if r.c else None for r in got] == [brute_clean(r.a, r.b, 10) for r in got]
 
 
+def test_best_run_by_folds(spark):
+    """The run that numpy finds is the one that the column functions find."""
+    rng, rows = random.Random(4), []
+    for _ in range(150):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 120)))
+        rate = rng.choice([0.05, 0.2, 0.35, 0.6, 1.0])
+        rows.append((a, "".join(rng.choice("ACGT") if rng.random() < rate else x for x in a)))
+    frame = spark.createDataFrame(rows, "a string, b string").withColumn("s", S.best_segment(F.col("a"), F.col("b")))
+    whole = F.col("s.end") - F.col("s.start")
+    part = lambda x: F.substr(x, F.col("s.start") + 1, whole)
+    for r in frame.withColumn("c", S.longest_clean(part("a"), part("b"), identify.LEAST_SPAN)).collect():
+        got, size = identify.best_run(r.a, r.b), r.s.end - r.s.start
+        low = size >= identify.LEAST_SPAN and 50 * (size + r.s.score) < identify.LEAST_IDENTITY * size
+        if not size or low and r.c is None:
+            assert got is None
+        elif low:
+            assert got[:4] == (r.s.start + r.c.start, r.s.start + r.c.end, r.s.matches, r.c.matches)
+        else:
+            assert got[:4] == (r.s.start, r.s.end, r.s.matches, (size + r.s.score) // 2)
+        assert got is None or (len(got[4]), got[4].count("1")) == (got[1] - got[0], got[3])
+
+
 def test_part_over_the_origin(spark):
     rng = random.Random(5)
     circle = "".join(rng.choice("ACGT") for _ in range(300))
