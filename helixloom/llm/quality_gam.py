@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, la
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in matrix(batch.column(0)).T), batch.column(1)], names=[*FEATURES, "label"])
 
     rows = labelled.sample(docs, labels, label, F.lit(False) if held_out is None else held_out, max_rows)
-    got = rows.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", label int").limit(max_rows).toPandas()
+    got = rows.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", label int").toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return fit(got[FEATURES].to_numpy(np.float64), got["label"].to_numpy(np.float64))
 
