@@ -52,13 +52,17 @@ def as_written(df: DataFrame) -> DataFrame:
     """A table read from the files of one write, in the order in which its
     partitions and rows were written; Spark deals files out by size. Frames
     that don't come from files are in their partitions' order already."""
-    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
-    try:
-        placed = df.select("*", number.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        return df
-    order = ("_part", "_file", "_row")
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+    try:  # Spark's own column, even if the table has one of that name
+        at = df.metadataColumn("_metadata")
+    except AnalysisException as none:
+        if "_metadata" in str(none):
+            return df
+        raise
+    name = at.getField("file_name")
+    number = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
+    # the table's columns in one struct, so that none can clash with the order's
+    placed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(number, name, at.getField("row_index")).alias("order"))
+    return placed.repartitionByRange("order").sortWithinPartitions("order").select("row.*")
 
 
 def drop_stored(spark: SparkSession, since: int) -> None:
