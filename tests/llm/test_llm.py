@@ -597,3 +597,117 @@ def test_malformed_pages_take_linear_time(unit):
     begin = time.perf_counter()
     html_text.main_text(unit * (1_000_000 // len(unit)))
     assert time.perf_counter() - begin < 5  # about a second; quadratic scanning takes many minutes
+
+
+def test_order_of_a_write_whatever_the_names(spark, tmp_path):
+    """Columns named like those that the order needs, or like Spark's own."""
+    from helixloom.llm.common import as_written
+
+    rows = spark.range(400).repartition(7).selectExpr("id as _part", "'f' as _file", "2 as _row", "named_struct('file_name', 'mine', 'row_index', 3L) as _metadata", "id as row", "'x' as `order`", "id as `a.b`")
+    rows.write.parquet(str(tmp_path / "t"))
+    got = as_written(spark.read.parquet(str(tmp_path / "t")))
+    assert got.columns == rows.columns
+    files = sorted((tmp_path / "t").glob("part-*"))
+    import pyarrow.parquet as pq
+
+    assert [r.row for r in got.collect()] == [x for f in files for x in pq.read_table(f)["row"].to_pylist()]
+    assert {r._metadata.file_name for r in got.collect()} == {"mine"}
+    assert as_written(spark.range(3)).count() == 3
+
+
+def test_pipeline_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as _part", "2 as _file", "3 as _row", "named_struct('a', 4) as _metadata")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or after.columns == docs.columns
+        docs = after
+    assert docs.count()
+
+
+def test_sample_is_stable_where_ids_repeat(spark):
+    docs = spark.range(300).selectExpr("id % 100 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(100).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    take = lambda d: sorted(map(tuple, labelled.sample(d, labels, "quality", F.lit(False), 40).collect()))
+    first = take(docs.repartition(5))
+    assert first == take(docs.repartition(9, "text")) and len(first) == 40
+
+
+#: Pages whose furniture has no mark: only where their lines lie tells.
+UNMARKED = [
+    ("<body><div>" + "".join(f"<div><a href=x>Go {i}</a></div>" for i in range(9)) + "</div><div>" + "".join(f"<p>Sentence {i} of the main text, which goes on for a good while longer than others.</p>" for i in range(6)) + "</div><div><div>Call us</div><div>Terms</div></div></body>", 6),
+    ("<body><div><div>Home</div><div>Deals</div></div><section>" + "".join(f"<p>Paragraph {i} tells what happened on that day at some length, with names and places.</p>" for i in range(4)) + "</section><div>" + "".join(f"<div>x{i}</div>" for i in range(12)) + "</div></body>", 4),
+]
+
+
+def test_windows_decide_where_nothing_is_marked():
+    """Without windows the same lines and marks would keep the furniture."""
+    for page, n in UNMARKED:
+        lines, marks = html_text.lines_of(page)
+        left = html_text.effective(marks)
+        unmarked = "\n".join(x.text for x in lines if left[x.mark] == 1)
+        got = html_text.main_text(page)
+        assert len(got.split("\n")) == n and got != unmarked and len(unmarked.split("\n")) > n
+
+
+def plain_text(page, window=html_text.WINDOW, least_sum=html_text.THRESHOLD):
+    """The extraction from lines and marks by its definition: every window is
+    summed anew, and kept lines are looked for one by one."""
+    lines, marks = html_text.lines_of(page)
+    left = html_text.effective(marks)
+    n, plain = len(lines), [x.free * left[x.mark] for x in lines]
+    total, inside = sum(plain), sum(p for p, x in zip(plain, lines) if x.holder)
+    article = inside > total / 2 or total == 0 and any(x.holder for x in lines)
+    if article:
+        weight = [p + (least_sum if left[x.mark] == 1 else 0) if x.holder else p / 10 for p, x in zip(plain, lines)]
+    else:
+        weight = [p + (least_sum if left[x.mark] == 1 and p > 0 and x.tag in html_text.HEADINGS else 0) for p, x in zip(plain, lines)]
+    if not any(weight):
+        return ""
+    value = [min(sum(weight[i : i + window]), sum(weight[max(0, i + 1 - window) : i + 1])) for i in range(n)]
+    level = min(least_sum, max(value) / 4) or 1e-9
+    dense = [v >= level for v in value]
+    if not any(dense):
+        dense[weight.index(max(weight))] = True
+    spans = []
+    for i in range(n):
+        if dense[i]:
+            spans = [*spans[:-1], (spans[-1][0], i)] if spans and spans[-1][1] == i - 1 else [*spans, (i, i)]
+    size = lambda s: sum(plain[s[0] : s[1] + 1])
+    most = max(map(size, spans))
+    spans = [s for s in spans if size(s) >= most / 4]
+    kept = set()
+    for a, b in spans:
+        kept |= set(range(a, b + 1))
+    for (_, b), (c, _) in zip(spans, spans[1:]):
+        if lines[b].holder and lines[b].holder == lines[c].holder:
+            kept |= set(range(b, c))
+    out = set(kept)
+    for edge, step in [(i, -1) for i in kept if i - 1 not in kept] + [(i, 1) for i in kept if i + 1 not in kept]:
+        j, e = edge + step, lines[edge]
+        while 0 <= j < n and lines[j].parent == e.parent and (left[lines[j].mark] < 1 or lines[j].tag in {e.tag, "p", *html_text.HEADINGS}):
+            out.add(j)
+            j += step
+    return "\n".join(lines[i].text for i in sorted(out) if left[lines[i].mark] == 1)
+
+
+def test_extraction_by_brute_force(spark):
+    rng = random.Random(9)
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()] + [p for p, _ in UNMARKED]
+    for _ in range(200):
+        body = "".join(
+            f"<{t}{rng.choice(['', '', ' class=sidebar', ' id=main'])}>" + "word and more " * rng.choice([0, 1, 2, 9, 20]) + rng.choice(["", "<a href=x>link link</a>"]) + rng.choice([f"</{t}>", f"</{t}>", ""])
+            for t in rng.choices(["p", "div", "h2", "li", "section", "article", "nav", "td"], k=rng.randrange(0, 25))
+        )
+        pages.append(f"<body>{body}</body>")
+    for page in pages:
+        assert html_text.main_text(page) == plain_text(page)
+
+
+def test_pages_with_clashing_names_and_repeats(spark):
+    rows = [(1, "u", UNMARKED[0][0]), (1, "u", UNMARKED[0][0]), (None, None, None), (2, "v", ""), (3, "w", "<p>&amp; x</p>" * 3000)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    got = html_text.extract(frame).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == sorted((str(i), len(html_text.main_text(h or ""))) for i, _, h in rows)
