@@ -82,7 +82,7 @@ def kmers(seq: Column | str, k: int) -> Column:
 
 
 def positions(seq: Column | str, motif: str) -> Column:
-    """0-based starts of ``motif``, overlaps included.
+    """0-based starts of ``motif`` (a pattern may stand for letters), overlaps included.
 
     The sequence is split before each occurrence, and the pieces' starts are
     counted up: linear in its length.
@@ -91,7 +91,7 @@ def positions(seq: Column | str, motif: str) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     step = lambda x, piece: F.struct((x["at"] + F.length(piece)).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out"))
     starts = F.aggregate(F.split(s, f"(?={motif})"), start, step, lambda x: x["out"])
-    return F.filter(starts, lambda x: (x > 0) | F.startswith(s, F.lit(motif)))
+    return F.filter(starts, lambda x: (x > 0) | F.regexp_like(s, F.lit(f"^(?:{motif})")))
 
 
 def site_positions(seq: Column | str, motif: str) -> Column:

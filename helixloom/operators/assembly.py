@@ -71,13 +71,13 @@ def validation(lines: DataFrame, cap: int = FRAGMENT_CAP, low: float = 0.25, hig
     return found_in(inserts(lines), cap, low, high, run).where("rule is not null").select("construct", "rule", "level")
 
 
-def found_in(whole: DataFrame, cap: int = FRAGMENT_CAP, low: float = 0.25, high: float = 0.65, run: int = 10) -> DataFrame:
+def found_in(whole: DataFrame, cap: int | Column = FRAGMENT_CAP, low: float = 0.25, high: float = 0.65, run: int = 10, sites: dict[str, str] = S.BUILD_SITES) -> DataFrame:
     """The findings of each construct; one row without a rule where there are
     none. All rules read the one row that :func:`inserts` makes of a construct."""
     gc = S.gc_fraction("insert")
     rules = [
         ("empty insert", "BLOCK", F.length("insert") == 0),
-        ("site over junction", "BLOCK", crossing(F.col("insert"), F.col("junctions"), S.BUILD_SITES)),
+        ("site over junction", "BLOCK", crossing(F.col("insert"), F.col("junctions"), sites)),
         ("gc out of range", "WARN", (gc < low) | (gc > high)),
         ("homopolymer", "WARN", S.longest_run("insert", any_letter=False) > run),
         ("over fragment cap", "INFO", F.length("insert") > cap),

@@ -187,12 +187,15 @@ def root_checks(rows: DataFrame, roots: DataFrame, order: str) -> DataFrame:
 def intake(new: DataFrame, old: DataFrame, root_ok: DataFrame) -> DataFrame:
     """(request, id, version, problem) of parts to be added (request, library,
     id, seq, expect_length): the library must verify, letters be bases, the
-    length be as expected; the version is one more than the newest."""
+    length be as expected. Versions go on from the newest, in order of
+    requests, so that no two of one id and library are alike."""
     last = old.groupBy("library", "id").agg(F.max("version").alias("v"))
     met = new.join(root_ok.select("library", "ok"), "library", "left").join(last, ["library", "id"], "left")
     s = F.upper(F.coalesce("seq", F.lit("")))
     problem = F.when(~F.coalesce("ok", F.lit(False)), "library does not verify").when(s == "", "no bases").when(~S.valid_alphabet(s), "letters that are no bases").when(F.length(s) != F.col("expect_length"), "length differs")
-    return met.select("request", "id", F.when(problem.isNull(), F.coalesce("v", F.lit(0)) + 1).alias("version"), problem.alias("problem"))
+    judged = met.withColumn("problem", problem)
+    number = F.count_if(F.col("problem").isNull()).over(Window.partitionBy("library", "id").orderBy("request").rowsBetween(Window.unboundedPreceding, 0))
+    return judged.withColumn("number", number).select("request", "id", F.when(F.col("problem").isNull(), F.coalesce("v", F.lit(0)) + F.col("number")).alias("version"), "problem")
 
 
 def pending(paths: DataFrame) -> DataFrame:

@@ -143,9 +143,9 @@ def root_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ROOTS_SQL}, asked AS (SELECT part AS request, part % 7 AS library, id, CASE part % 8 WHEN 0 THEN '' WHEN 1 THEN 'ACGU' ELSE lower(seq) END AS seq, CASE WHEN part % 8 > 5 THEN 95 ELSE 96 END AS expect_length FROM parts),
   last AS (SELECT part % 7 AS library, id, max(version) AS v FROM sealed GROUP BY ALL),
-  j AS (SELECT request, a.id, coalesce(v, 0) + 1 AS v, CASE WHEN NOT ok THEN 'library does not verify' WHEN seq = '' THEN 'no bases' WHEN seq = 'ACGU' THEN 'letters that are no bases' WHEN length(seq) <> expect_length THEN 'length differs' END AS problem
+  j AS (SELECT request, a.library, a.id, coalesce(v, 0) AS v, CASE WHEN NOT ok THEN 'library does not verify' WHEN seq = '' THEN 'no bases' WHEN seq = 'ACGU' THEN 'letters that are no bases' WHEN length(seq) <> expect_length THEN 'length differs' END AS problem
     FROM asked a JOIN checked USING (library) LEFT JOIN last l ON l.library = a.library AND l.id = a.id)
-  SELECT request, id, CASE WHEN problem IS NULL THEN v END AS version, problem FROM j""")
+  SELECT request, id, CASE WHEN problem IS NULL THEN v + count_if(problem IS NULL) OVER (PARTITION BY library, id ORDER BY request ROWS UNBOUNDED PRECEDING) END AS version, problem FROM j""")
 def part_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("part")
     new = parts(spark, sf_dir).select(k.alias("request"), (k % 7).alias("library"), "id", F.when(k % 8 == 0, "").when(k % 8 == 1, "ACGU").otherwise(F.lower("seq")).alias("seq"), F.when(k % 8 > 5, 95).otherwise(96).alias("expect_length"))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, audit, decompose, offtarget
-from helixloom.plans.gate_queries import WHOLE_SQL, whole_records
-from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, SPELT, lines, parts, query, rc_sql, read, spell
+from helixloom.operators import assembly, audit, build, decompose, offtarget
+from helixloom.plans.gate_queries import BUILDS_SQL, WHOLE_SQL, whole_records
+from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, spell
 from helixloom.plans.rule_queries import genomes
 
 SPACER = 24
@@ -118,3 +118,62 @@ def host_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = assembly.inserts(lines(spark, sf_dir)).select(k.alias("query"), text.alias("qseq"))
     longest = offtarget.longest_shared(q, genomes(parts(spark, sf_dir)), cap=100, size=96)
     return longest.select("query", "longest", audit.homology(F.col("longest"), F.lit(True), F.col("query") % 2 == 0, gene=60).alias("status"))
+
+
+SITE_LISTS = (("EcoRI", "BsaI", "BsaI"), ("SapI", "Unheard"), (), ("AvaII", "NdeI"), ("Unheard", "BbsI", "HinfI"))
+EXTRA = {"AvaII": "GGWCC", "HinfI": "GANTC"}
+
+
+def over_sql(name: str) -> str:
+    """Whether a site lies over some junction of an insert."""
+    motif = (build.ENZYMES | EXTRA)[name]
+    n, both = len(motif), f"{build.site_pattern(motif)}|{build.site_pattern(build.turned(motif))}"
+    return f"len(list_filter(js, lambda j: regexp_matches(substr(insert, greatest(j - {n - 1}, 0)::INT + 1, (j + {n - 1} - greatest(j - {n - 1}, 0))::INT), '{both}'))) > 0"
+
+
+PLAN_SQL = BUILDS_SQL + f""", heads AS (SELECT o_orderkey AS construct, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 4 = 0 THEN 300 ELSE 700 END AS cap FROM orders),
+  whole AS (SELECT construct, string_agg(cut, '' ORDER BY position, part) AS insert, sum(expected) AS n FROM ord GROUP BY construct HAVING bool_and(listed) AND bool_and(cut IS NOT NULL)),
+  ends AS (SELECT construct, sum(length(cut)) OVER w AS e, lead(role) OVER w AS next_role, lead(cut) OVER w AS next_cut, role FROM (SELECT o.*, r.role FROM ord o JOIN (SELECT part, role FROM parts) r USING (part)) WHERE construct IN (SELECT construct FROM whole)
+    WINDOW w AS (PARTITION BY construct ORDER BY position, part ROWS UNBOUNDED PRECEDING)),
+  js AS (SELECT construct, coalesce(list(e) FILTER (next_role IS NOT NULL), []) AS js FROM ends GROUP BY construct),
+  built AS MATERIALIZED (SELECT * FROM whole JOIN js USING (construct) JOIN heads USING (construct)),
+  found AS (SELECT DISTINCT construct, 'part not listed' AS rule, 'BLOCK' AS level, part::VARCHAR AS part FROM ord WHERE NOT listed
+    UNION ALL SELECT DISTINCT construct, 'trim not found', 'BLOCK', part::VARCHAR FROM ord WHERE cut IS NULL AND construct NOT IN (SELECT construct FROM ord WHERE NOT listed)
+    UNION ALL SELECT construct, 'length differs', 'BLOCK', NULL FROM built WHERE length(insert) <> n
+    UNION ALL SELECT construct, 'gc out of range', 'WARN', NULL FROM built WHERE {gc_sql("insert")} NOT BETWEEN 0.25 AND 0.65
+    UNION ALL SELECT construct, 'homopolymer', 'WARN', NULL FROM built WHERE {run_sql("insert")} > 10
+    UNION ALL SELECT construct, 'over fragment cap', 'INFO', NULL FROM built WHERE length(insert) > cap
+    UNION ALL SELECT construct, 'rbs before no start', 'WARN', NULL FROM ends WHERE role = 'rbs' AND next_role = 'cds' AND substr(next_cut, 1, 3) <> 'ATG'
+    """ + " ".join(f"UNION ALL SELECT construct, 'site over junction', 'BLOCK', '{e}' FROM built WHERE k = {k} AND {over_sql(e)}" for k, names in enumerate(SITE_LISTS) for e in sorted(set(names)) if e != "Unheard") + """
+    UNION ALL SELECT construct, 'site not known', 'SKIP', 'Unheard' FROM built WHERE k IN (1, 4)
+    UNION ALL SELECT construct, 'no order', 'BLOCK', NULL FROM heads WHERE construct NOT IN (SELECT construct FROM ord))"""
+
+
+def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The constructs of the build checks, whose specs forbid sites of their own."""
+    p, k, o = parts(spark, sf_dir), F.col("part"), F.col("o_orderkey")
+    order = lines(spark, sf_dir).select("construct", "position", "part")
+    listed = p.where(k % 41 != 0).select("part", "seq", (F.length("seq") + F.when(k % 43 == 0, 1).otherwise(0)).alias("length"), "role")
+    trims = p.select("part", F.when(k % 5 == 0, F.substr("seq", F.lit(93), F.lit(4))).when(k % 31 == 0, "NNNN").alias("three_prime"), F.when(k % 7 == 0, F.substr("seq", F.lit(1), F.lit(3))).alias("five_prime"))
+    lists = F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in SITE_LISTS])
+    heads = read(spark, sf_dir, "orders").select(o.alias("construct"), F.get(lists, (o % 5).cast("int")).alias("sites"), F.when(o % 4 == 0, 300).otherwise(700).alias("cap"))
+    return build.planned(order, listed, trims, heads, build.ENZYMES | EXTRA)
+
+
+@query(f"WITH {PLAN_SQL} SELECT * FROM found WHERE construct IN (SELECT construct FROM heads)")
+def build_plan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, verdicts = plan(spark, sf_dir)
+    return found.join(verdicts.select("construct"), "construct", "left_semi")
+
+
+@query(f"""WITH {PLAN_SQL}, c AS (SELECT construct, count_if(level = 'BLOCK') AS block, count_if(level = 'WARN') AS warn, count_if(level = 'INFO') AS info, count_if(level = 'SKIP') AS skip FROM found GROUP BY construct),
+  v AS (SELECT construct, coalesce(block, 0) AS block, coalesce(warn, 0) AS warn, coalesce(info, 0) AS info, coalesce(skip, 0) AS skip, sha256(insert) AS sha FROM heads LEFT JOIN c USING (construct) LEFT JOIN (SELECT construct, insert FROM built) USING (construct))
+  SELECT construct, block, warn, info, skip, CASE WHEN block > 0 THEN 'FAIL' WHEN warn > 0 OR skip > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict, CASE WHEN block = 0 THEN sha END AS insert_sha256 FROM v""")
+def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(spark, sf_dir)[1]
+
+
+@query(f"""WITH {PARTS_SQL} SELECT part, len(list_filter(range(1, 93), lambda i: regexp_matches(substr(seq, i, 5), '^GG[AT]CC'))) * 2 AS palindrome,
+  len(list_filter(range(1, 94), lambda i: substr(seq, i, 4) = 'CCGC')) + len(list_filter(range(1, 94), lambda i: substr(seq, i, 4) = 'GCGG')) AS both FROM parts""")
+def strand_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).select("part", F.size(build.site_hits("seq", "GGWCC")).alias("palindrome"), F.size(build.site_hits("seq", "CCGC")).alias("both"))
