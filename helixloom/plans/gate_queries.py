@@ -125,15 +125,20 @@ ROOTS_SQL = SEALED_SQL + """, libs AS (SELECT part % 7 AS library, version, row_
   checked AS (SELECT library, problem IS NULL AS ok, coalesce(problem, CASE WHEN pin = '' THEN 'no pin' ELSE '' END) AS problem FROM said)"""
 
 
-def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def root_inputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seven libraries, six of them spoilt in one way each, and their roots."""
     k = F.col("part")
-    rows = sealed(spark, sf_dir).withColumn("library", k % 7).withColumn("h", manifest.row_sha256())
+    rows = rows.withColumn("library", k % 7).withColumn("h", manifest.row_sha256())
     hit = k % 10 == 5
     stored = rows.withColumn("row_sha256", F.when((F.col("library") == 1) & hit, F.substring("h", 1, 26)).when((F.col("library") == 2) & hit, F.reverse("h")).when((F.col("library") == 3) & hit, "").otherwise(F.col("h")))
     per = rows.groupBy("library").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "h"))), lambda x: x["h"]), "\n"), 256).alias("root"))
     n = F.col("library")
     given = per.select("library", F.when(n == 4, F.md5("root")).when(n != 6, F.col("root")).alias("disk_root"), F.when(n == 5, F.md5(F.lit("x"))).when(n % 2 == 0, F.col("root")).otherwise("").alias("pin"))
-    return gates.root_checks(stored, given, "version")
+    return stored, given
+
+
+def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.root_checks(*root_inputs(sealed(spark, sf_dir)), "version")
 
 
 @query(f"WITH {ROOTS_SQL} SELECT * FROM checked")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, audit, build, decompose, offtarget
-from helixloom.plans.gate_queries import BUILDS_SQL, WHOLE_SQL, whole_records
-from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, spell
+from helixloom.operators import assembly, audit, build, decompose, library, offtarget
+from helixloom.plans.gate_queries import BUILDS_SQL, ROOTS_SQL, WHOLE_SQL, root_inputs, whole_records
+from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, sealed, spell
 from helixloom.plans.rule_queries import genomes
 
 SPACER = 24
@@ -177,3 +177,27 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
   len(list_filter(range(1, 94), lambda i: substr(seq, i, 4) = 'CCGC')) + len(list_filter(range(1, 94), lambda i: substr(seq, i, 4) = 'GCGG')) AS both FROM parts""")
 def strand_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("part", F.size(build.site_hits("seq", "GGWCC")).alias("palindrome"), F.size(build.site_hits("seq", "CCGC")).alias("both"))
+
+
+LOAD_SQL = ROOTS_SQL.replace("substr(sha256(seq), 1, 12) || '.gb'", "CASE WHEN part % 19 = 0 THEN 'aaaaaaaaaaaa' ELSE substr(sha256(seq), 1, 12) END || '.gb'") + """,
+  st AS (SELECT s.*, part % 7 AS library, CASE WHEN part % 11 = 0 THEN NULL WHEN part % 17 = 0 THEN '' WHEN part % 13 = 0 THEN reverse(seq) ELSE lower(seq) END AS there FROM sealed s),
+  pr AS (SELECT st.*, CASE WHEN there IS NULL THEN 'file missing' WHEN there = '' THEN 'no bases' WHEN sha256(upper(there)) <> seq_sha256 THEN 'bases differ from their row' WHEN part % 19 = 0 THEN 'bases differ from their name' END AS problem
+    FROM st JOIN checked USING (library) WHERE checked.problem IN ('', 'no pin', 'root missing'))"""
+
+
+def stored_library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("part")
+    rows = sealed(spark, sf_dir).withColumn("outfile", F.when(k % 19 == 0, F.regexp_replace("outfile", r"[0-9a-f]{12}\.gb$", "aaaaaaaaaaaa.gb")).otherwise(F.col("outfile")))
+    stored, given = root_inputs(rows)
+    texts = rows.where(k % 11 != 0).select(F.col("outfile").alias("path"), F.when(k % 17 == 0, "").when(k % 13 == 0, F.reverse("seq")).otherwise(F.lower("seq")).alias("seq"))
+    return library.load(stored.drop("seq"), texts, given, "version")
+
+
+@query(f"""WITH {LOAD_SQL} SELECT library, id, version, upper(there) AS seq, 'your library ' || split_part(outfile, '/', 2) || ' | synthetic' AS provenance FROM pr WHERE problem IS NULL""")
+def library_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_library(spark, sf_dir)[0].drop("role")
+
+
+@query(f"""WITH {LOAD_SQL} SELECT library, id, problem FROM pr WHERE problem IS NOT NULL UNION ALL SELECT library, NULL, problem FROM checked WHERE problem NOT IN ('', 'no pin')""")
+def library_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_library(spark, sf_dir)[1]
