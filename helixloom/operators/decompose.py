@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import audit, claims, gates, identify, orfs
+from helixloom.operators import audit, claims, gates, identify, offtarget, orfs
 from helixloom.operators.lineage import cut
 
 LEAST_RECORD = 8
@@ -87,13 +87,44 @@ def identity_findings(blocks: DataFrame, inner: DataFrame, records: DataFrame, r
     return both.unionByName(gates.nested_findings(inner).select("record", "start", "end", "category", "status"))
 
 
-def audited(records: DataFrame, refs: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks, findings (record, category, status) and verdicts of records."""
+def junction_findings(blocks: DataFrame, text: DataFrame) -> DataFrame:
+    """(record, category, status) of the start site behind each binding site;
+    a circle is read on past its origin."""
+    n = F.length("seq")
+    sites = blocks.where("role = 'rbs'").select("record", "start", "end", F.coalesce("strand", F.lit(1)).alias("strand")).join(text, "record")
+    turn = F.when(F.col("circular"), n).otherwise(0)
+    laid = sites.select("record", (F.col("start") + turn).alias("start"), (F.col("end") + turn).alias("end"), "strand", F.when(F.col("circular"), F.repeat("seq", 3)).otherwise(F.col("seq")).alias("seq"))
+    return orfs.start_spacing(laid).select("record", F.lit("junction").alias("category"), "status")
+
+
+def audited(
+    records: DataFrame, refs: DataFrame, features: DataFrame, genome: DataFrame | None = None, reca_minus: bool = False, registry: DataFrame | None = None, cap: int | None = None,
+    type_iis: bool = False, biobrick: bool = False, size: int = offtarget.PIECE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, findings (record, category, status) of all checks, and a verdict
+    for every record.
+
+    Checks of blocks and labels, of start sites, of whole sequences, repeats,
+    the host's ``genome`` (host, start, bases in pieces of ``size``; a SKIP row
+    without one), the fragment cap, and labels against a ``registry``."""
     blocks, inner = decompose(records, refs, features)
     found = cut(identity_findings(blocks, cut(inner_names(inner, records, refs)), records, refs))
-    sizes = records.select(F.col("record").cast("string").alias("record"), F.length("seq").alias("length"))
+    text = texts(records)
+    sizes = text.select("record", F.length("seq").alias("length"))
     ran = sizes.select("record", F.lit(True).alias("ran"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("deep_failed"))
     places = blocks.where("kind = 'found'").groupBy("record", F.col("ident").alias("ref")).agg(F.max("n_diagonals").alias("places"))
-    runs = gates.run_findings(sizes, blocks.select("record", "start", "end", "ident"), ran, places)
-    findings = found.select("record", "category", "status").unionByName(runs.select("record", "category", "status"))
+    none = F.lit(None).cast("int").alias("longest")
+    shared = sizes.select("record", none) if genome is None else offtarget.longest_shared(text.select(F.col("record").alias("query"), F.col("seq").alias("qseq")), genome, size=size).select(F.col("query").alias("record"), "longest")
+    host = shared.select("record", F.lit(genome is not None).alias("has_host"), F.lit(reca_minus).alias("reca_minus"), "longest")
+    checks = [
+        found, gates.run_findings(sizes, blocks.select("record", "start", "end", "ident"), ran, places), junction_findings(blocks, text), audit.record_findings(text, type_iis, biobrick, cap),
+        audit.repeat_findings(audit.longest_repeats(text)), gates.homology_findings(host),
+    ]
+    if registry is not None:
+        read = blocks.where("claim is not null").join(text, "record").withColumn("piece", S.stretch("seq", F.col("start"), F.col("end")))
+        asked = read.select("record", F.col("start").alias("block"), "claim", F.coalesce("strand", F.lit(1)).alias("strand"), F.col("piece").alias("seq"))
+        checks.append(claims.registry_findings(asked, registry).select("record", F.lit("registry").alias("category"), "status"))
+    findings = checks[0].select("record", "category", "status")
+    for more in checks[1:]:
+        findings = findings.unionByName(more.select("record", "category", "status"))
     return blocks, findings, audit.verdict(findings, sizes)

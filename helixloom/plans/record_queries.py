@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixloom.functions import sequence as S
 from helixloom.operators import assembly, audit, build, decompose, library, offtarget
 from helixloom.plans.gate_queries import BUILDS_SQL, ROOTS_SQL, WHOLE_SQL, root_inputs, whole_records
-from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, sealed, spell
+from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, sealed, site_rows_sql, spell, stop_sql
 from helixloom.plans.rule_queries import genomes
 
 SPACER = 24
@@ -201,3 +201,30 @@ def library_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LOAD_SQL} SELECT library, id, problem FROM pr WHERE problem IS NOT NULL UNION ALL SELECT library, NULL, problem FROM checked WHERE problem NOT IN ('', 'no pin')""")
 def library_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_library(spark, sf_dir)[1]
+
+
+AUDIT_SQL = WHOLE_SQL + f""", host AS (SELECT DISTINCT seq FROM parts WHERE part % 8 = 0),
+  rb AS (SELECT construct, start, seq AS body, substr(insert, "end"::INT + 1, 42) AS down FROM places JOIN inserts USING (construct) WHERE role = 'rbs'),
+  sd AS (SELECT *, list_transform(range(1, length(body) - 4), lambda i: (substr(body, i, 1) = 'A')::INT + (substr(body, i + 1, 1) = 'G')::INT + (substr(body, i + 2, 1) = 'G')::INT + (substr(body, i + 3, 1) = 'A')::INT + (substr(body, i + 4, 1) = 'G')::INT + (substr(body, i + 5, 1) = 'G')::INT) AS scores FROM rb),
+  sp AS (SELECT construct, list_max(scores) AS top, length(body) - (list_max(list_filter(range(1, len(scores) + 1), lambda i: scores[i] = list_max(scores))) + 5) + instr(down, 'ATG') - 1 AS spacing, instr(down, 'ATG') AS atg FROM sd),
+  f AS (SELECT construct, 'FLAG' AS status FROM places WHERE part % 9 = 0 UNION ALL SELECT construct, 'FLAG' FROM places WHERE part % 4 = 0
+    UNION ALL SELECT construct, 'FAIL' FROM places WHERE role = 'cds' AND {stop_sql("seq")} UNION ALL SELECT construct, 'FLAG' FROM places WHERE role = 'cds' AND substr(seq, 1, 3) NOT IN ('ATG', 'GTG', 'TTG')
+    UNION ALL SELECT construct, CASE WHEN atg > 0 AND top >= 4 AND spacing BETWEEN 5 AND 9 THEN 'PASS' ELSE 'FLAG' END FROM sp
+    UNION ALL SELECT construct, CASE WHEN 100.0 * {gc_sql("insert")} NOT BETWEEN 25 AND 65 THEN 'FLAG' ELSE 'PASS' END FROM inserts UNION ALL SELECT construct, 'FLAG' FROM inserts WHERE {run_sql("insert")} >= 9
+    UNION ALL SELECT construct, CASE WHEN length(insert) > 700 THEN 'FLAG' ELSE 'PASS' END FROM inserts
+    UNION ALL SELECT construct, status FROM (SELECT construct, 'x' AS category, 'y' AS status FROM inserts WHERE false {site_rows_sql()})
+    UNION ALL SELECT construct, 'FLAG' FROM (SELECT construct, substr(insert, i, 30) AS w FROM (SELECT construct, insert, unnest(range(1, length(insert) - 28)) AS i FROM inserts) GROUP BY ALL HAVING count(*) > 1) GROUP BY construct
+    UNION ALL SELECT construct, CASE WHEN bool_or(seq IN (SELECT seq FROM host)) THEN 'FLAG' ELSE 'PASS' END FROM places GROUP BY construct
+    UNION ALL SELECT construct, 'FLAG' FROM (SELECT construct, seq FROM places GROUP BY ALL HAVING count(*) > 4) GROUP BY construct)"""
+
+
+@query(f"""WITH {AUDIT_SQL}, c AS (SELECT construct AS record, count_if(status = 'FAIL') AS n_fail, count_if(status = 'FLAG') AS n_flag, count_if(status = 'SKIP') AS n_skip, count_if(status = 'NOTE') AS n_note, count_if(status = 'PASS') AS n_pass FROM f GROUP BY construct)
+  SELECT *, CASE WHEN n_fail > 0 THEN 'FAIL' WHEN n_flag > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM c""")
+def audited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructs with their parts' roles as labels, through every check."""
+    records, refs, labels = whole_records(spark, sf_dir)
+    roles = assembly.features(lines(spark, sf_dir)).select(F.col("construct").alias("record"), F.col("start").cast("int").alias("start"), "role").distinct()
+    labels = labels.join(roles, ["record", "start"]).withColumn("kind", F.col("role")).drop("role")
+    host = genomes(parts(spark, sf_dir)).where("host = 0")
+    _, _, verdicts = decompose.audited(records, refs, labels, host, cap=700, size=96)
+    return verdicts.select(F.col("record").cast("long").alias("record"), "n_fail", "n_flag", "n_skip", "n_note", "n_pass", "verdict")
