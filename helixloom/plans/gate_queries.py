@@ -157,9 +157,9 @@ def part_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.intake(new, sealed(spark, sf_dir).withColumn("library", k % 7), roots(spark, sf_dir))
 
 
-@query(f"""WITH {SEALED_SQL}, t AS (SELECT unnest(['GREEN', 'e']) AS term) SELECT term, CASE WHEN lower(id) = lower(term) THEN 'exact' ELSE 'near' END AS match, id, version FROM sealed JOIN t ON contains(lower(id), lower(term))""")
+@query(f"""WITH {SEALED_SQL}, n AS (SELECT CASE WHEN part % 50 = 7 THEN 'Green' ELSE id END AS id, version FROM sealed), t AS (SELECT unnest(['GREEN', 'e']) AS term) SELECT term, CASE WHEN lower(id) = lower(term) THEN 'exact' ELSE 'near' END AS match, id, version FROM n JOIN t ON contains(lower(id), lower(term))""")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.searched(sealed(spark, sf_dir), ["GREEN", "e"])
+    return gates.searched(sealed(spark, sf_dir).withColumn("id", F.when(F.col("part") % 50 == 7, "Green").otherwise(F.col("id"))), ["GREEN", "e"])
 
 
 @query(f"""WITH {PARTS_SQL}, f AS (SELECT part % 5 AS library, CASE WHEN part % 3 = 0 THEN 'lib/_new/' WHEN part % 3 = 1 THEN 'lib/a_b/' ELSE '_x/' END || part || CASE WHEN part % 4 = 0 THEN '.txt' ELSE '.gb' END AS path FROM parts)

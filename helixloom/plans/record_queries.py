@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, audit, build, decompose, library, offtarget
+from helixloom.operators import assembly, audit, build, decompose, library, offtarget, projection
 from helixloom.plans.gate_queries import BUILDS_SQL, ROOTS_SQL, WHOLE_SQL, root_inputs, whole_records
-from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, sealed, site_rows_sql, spell, stop_sql
+from helixloom.plans.reference_queries import HEX, INSERTS_SQL, LINES_SQL, PARTS_SQL, SEALED_SQL, SPELT, gc_sql, lines, parts, query, rc_sql, read, run_sql, sealed, site_rows_sql, spell, stop_sql
 from helixloom.plans.rule_queries import genomes
 
 SPACER = 24
@@ -228,3 +228,78 @@ def audited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = genomes(parts(spark, sf_dir)).where("host = 0")
     _, _, verdicts = decompose.audited(records, refs, labels, host, cap=700, size=96)
     return verdicts.select(F.col("record").cast("long").alias("record"), "n_fail", "n_flag", "n_skip", "n_note", "n_pass", "verdict")
+
+
+PROJECTION_SQL = SEALED_SQL + """, lib AS (SELECT 'k' || part % 400 AS id, outfile, CASE WHEN part % 23 = 0 THEN '' WHEN part % 29 = 0 THEN reverse(seq) ELSE seq END AS seq, CASE WHEN part % 31 = 0 THEN NULL ELSE seq_sha256 END AS seq_sha256, part % 9 = 0 AS designed, part,
+    'from BBa_X' || part || CASE WHEN part % 37 = 0 THEN ' IGEM:0000009' ELSE '' END AS source FROM sealed),
+  allow AS (SELECT DISTINCT 'k' || part % 800 AS id, ['promoter', 'rbs', 'cds'][(part % 800 % 3 + 1)::INT] AS role FROM parts WHERE part % 800 % 2 = 0),
+  newest AS (SELECT * FROM lib QUALIFY row_number() OVER (PARTITION BY id ORDER BY outfile DESC) = 1),
+  judged AS (SELECT a.id, a.role, n.*, CASE WHEN n.id IS NULL THEN 'not in the library' WHEN seq = '' THEN 'no bases' WHEN seq_sha256 IS NULL THEN 'no row lists it' WHEN part % 29 = 0 THEN 'bases differ from their name'
+    WHEN designed AND substr(a.id, 2)::INT % 5 <> 0 THEN 'designed and not published' END AS reason FROM allow a LEFT JOIN newest n ON n.id = a.id),
+  fresh AS (SELECT id, role, 'BBa_X' || part AS registry, 'parts-library ' || split_part(outfile, '/', 2) || ' | ' || source AS provenance, seq FROM judged WHERE reason IS NULL),
+  old AS (SELECT DISTINCT 'k' || part % 900 AS id, 'terminator' AS role, '' AS registry, CASE WHEN part % 900 % 4 = 0 THEN 'SynBioHub' WHEN part % 900 % 7 = 0 THEN 'iGEM Registry IGEM:0000021' ELSE 'iGEM Registry' END AS provenance, 'ACGT' AS seq FROM parts),
+  whole AS (SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE starts_with(provenance, 'iGEM Registry') AND id NOT IN (SELECT id FROM fresh)), alone AS (SELECT * FROM whole WHERE NOT contains(provenance, 'IGEM:')),
+  hand AS (SELECT DISTINCT 'k' || part % 1000 AS id, 'rbs' AS role, '' AS registry, 'typed in' AS provenance, 'AGGAGG' AS seq FROM parts),
+  done AS (SELECT * FROM alone UNION ALL SELECT * FROM hand WHERE id NOT IN (SELECT id FROM alone))"""
+
+
+def references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set, the refusals and the composites left out."""
+    k = F.col("part")
+    name = lambda n: F.concat(F.lit("k"), (k % n).cast("string"))
+    rows = sealed(spark, sf_dir)
+    source = F.concat(F.lit("from BBa_X"), k.cast("string"), F.when(k % 37 == 0, " IGEM:0000009").otherwise(""))
+    lib = rows.select(name(400).alias("id"), "outfile", F.when(k % 23 == 0, "").when(k % 29 == 0, F.reverse("seq")).otherwise(F.col("seq")).alias("seq"), F.when(k % 31 != 0, F.col("seq_sha256")).alias("seq_sha256"), F.when(k % 9 == 0, "designed").otherwise("reference").alias("class"), source.alias("source"))
+    n = k % 800
+    allowed = rows.where(n % 2 == 0).select(name(800).alias("id"), F.element_at(F.array(*map(F.lit, ("promoter", "rbs", "cds"))), (n % 3 + 1).cast("int")).alias("role"), F.lit(None).cast("string").alias("variant"), name(800).alias("name")).distinct()
+    published = rows.where(n % 5 == 0).select(name(800).alias("id"))
+    row = lambda n, role, origin, seq: rows.select(name(n).alias("id"), F.lit("").alias("registry"), F.lit(role).alias("role"), F.lit("").alias("variant"), F.lit("").alias("name"), origin.alias("provenance"), F.lit(seq).alias("seq")).distinct()
+    old = row(900, "terminator", F.when(k % 900 % 4 == 0, "SynBioHub").when(k % 900 % 7 == 0, "iGEM Registry IGEM:0000021").otherwise("iGEM Registry"), "ACGT")
+    fresh, refused = projection.seeded(allowed, lib, published)
+    whole, left_out = projection.projected(fresh, old, row(1000, "rbs", F.lit("typed in"), "AGGAGG"))
+    return whole, refused, left_out
+
+
+@query(f"WITH {PROJECTION_SQL} SELECT id, role, registry, provenance, seq FROM done")
+def reference_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references(spark, sf_dir)[0].select("id", "role", "registry", "provenance", "seq")
+
+
+@query(f"WITH {PROJECTION_SQL} SELECT id, reason FROM (SELECT a.id, j.reason FROM allow a JOIN judged j USING (id)) WHERE reason IS NOT NULL UNION ALL SELECT id, 'composite' FROM whole WHERE contains(provenance, 'IGEM:')")
+def projection_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, refused, left_out = references(spark, sf_dir)
+    return refused.unionByName(left_out.select("id", F.lit("composite").alias("reason")))
+
+
+@query(f"""WITH {PROJECTION_SQL} SELECT 'role' AS kind, role AS value, count(*) AS n FROM done GROUP BY role
+  UNION ALL SELECT 'origin', CASE WHEN starts_with(provenance, 'parts-library') THEN 'library' WHEN starts_with(provenance, 'iGEM Registry') THEN 'registry' ELSE 'hand' END, count(*) FROM done GROUP BY 2""")
+def projection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.counts(references(spark, sf_dir)[0])
+
+
+SKEWED_SQL = f"""sk AS (SELECT o_orderkey AS record, translate(md5(o_orderkey::VARCHAR), '{HEX}', '{SPELT}') AS s FROM orders),
+  skewed AS (SELECT record, CASE record % 7 WHEN 0 THEN '' WHEN 1 THEN translate(s, 'AT', 'GC') WHEN 2 THEN translate(s, 'GC', 'AT') WHEN 3 THEN s || repeat('A', 8 + (record % 5)::INT) WHEN 4 THEN s || 'CATATG' || s WHEN 5 THEN repeat(s, 8) ELSE s END AS seq FROM sk)"""
+
+
+def skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that every rule on whole sequences meets: none, one-sided, runs, sites, long ones."""
+    k = F.col("o_orderkey")
+    s = F.translate(F.md5(k.cast("string")), HEX, SPELT)
+    text = F.when(k % 7 == 0, "").when(k % 7 == 1, F.translate(s, "AT", "GC")).when(k % 7 == 2, F.translate(s, "GC", "AT")).when(k % 7 == 3, F.concat(s, F.repeat(F.lit("A"), (8 + k % 5).cast("int")))).when(k % 7 == 4, F.concat(s, F.lit("CATATG"), s)).when(k % 7 == 5, F.repeat(s, 8)).otherwise(s)
+    return read(spark, sf_dir, "orders").select(k.alias("record"), text.alias("seq"))
+
+
+@query(f"""WITH {SKEWED_SQL}, inserts AS (SELECT record AS construct, seq AS insert FROM skewed WHERE seq <> '') SELECT record, 'invariant' AS category, 'FAIL' AS status FROM skewed WHERE seq = ''
+  UNION ALL SELECT construct, 'composition', CASE WHEN 100.0 * {gc_sql("insert")} NOT BETWEEN 25 AND 65 THEN 'FLAG' ELSE 'PASS' END FROM inserts UNION ALL SELECT construct, 'homopolymer', 'FLAG' FROM inserts WHERE {run_sql("insert")} >= 9
+  UNION ALL SELECT record, 'size', CASE WHEN length(seq) > 200 THEN 'FLAG' ELSE 'PASS' END FROM skewed {site_rows_sql().replace("'NOTE'", "'FLAG'")}""")
+def skewed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.record_findings(skewed(spark, sf_dir), type_iis=True, biobrick=True, cap=200)
+
+
+@query(f"""WITH {SKEWED_SQL} SELECT record AS construct, 'empty insert' AS rule, 'BLOCK' AS level FROM skewed WHERE seq = '' UNION ALL SELECT record, 'gc out of range', 'WARN' FROM skewed WHERE seq = '' OR {gc_sql("seq")} NOT BETWEEN 0.25 AND 0.65
+  UNION ALL SELECT record, 'homopolymer', 'WARN' FROM skewed WHERE {run_sql("seq")} > 10 UNION ALL SELECT record, 'over fragment cap', 'INFO' FROM skewed WHERE length(seq) > 200
+  UNION ALL SELECT record, 'site over junction', 'BLOCK' FROM skewed WHERE record % 7 = 4""")
+def skewed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as an insert; where a site was put, a junction lies in it."""
+    whole = skewed(spark, sf_dir).select(F.col("record").alias("construct"), F.col("seq").alias("insert"), F.when(F.col("record") % 7 == 4, F.array(F.lit(35))).otherwise(F.array().cast("array<int>")).alias("junctions"), F.lit(0).alias("starts_missing"))
+    return assembly.found_in(whole, cap=200).where("rule is not null")

@@ -57,3 +57,61 @@ def test_inbox(spark, folder, tmp_path_factory):
     inbox.audit_inbox(spark, str(folder), str(out / "r"), str(out / "c")).awaitTermination()
     got = spark.read.parquet(str(out / "r"))
     assert got.where("status = 'FAIL'").count() == 3 and got.where("category = 'composition'").count() == 3
+
+
+@pytest.mark.parametrize("size, over, span", [(4096, 64, 1 << 20), (10, 3, 40), (7, 5, 23), (1, 1, 1)])
+def test_genome_pieces(spark, tmp_path, size, over, span):
+    """Whatever the ranges, pieces make each record again, once."""
+    import random
+
+    from helixloom.sources.genomes import FastaPieces
+
+    rng = random.Random(1)
+    spark.dataSource.register(FastaPieces)
+    want = {}
+    for f in range(2):
+        text = ""
+        for i in range(5):
+            seq = "".join(rng.choice("ACGTN") for _ in range(rng.choice([1, 9, 10, 11, 60, 133])))
+            want[f"g{f}r{i}"] = seq
+            text += f">g{f}r{i} about it\n" + "\n".join(seq[j : j + 13].lower() for j in range(0, len(seq), 13)) + rng.choice(["\n", "\n\n", "\r\n"])
+        (tmp_path / f"{f}.fasta").write_text(text)
+    (tmp_path / "bad.fa").write_text("stray\n>empty\n>odd\nACGT12\nXYAC\n")
+    (tmp_path / "note.txt").write_text("not read")
+    rows = spark.read.format("fasta_pieces").option("size", size).option("over", over).option("range", span).load(str(tmp_path)).collect()
+    got = {}
+    for r in sorted((r for r in rows if r.bases), key=lambda r: (r.name, r.start)):
+        assert r.start % size == 0 and len(r.bases) <= size + over and r.start == len(got.get(r.name, ""))
+        got[r.name] = got.get(r.name, "") + r.bases[:size]
+        assert want.get(r.name, "ACGTAC")[r.start : r.start + size + over] == r.bases
+    assert got == want | {"odd": "ACGTAC"}
+    assert sorted((r.name or "", r.problem) for r in rows if r.problem) == [("", "text before the first header"), ("empty", "no bases"), ("odd", "no bases: 12"), ("odd", "no bases: XY")]
+
+
+def test_hits_in_a_genome_that_was_read_in_pieces(spark, tmp_path):
+    import random
+
+    from helixloom.operators import offtarget
+    from helixloom.sources.genomes import FastaPieces
+
+    rng = random.Random(2)
+    genome = "".join(rng.choice("ACGT") for _ in range(5000))
+    (tmp_path / "host.fasta").write_text(">chr\n" + "\n".join(genome[i : i + 70] for i in range(0, 5000, 70)) + "\n")
+    spark.dataSource.register(FastaPieces)
+    pieces = spark.read.format("fasta_pieces").option("size", 256).option("range", 900).load(str(tmp_path)).select(F.col("name").alias("host"), "start", "bases")
+    turned = genome[1000:1400][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    other = lambda x: "ACGT".replace(x, "")[0]
+    q = spark.createDataFrame([("a", "TTT" + other(genome[199]) + genome[200:820] + other(genome[820]) + "G"), ("b", turned), ("c", "".join(rng.choice("ACGT") for _ in range(300))), ("d", genome[:1500])], "query string, qseq string")
+    hits = {r.query: r for r in offtarget.host_hits(q, pieces, size=256).collect() if r.length > 100}
+    assert (hits["a"].gstart, hits["a"].gend, hits["a"].pident) == (201, 820, 100.0) and (hits["b"].gstart, hits["b"].gend, hits["b"].strand) == (1400, 1001, "-")
+    assert {r.query: r.longest for r in offtarget.longest_shared(q, pieces, size=256).collect()} == {"a": 620, "b": 400, "c": 0, "d": 1000}
+
+
+def test_projection_is_written_in_order(spark, tmp_path):
+    from helixloom.operators import projection
+
+    rows = spark.createDataFrame([(f"p{i}", "", r, "", "n", "o", "ACGT") for i, r in enumerate(["rbs", "cds", "promoter"] * 20)], ", ".join(f"{c} string" for c in projection.COLUMNS))
+    projection.write(rows, str(tmp_path / "set"))
+    files_ = sorted((tmp_path / "set/parts").glob("part-*"))
+    keys = [tuple(x.split("\t")[i] for i in (2, 0)) for f in files_ for x in f.read_text().splitlines()[1:]]
+    assert keys == sorted(keys) and len(keys) == 60
