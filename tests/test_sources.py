@@ -115,3 +115,33 @@ def test_projection_is_written_in_order(spark, tmp_path):
     files_ = sorted((tmp_path / "set/parts").glob("part-*"))
     keys = [tuple(x.split("\t")[i] for i in (2, 0)) for f in files_ for x in f.read_text().splitlines()[1:]]
     assert keys == sorted(keys) and len(keys) == 60
+
+
+def test_inbox_audits_a_content_once(spark, tmp_path):
+    """The same bytes under two names, at once and after a restart."""
+    import random
+
+    rng = random.Random(3)
+    part = "".join(rng.choice("ACGT") for _ in range(120))
+    (tmp_path / "in").mkdir()
+
+    def put(name, seq):
+        body = "\n".join(f"{i + 1:9d} {seq[i : i + 60].lower()}" for i in range(0, len(seq), 60))
+        (tmp_path / "in" / name).write_text(f'LOCUS       x {len(seq)} bp    DNA     linear   SYN 01-JAN-2026\nFEATURES             Location/Qualifiers\n     promoter        1..120\n                     /label="PART"\nORIGIN\n{body}\n//\n')
+
+    refs = spark.createDataFrame([("PART", part)], "ref string, seq string")
+    run = lambda: inbox.audit_inbox(spark, str(tmp_path / "in"), str(tmp_path / "r"), str(tmp_path / "c"), refs, cap=500).awaitTermination()
+    put("a.gb", part + "ACGTTGCA" * 4)
+    put("b.gb", part + "ACGTTGCA" * 4)
+    (tmp_path / "in/bad.png").write_bytes(b"\x89PNG\r\n\x1a\n0000")
+    run()
+    verdicts = lambda: [Path(r.record).name for r in spark.read.parquet(str(tmp_path / "r/verdicts")).collect()]
+    first = verdicts()
+    assert len(first) == 1 and first[0] in ("a.gb", "b.gb")
+    put("c.gb", part + "ACGTTGCA" * 4)
+    put("d.gb", part)
+    run()
+    assert sorted(verdicts()) == sorted([*first, "d.gb"])
+    found = spark.read.parquet(str(tmp_path / "r/findings")).collect()
+    assert {(Path(r.record).name, r.status) for r in found if r.category.startswith("no bases")} == {("bad.png", "FAIL")}
+    assert {r.status for r in found if r.category == "size"} == {"PASS"} and {r.category for r in found} >= {"host-homology", "composition"}
