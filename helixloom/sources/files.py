@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from helixloom.functions import sequence as S
 from helixloom.operators.manifest import FIELDS
@@ -18,11 +17,20 @@ MAGIC = {"png": "89504E47", "pdf": "25504446", "jpeg": "FFD8FF", "gif": "4749463
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated manifest, all fields text, with its line ``ordinal``."""
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in (*FIELDS, "row_sha256")])
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote="", emptyValue="", enforceSchema=False)
-    rows = rows.where(F.col("id").isNotNull()).fillna("")
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    """A tab-separated manifest, all fields text, with the ``ordinal`` of each
+    row's line. A file without some column of FIELDS or row_sha256 is refused
+    with their names.
+
+    A manifest is a list in order, and its root is of that order: each file is
+    read by one task, line by line."""
+    names = (*FIELDS, "row_sha256")
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    head = F.split(F.get("lines", F.lit(0)), "\t")
+    lacking = F.filter(F.array(*map(F.lit, names)), lambda c: ~F.array_contains(F.col("head"), c))
+    checked = lines.withColumn("head", head).withColumn("head", F.when(F.size(lacking) == 0, F.col("head")).otherwise(F.raise_error(F.concat(F.lit("manifest lacks "), F.array_join(lacking, ", ")))))
+    each = checked.select("head", F.posexplode("lines").alias("ordinal", "line")).where("ordinal > 0 and trim(line) <> ''").withColumn("cells", F.split("line", "\t", -1))
+    field = lambda c: F.coalesce(F.get("cells", (F.array_position("head", F.lit(c)) - 1).cast("int")), F.lit("")).alias(c)
+    return each.select(*map(field, names), F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def flat_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -89,7 +97,9 @@ def references(spark: SparkSession, table: str, fasta: str) -> DataFrame:
     a sequence are dropped, of equal FASTA ids the last wins."""
     rows = spark.read.csv(table, sep="\t", header=True, quote="")
     entries = spark.read.text(fasta, lineSep=">").where(F.trim("value") != "")
-    seqs = entries.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("id"), S.normalise(F.regexp_replace("value", r"^[^\n]*\n?", "")).alias("seq"), F.monotonically_increasing_id().alias("n"))
+    # by file, range of bytes, and order within the range
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    seqs = entries.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("id"), S.normalise(F.regexp_replace("value", r"^[^\n]*\n?", "")).alias("seq"), place.alias("n"))
     return rows.join(seqs.groupBy("id").agg(F.max_by("seq", "n").alias("seq")), "id")
 
 
