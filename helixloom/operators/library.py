@@ -49,6 +49,24 @@ def load(rows: DataFrame, texts: DataFrame, roots: DataFrame, order: str) -> tup
     return parts, met.where("problem is not null").select("library", "id", "problem").unionByName(whole)
 
 
+def copied(rows: DataFrame, texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(id, seq, source, class, problem) of the ids ``wanted`` (id) from
+    another library ``name``: manifest ``rows`` with ordinal, the last of an id
+    counting, and ``texts`` (path, seq).
+
+    What a row says isn't trusted: the bases are hashed anew, and where they
+    differ nothing but the problem is returned. The source says through which
+    library a part came."""
+    last = rows.groupBy("id").agg(F.max_by(F.struct("outfile", "seq_sha256", "source", "class"), "ordinal").alias("row")).select("id", "row.*")
+    there = texts.select(F.col("path").alias("outfile"), S.normalise("seq").alias("seq"))
+    met = wanted.select("id").distinct().join(last, "id", "left").join(there, "outfile", "left")
+    problem = F.when(F.col("outfile").isNull(), "not in the library").when(F.col("seq").isNull(), "file missing").when(F.col("seq") == "", "no bases").when(~manifest.seq_sha256("seq").eqNullSafe(F.col("seq_sha256")), "bases differ from their row")
+    sound = met.withColumn("problem", problem)
+    kept = lambda c: F.when(F.col("problem").isNull(), c)
+    source = F.concat(F.coalesce("source", F.lit("")), F.lit(f" [copied from {name}]"))
+    return sound.select("id", kept(F.col("seq")).alias("seq"), kept(source).alias("source"), kept(F.coalesce("class", F.lit("reference"))).alias("class"), "problem")
+
+
 class Library:
     """One library in a folder that all of a cluster can reach."""
 

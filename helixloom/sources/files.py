@@ -15,6 +15,9 @@ from helixloom.operators.manifest import FIELDS
 # First bytes of files that hold no sequence.
 MAGIC = {"png": "89504E47", "pdf": "25504446", "jpeg": "FFD8FF", "gif": "47494638", "gzip": "1F8B", "bmp": "424D", "riff": "52494646", "ole": "D0CF11E0", "zip": "504B0304", "font": "00010000"}
 
+# Roles of flat-file keys.
+KEY_ROLES = {"promoter": "promoter", "rbs": "rbs", "ribosome_binding_site": "rbs", "cds": "cds", "gene": "cds", "terminator": "terminator"}
+
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated manifest, all fields text, with the ``ordinal`` of each
@@ -56,17 +59,39 @@ def kind_of(content: Column, text: Column) -> Column:
     return found.when(F.contains(text, F.lit("\x00")), "binary").otherwise("loose")
 
 
-def loose_sequence(text: Column) -> Column:
-    """Cells of eight letters or more that are nearly all bases, joined in
-    file order."""
+def loose_pieces(text: Column) -> Column:
+    """Cells of eight letters or more that are nearly all bases, in file
+    order; without any, the whole text's letters if they are all but bases."""
+    bases = lambda c: F.length(F.regexp_replace(c, "[^ACGTUNRYKMSWBDHV]", ""))
+    sized = lambda c, share: (F.length(c) >= 8) & (bases(c) >= share * F.length(c))
     cells = F.transform(F.split(text, r'[,;\t\r\n"]+'), lambda c: F.upper(F.regexp_replace(c, r"[\s\d]", "")))
-    bases = lambda c: F.length(F.regexp_replace(c, "[^ACGTNRYKMSWBDHV]", ""))
-    return F.array_join(F.filter(cells, lambda c: (F.length(c) >= 8) & (bases(c) >= 0.9 * F.length(c))), "")
+    kept = F.transform(F.filter(cells, lambda c: sized(c, 0.9)), lambda c: F.regexp_replace(c, "[^A-Z]", ""))
+    whole = F.array(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(whole, lambda c: sized(c, 0.95)))
+
+
+def loose_sequence(text: Column) -> Column:
+    return F.array_join(loose_pieces(text), "")
+
+
+def protein_sequence(text: Column) -> Column:
+    """Letters of all lines that aren't FASTA headers, in upper case."""
+    return F.upper(F.regexp_replace(F.regexp_replace(text, r"(?m)^>.*$", ""), "[^A-Za-z*]", ""))
+
+
+def part_sequences(parts: DataFrame) -> DataFrame:
+    """(path, seq, kind) of part files (path, text): the bases of a flat file;
+    for protein parents (``.faa``) without bases of their own, the residues."""
+    bases = extract_sequence("text")
+    protein = F.col("path").rlike(r"(?i)\.faa$") & ~F.col("text").rlike(r"(?m)^ORIGIN")
+    return parts.select("path", F.when(protein, protein_sequence(F.col("text"))).otherwise(bases).alias("seq"), F.when(protein, "protein").otherwise("dna").alias("kind"))
 
 
 def records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sequence records (path, name, topology, seq) and rejects (path,
-    reason): no bases, or a declared length that differs."""
+    """Sequence records (path, name, topology, seq, assembled_from) and rejects
+    (path, reason): no bases, or a declared length that differs. Where a loose
+    table's cells were joined ``assembled_from`` has their lengths in order, as
+    another order would be another sequence."""
     kind = kind_of(F.col("content"), F.col("text"))
     locus = F.regexp_extract("text", r"(?m)^LOCUS\s+(\S+)", 1)
     declared = F.nullif(F.regexp_extract("text", r"(?m)^LOCUS\s+\S+\s+(\d+)\s+bp", 1), F.lit("")).cast("int")
@@ -74,22 +99,31 @@ def records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = files.select(
         "path", kind.alias("kind"), F.when(kind == "fasta", F.element_at(header, -1)).otherwise(locus).alias("name"),
         F.when(F.col("text").rlike(r"(?m)^LOCUS.*\bcircular\b"), "circular").otherwise("linear").alias("topology"), declared.alias("declared"),
-        F.when(kind.isin("fasta", "genbank"), extract_sequence("text")).when(kind == "loose", loose_sequence(F.col("text"))).otherwise("").alias("seq"),
+        F.when(kind.isin("fasta", "genbank"), F.array(extract_sequence("text"))).when(kind == "loose", loose_pieces(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("pieces"),
     )
+    joined = read.withColumn("seq", F.array_join("pieces", "")).withColumn("assembled_from", F.when(F.size("pieces") > 1, F.transform("pieces", F.length)))
     reason = F.when(F.length("seq") == 0, F.concat(F.lit("no bases: "), F.col("kind"))).when(F.col("declared") != F.length("seq"), "length differs from LOCUS")
-    judged = read.withColumn("reason", reason)
-    return judged.where("reason is null").select("path", "name", "topology", "seq"), judged.where("reason is not null").select("path", "reason")
+    judged = joined.withColumn("reason", reason)
+    return judged.where("reason is null").select("path", "name", "topology", "seq", "assembled_from"), judged.where("reason is not null").select("path", "reason")
+
+
+def feature_role(kind: Column) -> Column:
+    """The role that a flat file's key means; misc for keys that mean none."""
+    role = F.lit("misc")
+    for key, means in KEY_ROLES.items():
+        role = F.when(F.lower(kind) == key, means).otherwise(role)
+    return role
 
 
 def claims(files: DataFrame) -> DataFrame:
-    """(path, kind, start, end, strand, label) of a flat file's features."""
+    """(path, n, kind, role, start, end, strand, label) of a flat file's features."""
     table = F.regexp_extract("text", r"(?ms)^FEATURES[^\n]*\n(.*?)^ORIGIN", 1)
     items = F.split(table, r"\n(?=     \S)")
     each = files.select("path", F.posexplode(items).alias("n", "item")).where(F.trim("item") != "")
     loc = F.regexp_replace(F.regexp_extract("item", r"(?s)^\s*\S+\s+(.*?)(?=\n\s+/|\z)", 1), r"\s", "")
     label = F.coalesce(*[F.nullif(F.regexp_extract("item", rf'/{q}="?([^"\n]*)"?', 1), F.lit("")) for q in ("label", "gene", "product", "standard_name", "note")])
     got = each.select("path", "n", F.regexp_extract("item", r"^\s*(\S+)", 1).alias("kind"), S.location(loc).alias("l"), label.alias("label")).where("kind <> 'source'")
-    return got.select("path", "n", "kind", "l.start", "l.end", "l.strand", "label")
+    return got.select("path", "n", "kind", feature_role(F.col("kind")).alias("role"), "l.start", "l.end", "l.strand", "label")
 
 
 def references(spark: SparkSession, table: str, fasta: str) -> DataFrame:
@@ -107,19 +141,9 @@ def fasta_text(name: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), name, F.lit(" sha256="), F.substring(F.sha2(F.upper(seq), 256), 1, 16), F.lit("\n"), S.wrapped(seq), F.lit("\n"))
 
 
-def genbank_text(name: Column, seq: Column, topology: Column, day: Column) -> Column:
-    """A flat file of one sequence; the caller gives the day it bears."""
+def genbank_text(name: Column, seq: Column, topology: Column, day: Column, about: Column | None = None, features: Column | None = None) -> Column:
+    """A flat file of one sequence; the caller gives the day it bears, and may
+    give lines ``about`` it, each ended, and a text of ``features``."""
     head = F.format_string("LOCUS       %s %d bp    DNA     %s   SYN %s\n", name, F.length(seq), topology, F.upper(F.date_format(day, "dd-MMM-yyyy")))
-    return F.concat(head, F.lit("FEATURES             Location/Qualifiers\nORIGIN\n"), S.origin_block(seq), F.lit("\n//\n"))
-
-
-def triples(parts: DataFrame, base: str = "urn:helixloom:") -> DataFrame:
-    """N-Triples lines of components (id, seq, role) and their sequences."""
-    ident = F.regexp_replace("id", "[^A-Za-z0-9_]", "_")
-    node = lambda kind: F.concat(F.lit(f"<{base}{kind}/"), ident, F.lit(">"))
-    lines = F.array(
-        F.concat(node("component"), F.lit(f" <{base}sequence> "), node("sequence"), F.lit(" .")),
-        F.concat(node("component"), F.lit(f' <{base}role> "'), F.col("role"), F.lit('" .')),
-        F.concat(node("sequence"), F.lit(f' <{base}elements> "'), F.lower("seq"), F.lit('" .')),
-    )
-    return parts.select(F.explode(lines).alias("value"))
+    table = F.lit("") if features is None else F.when(features != "", F.concat(features, F.lit("\n"))).otherwise("")
+    return F.concat(head, F.lit("") if about is None else about, F.lit("FEATURES             Location/Qualifiers\n"), table, F.lit("ORIGIN\n"), S.origin_block(seq), F.lit("\n//\n"))

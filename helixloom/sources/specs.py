@@ -58,6 +58,16 @@ def spec_order(read: DataFrame) -> DataFrame:
     return read.where("spec is not null").select(F.col("spec.id").alias("spec"), F.posexplode("spec.architecture.order").alias("position", "id"))
 
 
+def specs_by_host(files: DataFrame) -> DataFrame:
+    """(host, specs) of spec files (path, text): the names of those whose first
+    ``host:`` line names it. Lines are enough, so that a file that isn't YAML
+    counts as well; one without such a line doesn't."""
+    line = F.regexp_extract("text", r"(?m)^[ \t]*host:([^\r\n]*)", 1)
+    host = F.regexp_replace(F.trim(F.split(line, "#")[0]), r"""^["']+|["']+$""", "")
+    named = files.select(host.alias("host"), F.element_at(F.split("path", "/"), -1).alias("name")).where("host <> ''")
+    return named.groupBy("host").agg(F.array_sort(F.collect_list("name")).alias("specs"))
+
+
 def sheet_cells(content: bytes) -> list[str]:
     """Texts of a workbook's cells, sheets by name, cells in file order."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:

@@ -66,5 +66,3 @@ def test_written_results(spark, tmp_path):
     both = heads.unionByName(heads.withColumn("construct", F.lit("m")))
     got = {r.construct: json.loads(r.json) for r in gates.result_json(both, found, "construct", ["start"]).collect()}
     assert [f["category"] for f in got["k"]["findings"]] == ["a", "b", "z"] and got["m"]["findings"] == [] and got["m"]["vector"] is None
-    lines = [r.value for r in files.triples(spark.createDataFrame([("p-1", "ACGT", "cds")], "id string, seq string, role string")).collect()]
-    assert len(lines) == 3 and all(x.endswith(" .") for x in lines) and '"acgt"' in lines[2] and "component/p_1" in lines[0]
