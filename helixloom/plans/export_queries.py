@@ -61,8 +61,8 @@ def flat_file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAGMENTS_SQL = INSERTS_SQL + """, b AS (SELECT construct, "end" AS b, insert, length(insert) AS n FROM places JOIN inserts USING (construct) WHERE next_role IS NOT NULL AND length(insert) > 300),
-  c AS (SELECT construct, any_value(insert) AS insert, any_value(n) AS n, arg_min(b, abs(b - n / 2) * 100000 + b) AS at FROM b GROUP BY construct),
-  fr AS (SELECT construct, 'A' AS letter, 1 AS start, least(at + 25, n) AS "end", insert FROM c UNION ALL SELECT construct, 'B', greatest(at - 25, 0) + 1, n, insert FROM c),
+  c AS (SELECT construct, any_value(insert) AS insert, any_value(n) AS n, arg_min(b, abs(b - n / 2) * 100000 + b) AS middle FROM b GROUP BY construct),
+  fr AS (SELECT construct, 'A' AS letter, 1 AS start, least(middle + 25, n) AS "end", insert FROM c UNION ALL SELECT construct, 'B', greatest(middle - 25, 0) + 1, n, insert FROM c),
   pc AS (SELECT *, substr(insert, start, "end" - start + 1) AS piece, construct || '_FRAG-' || letter AS name FROM (SELECT construct, letter, start::INT AS start, "end"::INT AS "end", insert FROM fr))"""
 
 
