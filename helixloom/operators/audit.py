@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
+from helixloom.operators import claims
 
 from .identify import LOCI
 
@@ -32,7 +33,11 @@ def accuses() -> Column:
 
 
 def block_findings(blocks: DataFrame) -> DataFrame:
-    """(record, block, category, status) of all checks on single blocks."""
+    """(record, block, category, status, said) of all checks on single blocks.
+
+    Labels are judged by their names alone here; :func:`claims.claim_findings`
+    also has the references' bases. An indel says what it does to the frame, and
+    a coding block that no rule finds fault with passes."""
     known, named = F.col("ident").isNotNull(), F.col("claim").isNotNull()
     flag = F.when(accuses(), "FLAG").otherwise("NOTE")
     lost = (F.col("ref_length") - F.col("matched") + F.greatest(F.lit(0), -F.coalesce("indel_net", F.lit(0)))) / F.col("ref_length")
@@ -41,15 +46,18 @@ def block_findings(blocks: DataFrame) -> DataFrame:
     checks = {
         "identity-unchecked": F.when(named & ~known, "SKIP"),
         "identity-orientation": F.when(named & known & (F.col("claim_strand") != F.col("strand")), "FLAG"),
-        "identity-mislabel": F.when(named & known & (F.lower("claim") != F.lower("ident")) & ~F.contains(F.lower("claim"), F.lower("ident")), "FLAG"),
+        "identity-mislabel": F.when(named & known & claims.wrong_name("claim", "ident"), "FLAG"),
         "indel": F.when(known & (F.col("indel") > 0), flag),
         "truncation": F.when(known & (F.coalesce(lost > 0.05, F.col("cov") < 0.95)), flag),
         "orf-stop": F.when(coding & S.internal_stop(read), F.when(accuses(), "FAIL").otherwise("NOTE")),
         "orf-frame": F.when(coding & (F.length("seq") % 3 != 0), flag),
         "orf-start": F.when(coding & ~S.has_start(read), "FLAG"),
     }
-    found = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(F.lit(c).alias("category"), s.alias("status"))) for c, s in checks.items()]))
-    return blocks.select("record", "block", F.explode(found).alias("f")).select("record", "block", "f.category", "f.status")
+    faults = F.coalesce(*[s for c, s in checks.items() if c.startswith("orf-")])
+    checks["orf"] = F.when(coding & faults.isNull(), "PASS")
+    said = {"indel": frame_note(F.coalesce("indel_net", F.lit(0)))}
+    found = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(F.lit(c).alias("category"), s.alias("status"), said.get(c, F.lit(None).cast("string")).alias("said"))) for c, s in checks.items()]))
+    return blocks.select("record", "block", F.explode(found).alias("f")).select("record", "block", "f.category", "f.status", "f.said")
 
 
 def partial_findings(blocks: DataFrame, loci: int = LOCI) -> DataFrame:
@@ -64,8 +72,17 @@ def frame_note(net: Column) -> Column:
     return F.when(F.abs(net) % 3 == 0, "frame kept").otherwise("frame shifted")
 
 
-def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool = False, cap: int | None = None) -> DataFrame:
-    """(record, category, status) of whole sequences (record, seq)."""
+def vendor_cap(vendor: Column) -> Column:
+    """The longest fragment that a vendor makes; null for others."""
+    cap = F.lit(None).cast("int")
+    for name, most in VENDOR_CAPS.items():
+        cap = F.when(F.lower(F.trim(vendor)) == name.lower(), most).otherwise(cap)
+    return cap
+
+
+def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool = False, cap: int | Column | None = None) -> DataFrame:
+    """(record, category, status) of whole sequences (record, seq). Sizes are
+    checked where there is a ``cap``, one for all or each record's own."""
     gc, n = S.gc_percent("seq"), F.length("seq")
     sites = [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if biobrick else "NOTE").alias("status"))) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"]
     sites += [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if type_iis else "NOTE").alias("status"))) for e, m in S.TYPE_IIS_SITES.items()]
@@ -75,7 +92,8 @@ def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool =
         F.when(S.longest_run("seq") >= 9, row("homopolymer", F.lit("FLAG"))), *sites,
     ]
     if cap is not None:
-        checks.append(row("size", F.when(n > cap, "FLAG").otherwise("PASS")))
+        cap = F.lit(cap) if isinstance(cap, int) else cap
+        checks.append(F.when(cap.isNotNull(), row("size", F.when(n > cap, "FLAG").otherwise("PASS"))))
     return records.select("record", F.explode(F.array_compact(F.array(*checks))).alias("f")).select("record", "f.category", "f.status")
 
 

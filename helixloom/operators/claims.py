@@ -16,6 +16,11 @@ def plain(name: Column | str) -> Column:
     return F.upper(F.replace(S.col(name), F.lit("BBa_"), F.lit("")))
 
 
+def wrong_name(claim: Column | str, ident: Column | str) -> Column:
+    """Whether a label neither is nor contains the name that was found."""
+    return (plain(claim) != plain(ident)) & ~F.contains(plain(claim), plain(ident))
+
+
 def oriented(seq: Column, strand: Column) -> Column:
     return F.when(strand < 0, S.revcomp(F.upper(seq))).otherwise(F.upper(seq))
 
@@ -36,11 +41,10 @@ def claim_findings(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     wrong_way = F.col("claim_strand") != F.col("strand")
     piece = F.coalesce((F.col("claim_key") != ident) & (F.length(bases) >= LEAST_PART) & F.contains(F.col("claim_seq"), bases), F.lit(False))
     short = F.length("claim_seq") - F.length(bases) > MISSING_SHARE * F.length("claim_seq")
-    wrong = (F.col("claim_key") != ident) & ~F.contains(F.col("claim_key"), ident)
     row = lambda test, category, status: F.when(test, F.struct(F.lit(category).alias("category"), F.lit(status).alias("status")))
     found = F.array(
         row(wrong_way, "identity-orientation", "FLAG"), row(synonym & ~wrong_way, "identity-synonym", "NOTE"), row(~synonym & piece, "identity-subpart", "NOTE"),
-        row(~synonym & piece & short, "truncation", "FLAG"), row(~synonym & ~piece & wrong, "identity-mislabel", "FLAG"),
+        row(~synonym & piece & short, "truncation", "FLAG"), row(~synonym & ~piece & wrong_name("claim", "ident"), "identity-mislabel", "FLAG"),
     )
     return b.select("record", "block", F.explode(F.array_compact(found)).alias("f")).select("record", "block", "f.*")
 

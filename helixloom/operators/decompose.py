@@ -82,7 +82,7 @@ def identity_findings(blocks: DataFrame, inner: DataFrame, records: DataFrame, r
     place = F.struct("start", "end")
     read = blocks.join(text, "record").withColumn("seq", S.stretch("whole", F.col("start"), F.col("end"))).drop("whole").withColumn("block", place)
     named = claims.claim_findings(read, refs).where("category <> 'truncation'")
-    own = audit.block_findings(read).where("category not in ('identity-orientation', 'identity-mislabel')")
+    own = audit.block_findings(read).where("category not in ('identity-orientation', 'identity-mislabel')").drop("said")
     both = named.unionByName(own).select("record", "block.start", "block.end", "category", "status")
     return both.unionByName(gates.nested_findings(inner).select("record", "start", "end", "category", "status"))
 
@@ -106,10 +106,13 @@ def audited(
 
     Checks of blocks and labels, of start sites, of whole sequences, repeats,
     the host's ``genome`` (host, start, bases in pieces of ``size``; a SKIP row
-    without one), the fragment cap, and labels against a ``registry``."""
+    without one), the fragment cap (one for all, else that of each record's
+    ``vendor`` where records name one), and labels against a ``registry``."""
     blocks, inner = decompose(records, refs, features)
     found = cut(identity_findings(blocks, cut(inner_names(inner, records, refs)), records, refs))
     text = texts(records)
+    own = records.select(F.col("record").cast("string").alias("record"), F.upper("seq").alias("seq"), "vendor") if "vendor" in records.columns else text
+    cap = audit.vendor_cap(F.col("vendor")) if cap is None and "vendor" in records.columns else cap
     sizes = text.select("record", F.length("seq").alias("length"))
     ran = sizes.select("record", F.lit(True).alias("ran"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("deep_failed"))
     places = blocks.where("kind = 'found'").groupBy("record", F.col("ident").alias("ref")).agg(F.max("n_diagonals").alias("places"))
@@ -117,7 +120,7 @@ def audited(
     shared = sizes.select("record", none) if genome is None else offtarget.longest_shared(text.select(F.col("record").alias("query"), F.col("seq").alias("qseq")), genome, size=size).select(F.col("query").alias("record"), "longest")
     host = shared.select("record", F.lit(genome is not None).alias("has_host"), F.lit(reca_minus).alias("reca_minus"), "longest")
     checks = [
-        found, gates.run_findings(sizes, blocks.select("record", "start", "end", "ident"), ran, places), junction_findings(blocks, text), audit.record_findings(text, type_iis, biobrick, cap),
+        found, gates.run_findings(sizes, blocks.select("record", "start", "end", "ident"), ran, places), junction_findings(blocks, text), audit.record_findings(own, type_iis, biobrick, cap),
         audit.repeat_findings(audit.longest_repeats(text)), gates.homology_findings(host),
     ]
     if registry is not None:

@@ -209,6 +209,7 @@ AUDIT_SQL = WHOLE_SQL + f""", host AS (SELECT DISTINCT seq FROM parts WHERE part
   sp AS (SELECT construct, list_max(scores) AS top, length(body) - (list_max(list_filter(range(1, len(scores) + 1), lambda i: scores[i] = list_max(scores))) + 5) + instr(down, 'ATG') - 1 AS spacing, instr(down, 'ATG') AS atg FROM sd),
   f AS (SELECT construct, 'FLAG' AS status FROM places WHERE part % 9 = 0 UNION ALL SELECT construct, 'FLAG' FROM places WHERE part % 4 = 0
     UNION ALL SELECT construct, 'FAIL' FROM places WHERE role = 'cds' AND {stop_sql("seq")} UNION ALL SELECT construct, 'FLAG' FROM places WHERE role = 'cds' AND substr(seq, 1, 3) NOT IN ('ATG', 'GTG', 'TTG')
+    UNION ALL SELECT construct, 'PASS' FROM places WHERE role = 'cds' AND NOT {stop_sql("seq")} AND substr(seq, 1, 3) IN ('ATG', 'GTG', 'TTG')
     UNION ALL SELECT construct, CASE WHEN atg > 0 AND top >= 4 AND spacing BETWEEN 5 AND 9 THEN 'PASS' ELSE 'FLAG' END FROM sp
     UNION ALL SELECT construct, CASE WHEN 100.0 * {gc_sql("insert")} NOT BETWEEN 25 AND 65 THEN 'FLAG' ELSE 'PASS' END FROM inserts UNION ALL SELECT construct, 'FLAG' FROM inserts WHERE {run_sql("insert")} >= 9
     UNION ALL SELECT construct, CASE WHEN length(insert) > 700 THEN 'FLAG' ELSE 'PASS' END FROM inserts
@@ -296,6 +297,19 @@ def skewed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.record_findings(skewed(spark, sf_dir), type_iis=True, biobrick=True, cap=200)
 
 
+VENDORS = ("Twist", "IDT", "GenScript", "by hand", None)
+
+
+@query(f"""WITH {INSERTS_SQL}, o AS (SELECT construct AS record, length(insert) * (1 + construct % 18) AS n, [5000, 3000, 10000, NULL, NULL][(construct % 5 + 1)::INT] AS cap FROM inserts)
+  SELECT record, CASE WHEN n > cap THEN 'FLAG' ELSE 'PASS' END AS status FROM o WHERE cap IS NOT NULL""")
+def vendor_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructs, some many times over, against the longest fragment of each one's vendor."""
+    k = F.col("construct")
+    vendor = F.get(F.array(*[F.lit(v).cast("string") for v in VENDORS]), (k % 5).cast("int"))
+    records = assembly.inserts(lines(spark, sf_dir)).select(k.alias("record"), F.expr("repeat(insert, int(1 + construct % 18))").alias("seq"), vendor.alias("vendor"))
+    return audit.record_findings(records, cap=audit.vendor_cap(F.col("vendor"))).where("category = 'size'").select("record", "status")
+
+
 @query(f"""WITH {SKEWED_SQL} SELECT record AS construct, 'empty insert' AS rule, 'BLOCK' AS level FROM skewed WHERE seq = '' UNION ALL SELECT record, 'gc out of range', 'WARN' FROM skewed WHERE seq = '' OR {gc_sql("seq")} NOT BETWEEN 0.25 AND 0.65
   UNION ALL SELECT record, 'homopolymer', 'WARN' FROM skewed WHERE {run_sql("seq")} > 10 UNION ALL SELECT record, 'over fragment cap', 'INFO' FROM skewed WHERE length(seq) > 200
   UNION ALL SELECT record, 'site over junction', 'BLOCK' FROM skewed WHERE record % 7 = 4""")

@@ -281,20 +281,21 @@ BLOCKS_SQL = LINES_SQL + """, blocks AS (
   SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS block,
     CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'part' || (l_partkey + 1) ELSE 'Part' || l_partkey END AS claim, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE 1 END AS claim_strand,
     CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE 'part' || l_partkey END AS ident, CASE WHEN l_partkey % 9 = 0 THEN -1 ELSE 1 END AS strand, 1 - l_discount AS cov,
-    (l_linenumber % 4)::INT AS indel, (l_linenumber % 4 - 1)::INT AS indel_net, length(seq) AS ref_length, length(seq) - (l_quantity % 10)::INT AS matched, role, seq
+    (l_linenumber % 4)::INT AS indel, (l_linenumber % 4 - 1)::INT AS indel_net, length(seq) AS ref_length, length(seq) - (l_quantity % 10)::INT AS matched, role, substr(seq, 1, 96 - (l_suppkey % 4 // 2)::INT) AS seq
   FROM lineitem JOIN parts ON l_partkey = part)"""
 READ = f"(CASE WHEN strand < 0 THEN {rc_sql('seq')} ELSE seq END)"
 FOUND_SQL = BLOCKS_SQL + f""", a AS (SELECT *, CASE WHEN claim IS NOT NULL OR (cov >= 0.95 AND indel = 0) THEN 'FLAG' ELSE 'NOTE' END AS flag, {READ} AS rd FROM blocks),
   u AS (SELECT record, block, unnest([
     {{'category': 'identity-unchecked', 'status': CASE WHEN claim IS NOT NULL AND ident IS NULL THEN 'SKIP' END}},
     {{'category': 'identity-orientation', 'status': CASE WHEN claim IS NOT NULL AND ident IS NOT NULL AND claim_strand <> strand THEN 'FLAG' END}},
-    {{'category': 'identity-mislabel', 'status': CASE WHEN lower(claim) <> lower(ident) AND NOT contains(lower(claim), lower(ident)) THEN 'FLAG' END}},
+    {{'category': 'identity-mislabel', 'status': CASE WHEN upper(replace(claim, 'BBa_', '')) <> upper(ident) AND NOT contains(upper(replace(claim, 'BBa_', '')), upper(ident)) THEN 'FLAG' END}},
     {{'category': 'indel', 'status': CASE WHEN ident IS NOT NULL AND indel > 0 THEN flag END}},
     {{'category': 'truncation', 'status': CASE WHEN ident IS NOT NULL AND (ref_length - matched + greatest(0, -indel_net)) / ref_length > 0.05 THEN flag END}},
     {{'category': 'orf-stop', 'status': CASE WHEN role = 'cds' AND {stop_sql('rd')} THEN CASE flag WHEN 'FLAG' THEN 'FAIL' ELSE 'NOTE' END END}},
     {{'category': 'orf-frame', 'status': CASE WHEN role = 'cds' AND length(seq) % 3 <> 0 THEN flag END}},
-    {{'category': 'orf-start', 'status': CASE WHEN role = 'cds' AND substr(rd, 1, 3) NOT IN ('ATG', 'GTG', 'TTG') THEN 'FLAG' END}}]) AS f FROM a),
-  found AS (SELECT record, block, f.category AS category, f.status AS status FROM u WHERE f.status IS NOT NULL)"""
+    {{'category': 'orf-start', 'status': CASE WHEN role = 'cds' AND substr(rd, 1, 3) NOT IN ('ATG', 'GTG', 'TTG') THEN 'FLAG' END}},
+    {{'category': 'orf', 'status': CASE WHEN role = 'cds' AND NOT {stop_sql('rd')} AND length(seq) % 3 = 0 AND substr(rd, 1, 3) IN ('ATG', 'GTG', 'TTG') THEN 'PASS' END}}]) AS f, indel_net FROM a),
+  found AS (SELECT record, block, f.category AS category, f.status AS status, CASE WHEN f.category = 'indel' THEN CASE WHEN abs(indel_net) % 3 = 0 THEN 'frame kept' ELSE 'frame shifted' END END AS said FROM u WHERE f.status IS NOT NULL)"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +307,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(
         F.col("l_orderkey").alias("record"), "block", F.when(supp % 7 == 0, None).when(supp % 5 == 0, F.concat(F.lit("part"), (key + 1).cast("string"))).otherwise(F.concat(F.lit("Part"), key.cast("string"))).alias("claim"),
         F.when(supp % 3 == 0, -1).otherwise(1).alias("claim_strand"), F.when(key % 6 != 0, F.concat(F.lit("part"), key.cast("string"))).alias("ident"), F.when(key % 9 == 0, -1).otherwise(1).alias("strand"),
-        (1 - F.col("l_discount")).alias("cov"), (n % 4).alias("indel"), (n % 4 - 1).alias("indel_net"), F.length("seq").alias("ref_length"), (F.length("seq") - (F.col("l_quantity") % 10).cast("int")).alias("matched"), "role", "seq",
+        (1 - F.col("l_discount")).alias("cov"), (n % 4).alias("indel"), (n % 4 - 1).alias("indel_net"), F.length("seq").alias("ref_length"), (F.length("seq") - (F.col("l_quantity") % 10).cast("int")).alias("matched"), "role",
+        F.substr("seq", F.lit(1), 96 - F.floor(supp % 4 / 2).cast("int")).alias("seq"),
     )
 
 
