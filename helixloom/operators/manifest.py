@@ -55,6 +55,63 @@ def resolve(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.select("request_id", status.alias("status"), F.when(one, F.col("resolved_version")).alias("resolved_version"), F.when(one, F.col("sha")).alias("seq_sha256"))
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def selected(requests: DataFrame, manifest: DataFrame, need_version: bool = False) -> DataFrame:
+    """Each request (request_id, id, pin, version, lib) with the one row it
+    asks for: (request_id, problem, note, version, seq_sha256, file_sha256,
+    outfile), the row's fields null where there is a problem.
+
+    The file named by ``lib`` narrows an id's rows if it is one of theirs; if
+    it isn't, the note says so and the pin decides. Version and pin, a prefix of
+    the hash in either case, have to fit; empty ones ask for nothing. One row
+    must be left, with a number for a version and a name that agrees with its
+    hash. With ``need_version`` a request without one is refused.
+
+    An id's rows are counted, never gathered, so that one may have many."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    asked = requests.select("request_id", F.col("id").alias("asked_id"), F.lower(text("pin")).alias("pin"), text("version").alias("asked_version"), text("lib").alias("lib"))
+    row = F.struct(F.col("version").cast("string").alias("version"), F.lower("seq_sha256").alias("seq_sha256"), "file_sha256", "outfile")
+    met = asked.join(manifest.select(F.col("id").alias("asked_id"), row.alias("row")), "asked_id", "left")
+    held = F.col("row").isNotNull()
+    at_lib = held & F.coalesce(base_name(F.col("row.outfile")) == base_name(F.col("lib")), F.lit(False))
+    version_fits = held & (F.col("asked_version").isNull() | F.coalesce(F.col("row.version") == F.col("asked_version"), F.lit(False)))
+    pin_fits = version_fits & (F.col("pin").isNull() | F.coalesce(F.startswith("row.seq_sha256", F.col("pin")), F.lit(False)))
+    one = lambda test: F.max(F.when(test, F.col("row")))
+    per = met.groupBy("request_id", "lib", "asked_version").agg(
+        F.count_if(held).alias("held"), F.count_if(at_lib).alias("at_lib"),
+        F.struct(F.count_if(at_lib & version_fits).alias("versions"), F.count_if(at_lib & pin_fits).alias("n"), one(at_lib & pin_fits).alias("row")).alias("near"),
+        F.struct(F.count_if(version_fits).alias("versions"), F.count_if(pin_fits).alias("n"), one(pin_fits).alias("row")).alias("far"),
+    )
+    judged = per.withColumn("c", F.when(F.col("at_lib") > 0, F.col("near")).otherwise(F.col("far")))
+    named = filename_sha12("c.row.outfile")
+    problem = (
+        F.when(F.lit(need_version) & F.col("asked_version").isNull(), "no version given").when(F.col("held") == 0, "no such part").when(F.col("c.versions") == 0, "no such version")
+        .when(F.col("c.n") == 0, "no version has the pin").when(F.col("c.n") > 1, "ambiguous").when(~F.coalesce(F.col("c.row.version"), F.lit("")).rlike("^[0-9]+$"), "version is no number")
+        .when((named != "") & (named != F.substring("c.row.seq_sha256", 1, 12)), "name differs from the hash")
+    )
+    note = F.when(F.col("lib").isNotNull() & (F.col("held") > 0) & (F.col("at_lib") == 0), "file not held; the pin decides")
+    fields = judged.withColumn("problem", problem)
+    return fields.select("request_id", "problem", note.alias("note"), *[F.when(F.col("problem").isNull(), F.col(f"c.row.{c}")).alias(c) for c in ("version", "seq_sha256", "file_sha256", "outfile")])
+
+
+def verified(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(request_id, problem, length) of selected ``rows`` (request_id, outfile,
+    seq_sha256, file_sha256, expect_length) read again from ``files`` (path,
+    seq, file_sha256), the first that fails: the file, its bases, its bytes
+    where their hash is known, its length where one is expected."""
+    there = files.select(F.col("path").alias("outfile"), F.col("seq").alias("seq"), F.col("file_sha256").alias("bytes"))
+    met = rows.join(there, "outfile", "left")
+    expected = F.nullif(F.col("expect_length").cast("int"), F.lit(0))
+    problem = (
+        F.when(F.coalesce("seq", F.lit("")) == "", "file missing").when(~seq_sha256("seq").eqNullSafe(F.lower("seq_sha256")), "bases differ from their row")
+        .when((F.coalesce("file_sha256", F.lit("")) != "") & ~F.col("bytes").eqNullSafe(F.col("file_sha256")), "bytes differ from their row").when(F.length("seq") != expected, "length differs from the spec")
+    )
+    return met.select("request_id", problem.alias("problem"), F.length("seq").alias("length"))
+
+
 def twins(manifest: DataFrame) -> DataFrame:
     """Hashes that more than one id shares, with the ids in order."""
     ids = manifest.groupBy("seq_sha256").agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -1,6 +1,7 @@
 """Queries of what is written about constructs and records: flat files,
-fragments, recovered and rebuilt specs, statements, and parts copied from
-another library. Their inputs are those of the other queries."""
+fragments, recovered and rebuilt specs, statements; of parts selected, read
+again and copied from libraries; and of the off-target report. Their inputs are
+those of the other queries."""
 
 from __future__ import annotations
 
@@ -8,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
-from helixloom.operators import assembly, decompose, library
+from helixloom.operators import assembly, decompose, library, manifest, offtarget
 from helixloom.plans.record_queries import HARD_SQL, hard_records
 from helixloom.plans.reference_queries import INSERTS_SQL, PARTS_SQL, SEALED_SQL, lines, parts, query, read, sealed
+from helixloom.plans.rule_queries import HITS_SQL, host_rows
 from helixloom.sources import writers
 
 
@@ -187,3 +189,52 @@ def copied_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = rows.select(name(400).alias("id"), k.alias("ordinal"), "outfile", "seq_sha256", F.concat(F.lit("from "), k.cast("string")).alias("source"), F.when(k % 2 == 0, "designed").otherwise("reference").alias("class"))
     texts = rows.where(k % 11 != 0).select(F.col("outfile").alias("path"), F.when(k % 13 == 0, F.reverse("seq")).otherwise(F.lower("seq")).alias("seq"))
     return library.copied(listed, texts, rows.select(name(500).alias("id")).distinct(), "theirs")
+
+
+SELECT_SQL = SEALED_SQL + """, m AS (SELECT 'k' || part % 400 AS id, CASE WHEN part % 37 = 0 THEN 'x' || part ELSE (part // 400)::VARCHAR END AS version, seq_sha256, CASE WHEN part % 29 = 0 THEN '' ELSE file_sha256 END AS file_sha256,
+    CASE WHEN part % 19 = 0 THEN 'lib/p' || part || '__v1__aaaaaaaaaaaa.gb' ELSE outfile END AS outfile FROM sealed),
+  r AS (SELECT part AS request_id, 'k' || part % 450 AS id, CASE WHEN part % 5 = 0 THEN '' WHEN part % 5 = 1 THEN upper(substr(seq_sha256, 1, 9)) ELSE substr(seq_sha256, 1, 12) END AS pin, CASE WHEN part % 3 = 0 THEN (part // 400)::VARCHAR END AS version,
+    CASE WHEN part % 7 = 0 THEN 'old/gone.gb' WHEN part % 2 = 0 THEN replace(outfile, 'lib/', 'elsewhere/') END AS lib FROM sealed),
+  c0 AS (SELECT r.*, m.version AS v, m.seq_sha256 AS sha, m.file_sha256 AS fsha, outfile, split_part(outfile, '/', -1) = split_part(lib, '/', -1) AS there FROM r JOIN m USING (id)),
+  c1 AS (SELECT * FROM c0 QUALIFY coalesce(there, false) OR NOT bool_or(coalesce(there, false)) OVER (PARTITION BY request_id)), c2 AS (SELECT * FROM c1 WHERE version IS NULL OR v = version), c3 AS (SELECT * FROM c2 WHERE starts_with(sha, lower(pin))),
+  n3 AS (SELECT request_id, count(*) AS n, max(v) AS v, max(sha) AS sha, max(fsha) AS fsha, max(outfile) AS outfile FROM c3 GROUP BY request_id),
+  j AS (SELECT r.request_id, CASE WHEN r.request_id NOT IN (SELECT request_id FROM c0) THEN 'no such part' WHEN r.request_id NOT IN (SELECT request_id FROM c2) THEN 'no such version' WHEN n IS NULL THEN 'no version has the pin' WHEN n > 1 THEN 'ambiguous'
+      WHEN NOT regexp_full_match(v, '[0-9]+') THEN 'version is no number' WHEN substr(split_part(outfile, '__', -1), 1, 12) <> substr(sha, 1, 12) THEN 'name differs from the hash' END AS problem,
+    CASE WHEN lib IS NOT NULL AND r.request_id IN (SELECT request_id FROM c0) AND r.request_id NOT IN (SELECT request_id FROM c0 WHERE there) THEN 'file not held; the pin decides' END AS note, v, sha, fsha, outfile FROM r LEFT JOIN n3 USING (request_id))"""
+
+
+def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, rows = F.col("part"), sealed(spark, sf_dir)
+    name = lambda n: F.concat(F.lit("k"), (k % n).cast("string"))
+    number = F.floor(k / 400).cast("string")
+    outfile = F.when(k % 19 == 0, F.concat(F.lit("lib/p"), k.cast("string"), F.lit("__v1__aaaaaaaaaaaa.gb"))).otherwise(F.col("outfile"))
+    listed = rows.select(name(400).alias("id"), F.when(k % 37 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(number).alias("version"), "seq_sha256", F.when(k % 29 == 0, "").otherwise(F.col("file_sha256")).alias("file_sha256"), outfile.alias("outfile"))
+    pin = F.when(k % 5 == 0, "").when(k % 5 == 1, F.upper(F.substring("seq_sha256", 1, 9))).otherwise(F.substring("seq_sha256", 1, 12))
+    asked = rows.select(k.alias("request_id"), name(450).alias("id"), pin.alias("pin"), F.when(k % 3 == 0, number).alias("version"), F.when(k % 7 == 0, "old/gone.gb").when(k % 2 == 0, F.replace("outfile", F.lit("lib/"), F.lit("elsewhere/"))).alias("lib"))
+    return manifest.selected(asked, listed)
+
+
+@query(f"""WITH {SELECT_SQL} SELECT request_id, problem, note, CASE WHEN problem IS NULL THEN v END AS version, CASE WHEN problem IS NULL THEN sha END AS seq_sha256, CASE WHEN problem IS NULL THEN fsha END AS file_sha256, CASE WHEN problem IS NULL THEN outfile END AS outfile FROM j""")
+def selected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by pin, version and file, some of them stale or for nothing."""
+    return selection(spark, sf_dir)
+
+
+@query(f"""WITH {SELECT_SQL}, f AS (SELECT outfile, CASE WHEN part % 13 = 0 THEN reverse(seq) ELSE seq END AS seq, CASE WHEN part % 17 = 0 THEN 'other' ELSE file_sha256 END AS bytes FROM sealed WHERE part % 11 <> 0)
+  SELECT request_id, CASE WHEN seq IS NULL THEN 'file missing' WHEN sha256(seq) <> sha THEN 'bases differ from their row' WHEN fsha <> '' AND bytes <> fsha THEN 'bytes differ from their row' WHEN request_id % 4 = 0 AND length(seq) <> 96 + request_id % 3 THEN 'length differs from the spec' END AS problem,
+    length(seq) AS length FROM j LEFT JOIN f USING (outfile) WHERE j.problem IS NULL""")
+def verified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected rows read again, from files some of which were edited."""
+    k, n = F.col("part"), F.col("request_id")
+    texts = sealed(spark, sf_dir).where(k % 11 != 0).select(F.col("outfile").alias("path"), F.when(k % 13 == 0, F.reverse("seq")).otherwise(F.col("seq")).alias("seq"), F.when(k % 17 == 0, "other").otherwise(F.col("file_sha256")).alias("file_sha256"))
+    chosen = selection(spark, sf_dir).where("problem is null").withColumn("expect_length", F.when(n % 4 == 0, 96 + n % 3))
+    return manifest.verified(chosen, texts)
+
+
+@query(f"""WITH {HITS_SQL}, t AS (SELECT *, CASE WHEN length >= 100 AND pident >= 95 THEN 'BLOCK' ELSE 'WARN' END AS level FROM hits),
+  w AS (SELECT *, row_number() OVER (PARTITION BY query, level ORDER BY length DESC, pident DESC, gstart DESC, gend DESC, strand DESC, host) AS n, count(*) OVER (PARTITION BY query, level) AS whole FROM t)
+  SELECT query, host, strand, length, pident, gstart, gend, NULL AS expected, level, CASE WHEN level = 'WARN' THEN greatest(whole - 5, 0) ELSE 0 END AS held_back FROM w WHERE level <> 'WARN' OR n <= 5""")
+def off_target_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit is classified; of a query's warnings the five longest are shown."""
+    none = host_rows(spark, sf_dir).select("query", F.lit(0).alias("ordinal"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("part")).where("false")
+    return offtarget.listed(offtarget.classified(host_rows(spark, sf_dir), none), 5)

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from helixloom.operators import library
+from helixloom.operators import library, manifest
 from helixloom.sources import files, specs, writers
 from pyspark.sql import functions as F
 
@@ -109,3 +109,24 @@ def test_specs_by_host(spark):
     rows = [("s/b.yaml", "id: x\nhost: 'E. coli'  # the usual\nhost: other\n"), ("s/a.yaml", "  host: E. coli\n- : ["), ("s/c.yaml", "id: y\nhostile: 1\n"), ("s/d.yaml", "host:   # none\n"), ("s/e.yaml", 'host: "P. putida"\n')]
     got = {r.host: r.specs for r in specs.specs_by_host(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"E. coli": ["a.yaml", "b.yaml"], "P. putida": ["e.yaml"]}
+
+
+def test_selected_and_verified(spark):
+    a, b = "a" * 64, "b" * 64
+    rows = [("p", "1", a, "f", f"l/p__v1__{a[:12]}.gb"), ("p", "2", b, None, f"l/p__v2__{b[:12]}.gb"), ("q", "one", a, "f", "l/q.gb"), ("r", "1", a, "f", f"l/r__v1__{b[:12]}.gb"), ("s", "1", a.upper(), "f", "s.gb"), (None, "1", a, "f", "n.gb")]
+    listed = spark.createDataFrame(rows, "id string, version string, seq_sha256 string, file_sha256 string, outfile string")
+    asked = [
+        (1, "p", None, None, None), (2, "p", "AAAA", None, None), (3, "p", "", "2", None), (4, "p", "aaaa", "2", None), (5, "p", None, "9", None), (6, "p", None, None, f"x/p__v2__{b[:12]}.gb"), (7, "p", "bb", None, "x/old.gb"),
+        (8, "q", None, None, None), (9, "r", None, None, None), (10, "s", "aaa", None, None), (11, "none", None, None, "x"), (12, None, None, None, None), (13, "p", "a", None, f"p__v2__{b[:12]}.gb"),
+    ]
+    requests = spark.createDataFrame(asked, "request_id int, id string, pin string, version string, lib string")
+    got = {r.request_id: (r.problem, r.version, r.note is not None) for r in manifest.selected(requests, listed).collect()}
+    assert got == {
+        1: ("ambiguous", None, False), 2: (None, "1", False), 3: (None, "2", False), 4: ("no version has the pin", None, False), 5: ("no such version", None, False), 6: (None, "2", False), 7: (None, "2", True),
+        8: ("version is no number", None, False), 9: ("name differs from the hash", None, False), 10: (None, "1", False), 11: ("no such part", None, False), 12: ("no such part", None, False), 13: ("no version has the pin", None, False),
+    }
+    assert {r.problem for r in manifest.selected(requests, listed, need_version=True).where("request_id in (1, 2, 8)").collect()} == {"no version given"}
+    sha = lambda x: F.sha2(F.lit(x), 256)
+    chosen = spark.createDataFrame([(1, "f1", "h", 4), (2, "f2", "h", 4), (3, "f3", "h", 4), (4, "f4", "", 5), (5, "gone", "h", 4), (6, "f1", None, None)], "request_id int, outfile string, file_sha256 string, expect_length int").withColumn("seq_sha256", F.upper(sha("ACGT")))
+    there = spark.createDataFrame([("f1", "acgt", "h"), ("f2", "TTTT", "h"), ("f3", "ACGT", "i"), ("f4", "ACGT", "i")], "path string, seq string, file_sha256 string")
+    assert {r.request_id: r.problem for r in manifest.verified(chosen, there).collect()} == {1: None, 2: "bases differ from their row", 3: "bytes differ from their row", 4: "length differs from the spec", 5: "file missing", 6: None}
