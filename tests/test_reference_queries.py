@@ -5,7 +5,7 @@ import os
 import pytest
 
 from helixloom.plans import reference_queries as R
-from helixloom.plans import gate_queries, record_queries, rule_queries  # noqa: F401
+from helixloom.plans import export_queries, gate_queries, record_queries, rule_queries  # noqa: F401
 from verify_queries import canonical, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
