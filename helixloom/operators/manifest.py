@@ -39,17 +39,30 @@ def broken_rows(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("problem", problem).where("problem is not null").select(order, "id", "version", "problem")
 
 
+def by_prefix(rows: DataFrame, sha: str, pins: DataFrame) -> DataFrame:
+    """``rows`` once for each length of a ``pin`` in ``pins``, with that much of
+    the hash as ``pin``, so that pins meet hashes by equality. Lengths are few:
+    a hash has 64 digits. A null hash has the empty prefix alone."""
+    sizes = F.broadcast(pins.select(F.length("pin").alias("_n")).where("_n between 0 and 64").distinct())
+    each = rows.join(sizes, (F.col("_n") == 0) | (F.col("_n") <= F.length(sha)))
+    return each.withColumn("pin", F.when(F.col("_n") == 0, "").otherwise(F.substr(F.col(sha), F.lit(1), F.col("_n")))).drop("_n")
+
+
 def resolve(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Each request (request_id, id, pin, version) with the one row it names.
 
     The id is an equality, the pin a prefix of the hash, the version an
-    equality where given. ``status`` is ok, missing or ambiguous. An id has
-    few versions, so the join is on the id and the pin is its condition.
+    equality where given. ``status`` is ok, missing or ambiguous. Rows are
+    counted by id, prefix and version before a request meets them, so that an
+    id may have many rows and many requests.
     """
-    m = manifest.select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "seq_sha256", "outfile")
-    pin_fits = F.startswith(F.col("seq_sha256"), F.lower(F.coalesce(F.col("pin").cast("string"), F.lit(""))))
-    met = requests.join(m, (F.col("id") == F.col("m_id")) & pin_fits & F.coalesce(F.col("version") == F.col("m_version"), F.col("version").isNull()), "left")
-    found = met.groupBy("request_id").agg(F.count("m_id").alias("n"), F.max("m_version").alias("resolved_version"), F.max("seq_sha256").alias("sha"))
+    asked = requests.select("request_id", F.col("id").alias("m_id"), F.lower(F.coalesce(F.col("pin").cast("string"), F.lit(""))).alias("pin"), F.col("version").alias("asked"))
+    m = manifest.where("seq_sha256 is not null").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "seq_sha256")
+    rows = by_prefix(m, "seq_sha256", asked).groupBy("m_id", "pin", "m_version").agg(F.count("*").alias("n"), F.max("seq_sha256").alias("sha"))
+    any_ = rows.groupBy("m_id", "pin").agg(F.sum("n").alias("n"), F.max("m_version").alias("m_version"), F.max("sha").alias("sha"))
+    dated = asked.where("asked is not null").alias("a").join(rows.alias("m"), (F.col("a.m_id") == F.col("m.m_id")) & (F.col("a.pin") == F.col("m.pin")) & (F.col("asked") == F.col("m_version")), "left")
+    met = dated.select("request_id", "n", "m_version", "sha").unionByName(asked.where("asked is null").join(any_, ["m_id", "pin"], "left").select("request_id", "n", "m_version", "sha"))
+    found = met.groupBy("request_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("m_version").alias("resolved_version"), F.max("sha").alias("sha"))
     status = F.when(F.col("n") == 1, "ok").when(F.col("n") == 0, "missing").otherwise("ambiguous")
     one = F.col("n") == 1
     return found.select("request_id", status.alias("status"), F.when(one, F.col("resolved_version")).alias("resolved_version"), F.when(one, F.col("sha")).alias("seq_sha256"))
