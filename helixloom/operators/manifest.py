@@ -83,20 +83,36 @@ def selected(requests: DataFrame, manifest: DataFrame, need_version: bool = Fals
     must be left, with a number for a version and a name that agrees with its
     hash. With ``need_version`` a request without one is refused.
 
-    An id's rows are counted, never gathered, so that one may have many."""
+    An id's rows are counted by file, version and prefix before a request meets
+    them; it looks up the six counts that it needs, whatever an id's size."""
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    asked = requests.select("request_id", F.col("id").alias("asked_id"), F.lower(text("pin")).alias("pin"), text("version").alias("asked_version"), text("lib").alias("lib"))
+    none = F.lit(None).cast("string")
+    asked = requests.select("request_id", F.col("id").alias("asked_id"), F.lower(text("pin")).alias("asked_pin"), text("version").alias("asked_version"), text("lib").alias("lib"))
     row = F.struct(F.col("version").cast("string").alias("version"), F.lower("seq_sha256").alias("seq_sha256"), "file_sha256", "outfile")
-    met = asked.join(manifest.select(F.col("id").alias("asked_id"), row.alias("row")), "asked_id", "left")
-    held = F.col("row").isNotNull()
-    at_lib = held & F.coalesce(base_name(F.col("row.outfile")) == base_name(F.col("lib")), F.lit(False))
-    version_fits = held & (F.col("asked_version").isNull() | F.coalesce(F.col("row.version") == F.col("asked_version"), F.lit(False)))
-    pin_fits = version_fits & (F.col("pin").isNull() | F.coalesce(F.startswith("row.seq_sha256", F.col("pin")), F.lit(False)))
-    one = lambda test: F.max(F.when(test, F.col("row")))
+    key = lambda **by: F.struct(*[by.get(c, none).cast("string").alias(c) for c in ("file", "version")], by.get("pin", F.lit("")).alias("pin"))
+    pins = asked.select(F.coalesce("asked_pin", F.lit("")).alias("pin")).unionByName(asked.sparkSession.range(1).select(F.lit("").alias("pin")))
+    held = by_prefix(manifest.select(F.col("id").alias("asked_id"), row.alias("row")).withColumn("sha", F.col("row.seq_sha256")), "sha", pins)
+    file, version = base_name(F.col("row.outfile")), F.col("row.version")
+    wide = F.array(F.lit(True), version.isNotNull(), file.isNotNull(), file.isNotNull() & version.isNotNull())
+    keys = F.array(key(pin=F.col("pin")), key(version=version, pin=F.col("pin")), key(file=file, pin=F.col("pin")), key(file=file, version=version, pin=F.col("pin")))
+    keys = F.filter(F.zip_with(keys, wide, lambda k, w: F.when(w, k)), lambda k: k.isNotNull())
+    counted = held.select("asked_id", "row", F.explode(keys).alias("k")).groupBy("asked_id", "k.file", "k.version", "k.pin").agg(F.count("*").alias("n"), F.max("row").alias("row"))
+    file, version, pin = base_name(F.col("lib")), F.col("asked_version"), F.coalesce("asked_pin", F.lit(""))
+    ask = lambda name, k, fits=F.lit(True): F.when(fits, F.struct(F.lit(name).alias("name"), k.alias("k")))
+    at = file.isNotNull()
+    asks = F.array(
+        ask("held", key()), ask("at_lib", key(file=file), at), ask("near_versions", key(file=file, version=version), at), ask("near", key(file=file, version=version, pin=pin), at),
+        ask("far_versions", key(version=version)), ask("far", key(version=version, pin=pin)),
+    )
+    each = asked.select("request_id", "lib", "asked_version", "asked_id", F.explode(F.array_compact(asks)).alias("a")).select("request_id", "lib", "asked_version", "asked_id", "a.name", "a.k.file", "a.k.version", "a.k.pin")
+    c, e = counted.alias("c"), each.alias("e")
+    same = (F.col("e.asked_id") == F.col("c.asked_id")) & (F.col("e.pin") == F.col("c.pin")) & F.col("e.file").eqNullSafe(F.col("c.file")) & F.col("e.version").eqNullSafe(F.col("c.version"))
+    met = e.join(c, same, "left").select("request_id", "lib", "asked_version", "name", F.coalesce("n", F.lit(0)).alias("n"), "row")
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0))
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("row")))
     per = met.groupBy("request_id", "lib", "asked_version").agg(
-        F.count_if(held).alias("held"), F.count_if(at_lib).alias("at_lib"),
-        F.struct(F.count_if(at_lib & version_fits).alias("versions"), F.count_if(at_lib & pin_fits).alias("n"), one(at_lib & pin_fits).alias("row")).alias("near"),
-        F.struct(F.count_if(version_fits).alias("versions"), F.count_if(pin_fits).alias("n"), one(pin_fits).alias("row")).alias("far"),
+        of("held").alias("held"), of("at_lib").alias("at_lib"), F.struct(of("near_versions").alias("versions"), of("near").alias("n"), one("near").alias("row")).alias("near"),
+        F.struct(of("far_versions").alias("versions"), of("far").alias("n"), one("far").alias("row")).alias("far"),
     )
     judged = per.withColumn("c", F.when(F.col("at_lib") > 0, F.col("near")).otherwise(F.col("far")))
     named = filename_sha12("c.row.outfile")

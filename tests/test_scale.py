@@ -36,3 +36,11 @@ def test_one_id_resolves_without_its_square(spark):
     assert most_rows(got) < 5000  # 53,466 pairs fit id, pin and version
     status = {r.request_id: r.status for r in got.collect()}
     assert all(status[i] == ("ok" if i % 2 == 0 or i % 3 == 0 else "ambiguous") for i in range(400))
+
+
+def test_one_id_is_selected_from_without_its_square(spark):
+    asked, rows = one_id(spark, 400)
+    got = manifest.selected(asked, rows)
+    assert most_rows(got) < 8000  # 160,000 pairs have the id
+    problem = {r.request_id: r.problem for r in got.collect()}
+    assert all(problem[i] == (None if i % 2 == 0 or i % 3 == 0 else "ambiguous") for i in range(400))
