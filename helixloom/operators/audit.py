@@ -80,6 +80,18 @@ def vendor_cap(vendor: Column) -> Column:
     return cap
 
 
+def size_finding(cap: int | Column) -> Column:
+    """The size check of a sequence ``seq`` that has a ``cap``, else null."""
+    cap = F.lit(cap) if isinstance(cap, int) else cap
+    return F.when(cap.isNotNull(), F.struct(F.lit("size").alias("category"), F.when(F.length("seq") > cap, "FLAG").otherwise("PASS").alias("status")))
+
+
+def size_findings(records: DataFrame, cap: int | Column) -> DataFrame:
+    """(record, category, status) of sizes alone, which need no other check's
+    walk over the sequence."""
+    return records.select("record", size_finding(cap).alias("f")).where("f is not null").select("record", "f.category", "f.status")
+
+
 def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool = False, cap: int | Column | None = None) -> DataFrame:
     """(record, category, status) of whole sequences (record, seq). Sizes are
     checked where there is a ``cap``, one for all or each record's own."""
@@ -92,8 +104,7 @@ def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool =
         F.when(S.longest_run("seq") >= 9, row("homopolymer", F.lit("FLAG"))), *sites,
     ]
     if cap is not None:
-        cap = F.lit(cap) if isinstance(cap, int) else cap
-        checks.append(F.when(cap.isNotNull(), row("size", F.when(n > cap, "FLAG").otherwise("PASS"))))
+        checks.append(size_finding(cap))
     return records.select("record", F.explode(F.array_compact(F.array(*checks))).alias("f")).select("record", "f.category", "f.status")
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from helixloom.operators import manifest
+from helixloom.plans import record_queries
+from test_reference_queries import SF
 
 
 def most_rows(frame) -> int:
@@ -44,3 +46,9 @@ def test_one_id_is_selected_from_without_its_square(spark):
     assert most_rows(got) < 8000  # 160,000 pairs have the id
     problem = {r.request_id: r.problem for r in got.collect()}
     assert all(problem[i] == (None if i % 2 == 0 or i % 3 == 0 else "ambiguous") for i in range(400))
+
+
+def test_sizes_read_no_sequence(spark):
+    """Counting letters and runs of what is only measured was most of the work."""
+    plan = record_queries.vendor_sizes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "contains(" not in plan.lower()
