@@ -116,3 +116,14 @@ def test_circular_locations(spark):
     got = spark.createDataFrame([(x,) for x, _, _ in rows], "loc string").select(S.circular_location("loc", F.lit(129)).alias("l")).collect()
     assert [(r.l.start, r.l.end) for r in got] == [(a, b) for _, a, b in rows] and [r.l.strand for r in got] == [1, -1, 1, 1, 1, 1]
     assert spark.range(1).select(S.stretch(F.lit("ABCDE"), F.lit(4), F.lit(7)), S.stretch(F.lit("ABCDE"), F.lit(2), F.lit(3))).first()[:] == ("DEAB", "BC")
+
+
+def test_every_whole_copy_is_found_beyond_the_cap(spark):
+    """A reference that lies whole in more than LOCI places has a block at each."""
+    part, spacer = made(96, 50), made(20, 51)
+    text = spark.createDataFrame([("six", (part + spacer) * 6), ("turned", (turned(part) + spacer) * 7)], "query string, qseq string")
+    got = identify.identify(text, spark.createDataFrame([("P", part)], "ref string, seq string"))
+    places = {k: [i * 116 + 1 for i in range(n)] for k, n in (("six", 6), ("turned", 7))}
+    found = got.collect()
+    assert {k: sorted(r.qstart for r in found if r.query == k) for k in places} == places
+    assert all(r.n_diagonals > identify.LOCI and r.qend == r.qstart + 95 and r.pident == 100.0 for r in found)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from helixloom.operators import manifest
-from helixloom.plans import record_queries
+from helixloom.operators import identify, manifest
+from helixloom.plans import record_queries, rule_queries
 from test_reference_queries import SF
 
 
@@ -52,3 +52,16 @@ def test_sizes_read_no_sequence(spark):
     """Counting letters and runs of what is only measured was most of the work."""
     plan = record_queries.vendor_sizes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "contains(" not in plan.lower()
+
+
+def test_many_kmers_are_not_gathered_in_the_driver(spark, monkeypatch):
+    """From a packed file's size Spark took all k-mers for a small table."""
+    monkeypatch.setattr(identify, "BROADCAST_BASES", 0)
+    hits = rule_queries.host_rows(spark, SF)._jdf.queryExecution().toString()
+    part = rule_queries.parts(spark, SF).select(F.col("part").alias("ref"), "seq")
+    refs = identify.stranded(part)
+    queries = part.select(F.col("ref").alias("query"), F.col("seq").alias("qseq"))
+    blocks = identify.extended(identify.diagonals(identify.seeds(queries, refs)), queries, refs)._jdf.queryExecution().toString()
+    for plan in (hits, blocks):
+        assert "SortMergeJoin [kmer" in plan and "BroadcastHashJoin [kmer" not in plan
+        assert "BroadcastHashJoin [query" not in plan and "BroadcastHashJoin [ref" not in plan and "BroadcastHashJoin [host" not in plan
