@@ -44,7 +44,12 @@ def valid_alphabet(seq: Column | str) -> Column:
 
 
 def count_of(seq: Column | str, letters: str) -> Column:
-    return F.length(col(seq)) - F.length(F.translate(col(seq), letters, ""))
+    """How many of ``letters`` there are; each is taken out in turn, which
+    is many times faster than a translation letter by letter."""
+    rest = col(seq)
+    for letter in letters:
+        rest = F.replace(rest, F.lit(letter), F.lit(""))
+    return F.length(col(seq)) - F.length(rest)
 
 
 def gc_fraction(seq: Column | str) -> Column:
@@ -63,6 +68,13 @@ def longest_run(seq: Column | str, any_letter: bool = True) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.upper(col(seq)), F.lit(runs), F.lit(1)), F.length)), F.lit(0))
 
 
+def has_run(seq: Column | str, least: int, any_letter: bool = True) -> Column:
+    """Whether :func:`longest_run` is ``least`` (1 at least) or more, without
+    taking the sequence apart into its runs."""
+    pattern = rf"(.)\1{{{least - 1}}}" if any_letter else "|".join(f"{x}{{{least}}}" for x in "ACGT")
+    return F.coalesce(F.regexp_like(F.upper(col(seq)), F.lit(pattern)), F.lit(False))
+
+
 def low_complexity(seq: Column | str, share: float = 0.8) -> Column:
     """Empty, or one letter makes up more than ``share`` of it."""
     s = F.upper(col(seq))
@@ -115,7 +127,11 @@ def amino_acid(codon: Column | str) -> Column:
 
 def has_site(seq: Column | str, motif: str) -> Column:
     """Whether a site lies on either strand."""
-    s = F.upper(col(seq))
+    return site_in(F.upper(col(seq)), motif)
+
+
+def site_in(s: Column, motif: str) -> Column:
+    """:func:`has_site` of a sequence in upper case."""
     return F.contains(s, F.lit(motif)) | F.contains(s, F.lit(motif[::-1].translate(str.maketrans(BASES, PAIRED))))
 
 

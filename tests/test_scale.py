@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from helixloom.functions import sequence as S
 from helixloom.operators import identify, manifest
-from helixloom.plans import record_queries, rule_queries
+from helixloom.plans import record_queries, reference_queries, rule_queries
 from test_reference_queries import SF
 
 
@@ -65,3 +66,14 @@ def test_many_kmers_are_not_gathered_in_the_driver(spark, monkeypatch):
     for plan in (hits, blocks):
         assert "SortMergeJoin [kmer" in plan and "BroadcastHashJoin [kmer" not in plan
         assert "BroadcastHashJoin [query" not in plan and "BroadcastHashJoin [ref" not in plan and "BroadcastHashJoin [host" not in plan
+
+
+def test_runs_are_tested_without_taking_sequences_apart(spark):
+    rows = [("",), ("ACGT",), ("AAAAAAAAA",), ("AAAAAAAA",), ("cccccccccT",), ("GNNNNNNNNNG",), (None,)]
+    frame = spark.createDataFrame(rows, "seq string")
+    for any_letter in (True, False):
+        got = frame.select(S.has_run("seq", 9, any_letter).alias("a"), (S.longest_run("seq", any_letter) >= 9).alias("b"), S.count_of("seq", "GC").alias("n"), F.regexp_count("seq", F.lit("[GC]")).alias("m")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and [r.n for r in got] == [r.m for r in got]
+    for name in ("construct_verdicts",):
+        plan = reference_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "translate(insert" not in plan and "translate(upper" not in plan
