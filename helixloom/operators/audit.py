@@ -94,17 +94,21 @@ def size_findings(records: DataFrame, cap: int | Column) -> DataFrame:
 
 def record_findings(records: DataFrame, type_iis: bool = False, biobrick: bool = False, cap: int | Column | None = None) -> DataFrame:
     """(record, category, status) of whole sequences (record, seq). Sizes are
-    checked where there is a ``cap``, one for all or each record's own."""
-    gc, n = S.gc_percent("seq"), F.length("seq")
-    sites = [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if biobrick else "NOTE").alias("status"))) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"]
-    sites += [F.when(S.has_site("seq", m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if type_iis else "NOTE").alias("status"))) for e, m in S.TYPE_IIS_SITES.items()]
+    checked where there is a ``cap``, one for all or each record's own. What
+    several checks read is made once, as columns before them."""
+    kept = F.lit(cap) if isinstance(cap, int) else cap
+    records = records.select("record", F.upper("seq").alias("seq"), *([] if cap is None else [kept.alias("cap")]))
+    records = records.withColumn("gc", S.gc_percent("seq"))
+    gc, n = F.col("gc"), F.length("seq")
+    sites = [F.when(S.site_in(F.col("seq"), m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if biobrick else "NOTE").alias("status"))) for e, m in S.SIX_CUTTERS.items() if e != "NcoI"]
+    sites += [F.when(S.site_in(F.col("seq"), m), F.struct(F.lit(f"restriction {e}").alias("category"), F.lit("FLAG" if type_iis else "NOTE").alias("status"))) for e, m in S.TYPE_IIS_SITES.items()]
     row = lambda c, s: F.struct(F.lit(c).alias("category"), s.alias("status"))
     checks = [
         F.when(n == 0, row("invariant", F.lit("FAIL"))), F.when(n > 0, row("composition", F.when((gc < 25) | (gc > 65), "FLAG").otherwise("PASS"))),
-        F.when(S.longest_run("seq") >= 9, row("homopolymer", F.lit("FLAG"))), *sites,
+        F.when(S.has_run("seq", 9), row("homopolymer", F.lit("FLAG"))), *sites,
     ]
     if cap is not None:
-        checks.append(size_finding(cap))
+        checks.append(size_finding(F.col("cap")))
     return records.select("record", F.explode(F.array_compact(F.array(*checks))).alias("f")).select("record", "f.category", "f.status")
 
 
