@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.functions import batches
 from helixloom.functions import sequence as S
 
 LEAST_AA, LEAST_GAP, ORF_SHARE = 50, 6, 0.7
@@ -46,8 +52,39 @@ def frames(seq: Column | str, least: int = LEAST_AA) -> Column:
 
 
 def open_frames(records: DataFrame, least: int = LEAST_AA) -> DataFrame:
-    """(record, start, end, strand, frame, aa) of records (record, seq)."""
-    return records.select("record", F.explode(frames("seq", least)).alias("f")).select("record", "f.*")
+    """(record, start, end, strand, frame, aa) of records (record, seq):
+    :func:`frames` of a whole batch at a time."""
+    kind, names = records.schema["record"].dataType.simpleString(), ("start", "end", "strand", "frame", "aa")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            got = batches.frames(batch.column(1), least, S.STOPS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got["row"])), *(pa.array(got[c], pa.int32()) for c in names)], names=["record", *names])
+
+    return records.select("record", F.upper("seq").alias("seq")).mapInArrow(run, f"record {kind}, " + ", ".join(f"{c} int" for c in names))
+
+
+def longest_frames(cut: DataFrame, least: int) -> DataFrame:
+    """``cut`` with the longest frame ``o`` of each upper-case ``part`` (its last
+    column), null without one, in place of the part, whose length ``size`` stays. Of
+    equals the forward one, then the lowest frame, then the first on its strand."""
+    kept, names = cut.columns[:-1], ("start", "end", "strand", "aa")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            part = batch.column(len(kept))
+            got = batches.frames(part, least, S.STOPS)
+            order = np.lexsort((got["start"] * got["strand"], got["frame"], -got["strand"], -got["aa"], got["row"]))
+            row, best = np.unique(got["row"][order], return_index=True)
+            at = np.full(len(part), -1)
+            at[row] = order[best]
+            none = at < 0
+            each = [pa.array(got[c][at] if len(order) else at, pa.int32(), mask=none) for c in names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pc.cast(pc.utf8_length(part), pa.int32()), *each], names=[*kept, "size", *names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
+    wide = cut.mapInArrow(run, fields + ", size int, " + ", ".join(f"{c} int" for c in names))
+    return wide.select(*kept, "size", F.when(F.col("aa").isNotNull(), F.struct(*names)).alias("o"))
 
 
 def gap_blocks(gaps: DataFrame, records: DataFrame, least: int = LEAST_AA) -> DataFrame:
@@ -57,9 +94,8 @@ def gap_blocks(gaps: DataFrame, records: DataFrame, least: int = LEAST_AA) -> Da
     may go on past the origin of a circle; blocks start on it."""
     met = gaps.join(records.select(F.col("record").alias("query"), "seq"), "query")
     part = S.stretch(F.upper("seq"), F.col("start"), F.col("end"))
-    cut = met.select("query", F.col("start").cast("int").alias("gs"), F.col("end").cast("int").alias("ge"), part.alias("part"), F.length("seq").alias("n"))
-    ranked = F.array_min(F.transform(frames("part", least), lambda x: F.struct((-x["aa"]).alias("less"), (-x["strand"]).alias("back"), x["frame"].alias("frame"), (x["start"] * x["strand"]).alias("at"), x.alias("orf"))))
-    held = cut.withColumn("o", ranked["orf"]).withColumn("fits", F.coalesce(F.col("o.aa") * 3 >= ORF_SHARE * F.length("part"), F.lit(False)))
+    cut = met.select("query", F.col("start").cast("int").alias("gs"), F.col("end").cast("int").alias("ge"), F.length("seq").alias("n"), part.alias("part"))
+    held = longest_frames(cut, least).withColumn("fits", F.coalesce(F.col("o.aa") * 3 >= ORF_SHARE * F.col("size"), F.lit(False)))
     low, high = F.col("gs") + F.col("o.start") - 1, F.col("gs") + F.col("o.end") - 1
 
     def block(start, end, strand=F.lit(1), role=F.lit(None), aa=F.lit(None)) -> Column:
@@ -76,6 +112,20 @@ def gap_blocks(gaps: DataFrame, records: DataFrame, least: int = LEAST_AA) -> Da
     return placed.select("query", (F.col("b.start") - turn).alias("start"), (F.col("b.end") - turn).alias("end"), "b.strand", "b.role", "b.aa")
 
 
+def with_core(found: DataFrame, least: int = 4) -> DataFrame:
+    """``found`` with the 0-based place ``core`` of :func:`sequence.best_shine_dalgarno`
+    in each ``body`` (its last column), null without one, in place of the body."""
+    kept = found.columns[:-1]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            score, at = batches.best_word(batch.column(len(kept)), S.SHINE_DALGARNO, least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(at, pa.int32(), mask=score < 0)], names=[*kept, "core"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-1])
+    return found.mapInArrow(run, f"{fields}, core int")
+
+
 def start_spacing(blocks: DataFrame) -> DataFrame:
     """(record, start, spacing, status, reason) of each rbs block (record,
     start, end, strand, seq = the whole record): the bases between its core
@@ -87,9 +137,10 @@ def start_spacing(blocks: DataFrame) -> DataFrame:
     before = S.revcomp(F.substr(whole, from_, start - from_))
     found = blocks.select(
         "record", start.alias("start"), forward.alias("forward"), end.alias("end"), F.when(forward, S.next_start(whole, end)).otherwise(S.next_start(before, F.lit(0))).alias("atg"),
-        S.best_shine_dalgarno(F.when(forward, body).otherwise(S.revcomp(body))).alias("core"),
+        F.when(forward, body).otherwise(S.revcomp(body)).alias("body"),
     )
-    after_core = F.col("end") - F.col("start") + 1 - (F.col("core.start") + len(S.SHINE_DALGARNO))
+    found = with_core(found)
+    after_core = F.col("end") - F.col("start") + 1 - (F.col("core") + len(S.SHINE_DALGARNO))
     spacing = after_core + F.when(F.col("forward"), F.col("atg") - F.col("end")).otherwise(F.col("atg"))
     reason = F.when(F.col("atg").isNull(), "no start").when(F.col("core").isNull(), "no core").when(~spacing.between(*SPACING), "spacing")
     return found.select("record", "start", F.when(F.col("atg").isNotNull(), spacing).alias("spacing"), F.when(reason.isNull(), "PASS").otherwise("FLAG").alias("status"), reason.alias("reason"))
