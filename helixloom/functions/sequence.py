@@ -112,6 +112,18 @@ def site_positions(seq: Column | str, motif: str) -> Column:
     return positions(seq, motif) if other == motif else F.array_sort(F.array_union(positions(seq, motif), positions(seq, other)))
 
 
+def first_positions(seq: Column | str, motif: str, most: int) -> Column:
+    """The first ``most`` of :func:`site_positions`; the sequence is split
+    before those alone, by one pattern of both strands."""
+    s, either = F.upper(col(seq)), "|".join(dict.fromkeys((motif, motif[::-1].translate(str.maketrans(BASES, PAIRED)))))
+    # a place at the very start makes no piece, so one piece more is cut
+    sizes = F.transform(F.split(s, f"(?={either})", most + 1), F.length)
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.get(out, F.size(out) - 1) + n)))
+    skip = F.when(F.regexp_like(s, F.lit(f"^(?:{either})")), 1).otherwise(2)
+    # in an array, so that the places are worked out once
+    return F.get(F.transform(F.array(ends), lambda e: F.slice(e, skip, F.least(F.lit(most), F.size(e) - skip))), F.lit(0))
+
+
 def codons(seq: Column | str) -> Column:
     """Whole codons in order; matched in one pass, linear in the length."""
     return F.regexp_extract_all(F.upper(col(seq)), F.lit("(?s).{3}"), F.lit(0))

@@ -303,9 +303,9 @@ def tally(findings: DataFrame) -> DataFrame:
 
 def first_sites(seq: Column | str, motif: str, shown: int = 6) -> Column:
     """The first places (1-based) of a site, and an ellipsis if there are more."""
-    at = S.site_positions(seq, motif)
-    text = F.array_join(F.transform(F.slice(at, 1, shown), lambda x: (x + 1).cast("string")), ", ")
-    return F.when(F.size(at) > shown, F.concat(text, F.lit(", …"))).otherwise(text)
+    text = lambda at: F.array_join(F.transform(F.slice(at, 1, shown), lambda x: (x + 1).cast("string")), ", ")
+    said = lambda at: F.concat(text(at), F.when(F.size(at) > shown, ", …").otherwise(""))
+    return F.get(F.transform(F.array(S.first_positions(seq, motif, shown + 1)), said), F.lit(0))
 
 
 def genome_checks(records: DataFrame, least: int = 1000) -> DataFrame:
