@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import batches
 from helixloom.functions import sequence as S
-from helixloom.operators import audit, gates, orfs
+from helixloom.operators import audit, gates, identify, orfs
 from helixloom.plans import gate_queries, reference_queries, rule_queries
 from test_reference_queries import SF
 
@@ -67,3 +67,45 @@ def test_no_walk_letter_by_letter_in_plans(spark):
         assert "MapInArrow" in text and "regexp_extract_all" not in text
     assert "MapInArrow" in plan(rule_queries.start_spacing) and "regexp_extract_all" not in plan(rule_queries.start_spacing)
     assert "array_union" not in plan(gate_queries.site_places)
+
+
+def test_identification_where_queries_are_read(spark):
+    """The same hits as by joins on k-mers, and no k-mer or query text is shuffled."""
+    r = random.Random(3)
+    letters = lambda n, a="ACGT": "".join(r.choice(a) for _ in range(n))
+    refs = [(f"r{i}", letters(r.choice((26, 40, 96, 200)))) for i in range(30)] + [("low", letters(60, "AC")), ("n", letters(50) + "NNRN" + letters(40))]
+
+    def bent(text: str) -> str:
+        out = list(text)
+        for _ in range(r.randint(0, 6)):
+            out[r.randrange(len(out))] = r.choice(("", "A", "GG", "N", "é"))
+        return "".join(out)
+
+    given = ["", "ACG", *("".join(bent(r.choice(refs)[1]) if r.random() < 0.8 else letters(20) for _ in range(r.randint(1, 5))) for _ in range(150)), refs[0][1] * 7]
+    queries = rows(spark, given).toDF("query", "qseq")
+    both = identify.stranded(spark.createDataFrame(refs, "ref string, seq string")).cache()
+    want = identify.extended(identify.diagonals(identify.seeds(queries, both), None), queries, both)
+    got = identify.read_where_they_are(queries, identify.gathered(both))
+    assert got.dtypes == want.dtypes and want.count() > 300
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert identify.read_where_they_are(queries, []).count() == 0
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_letters_or_bases_are_joined(spark, monkeypatch):
+    """Words of too many letters are no numbers, and many bases go to no task."""
+    wide = spark.createDataFrame([("a", 1, "".join(chr(c) for c in range(48, 100)))], "ref string, strand int, rseq string")
+    assert identify.gathered(wide) is None and identify.gathered(wide.select("ref", "strand", F.lit("ACGT" * 9).alias("rseq"))) is not None
+    monkeypatch.setattr(identify, "BROADCAST_BASES", 10)
+    assert identify.gathered(wide.select("ref", "strand", F.lit("ACGT" * 9).alias("rseq"))) is None
+
+
+def test_low_complexity_of_plain_letters(spark):
+    """Plain letters are counted by taking them out; others as before."""
+    given = rows(spark, [*texts(), "AAAAAAAAC", "AAAAC", "aaaAAc", "NNNNN", "NNNNNNNNNA", "ééééééA", None])
+    s = F.upper("seq")
+    top = F.array_max(F.transform(F.array_distinct(F.split(s, "")), lambda x: F.length(s) - F.length(F.replace(s, x, F.lit("")))))
+    want = (F.length(s) == 0) | (F.size(F.array_distinct(F.split(s, ""))) == 1) | (top > 0.8 * F.length(s))
+    assert given.where(~S.low_complexity("seq").eqNullSafe(want)).isEmpty() and given.where(S.low_complexity("seq")).count() > 5
+    text = given.select(S.low_complexity("seq"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in text
