@@ -151,11 +151,10 @@ def site_in(s: Column, motif: str) -> Column:
 
 
 def internal_stop(seq: Column | str) -> Column:
-    """A stop codon before the run of stops that ends the frame."""
-    c = codons(seq)
-    is_stop = lambda x: x.isin(*STOPS)
-    sense = F.size(c) - F.coalesce(F.array_position(F.transform(F.reverse(c), lambda x: ~is_stop(x)), True).cast("int"), F.lit(0))
-    return F.exists(F.transform(c, lambda x, i: is_stop(x) & (i < sense)), lambda x: x)
+    """A stop codon before the run of stops that ends the frame: one pattern
+    finds stops that a whole other codon follows."""
+    stop = "|".join(STOPS)
+    return F.regexp_like(F.upper(col(seq)), F.lit(f"(?s)^(?:.{{3}})*?(?:{stop})++(?!{stop}).{{3}}"))
 
 
 def has_start(seq: Column | str) -> Column:

@@ -109,3 +109,22 @@ def test_low_complexity_of_plain_letters(spark):
     assert given.where(~S.low_complexity("seq").eqNullSafe(want)).isEmpty() and given.where(S.low_complexity("seq")).count() > 5
     text = given.select(S.low_complexity("seq"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in text
+
+
+def test_internal_stops_by_one_pattern(spark):
+    """As codon by codon, which was done several times for each block; a frame
+    of stops alone has none inside, which the walk took for one."""
+    r = random.Random(5)
+    made = ["".join(r.choice(("TAA", "TGA", "tag", "GCC", "ATA", "\n\nA")) for _ in range(r.randint(0, 6))) + "TA"[: r.randint(0, 2)] for _ in range(300)]
+    given = [*texts(), *made]
+
+    def internal(text: str) -> bool:
+        codons = [text.upper()[i : i + 3] for i in range(0, len(text) // 3 * 3, 3)]
+        while codons and codons[-1] in S.STOPS:
+            codons.pop()
+        return any(c in S.STOPS for c in codons)
+
+    got = rows(spark, [*given, None]).select("record", S.internal_stop("seq").alias("got"))
+    found = {r.record: r.got for r in got.collect()}
+    assert found.pop(len(given)) is None and found == {i: internal(x) for i, x in enumerate(given)} and 50 < sum(found.values()) < 900
+    assert "regexp_extract_all" not in got.select("got")._jdf.queryExecution().optimizedPlan().toString()
