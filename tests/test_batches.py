@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import batches
 from helixloom.functions import sequence as S
-from helixloom.operators import audit, gates, identify, orfs
+from helixloom.operators import audit, gates, identify, offtarget, orfs
 from helixloom.plans import gate_queries, reference_queries, rule_queries
 from test_reference_queries import SF
 
@@ -128,3 +128,41 @@ def test_internal_stops_by_one_pattern(spark):
     found = {r.record: r.got for r in got.collect()}
     assert found.pop(len(given)) is None and found == {i: internal(x) for i, x in enumerate(given)} and 50 < sum(found.values()) < 900
     assert "regexp_extract_all" not in got.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_longest_stretches_meet_what_a_genome_has_once_however_often(spark, monkeypatch):
+    r = random.Random(11)
+    parts = ["".join(r.choice("ACGTN"[: 4 + (i == 3)]) for _ in range(32)) for i in range(4)]
+    hosts = {h: "".join(r.choice(parts) for _ in range(40)) + "ACG" for h in (1, 2)}
+    pieces = offtarget.pieces(spark.createDataFrame(list(hosts.items()), "host int, gseq string"), 32, 16)
+    turned = lambda x: x[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    given = ["", "ACG", None, hosts[1][-30:], turned(hosts[2][7:90]), hosts[1][3:25], hosts[1][3:26]]
+    for _ in range(100):
+        a = r.randint(0, 1100)
+        text = hosts[r.randint(1, 2)][a : a + r.randint(10, 150)]
+        b = r.randint(0, len(text) - 1)
+        text = r.choice([text, text[:b] + r.choice("ACGTNRX") + text[b + 1 :], text[b:] + text[:b]])
+        given.append(r.choice([text, turned(text)]))
+    q = spark.createDataFrame(list(enumerate(given)), "query int, qseq string")
+
+    def longest(x, cap):
+        have = [y for y in (x or "", turned(x or ""))]
+        return max([n for y in have for i in range(len(y)) for n in range(23, min(cap, len(y) - i) + 1) if any(y[i : i + n] in g for g in hosts.values())], default=0)
+
+    for cap in (41, 100):
+        got = offtarget.longest_shared(q, pieces, cap, 32)
+        assert {x.query: x.longest for x in got.collect()} == {i: longest(x, cap) for i, x in enumerate(given)}
+        assert "Join" not in got._jdf.queryExecution().toString()
+        assert {tuple(x) for x in offtarget.met_stretches(q, pieces, cap, 32).collect()} == {tuple(x) for x in got.collect()}
+    levels = [x.tolist() for x in offtarget.indexed(pieces, 60, 32, 100_000).levels]
+    assert offtarget.indexed(pieces.withColumn("j", F.explode(F.array(*map(F.lit, range(5))))).withColumn("host", F.col("host") * 10 + F.col("j")), 60, 32, 100_000).levels[4].tolist() == levels[4]
+    monkeypatch.setattr(offtarget, "BROADCAST_BASES", 0)  # the levels are then made by Spark
+    assert [x.tolist() for x in offtarget.indexed(pieces, 60, 32, 100_000).levels] == levels
+    assert offtarget.indexed(pieces, 100, 32, 1000) is None and offtarget.indexed(pieces.withColumn("bases", F.lit("ACGR")), 100, 32, 1000) is None
+
+
+def test_statuses_of_homology_need_no_longer_stretch():
+    # what decompose.audited looks for: up to these every length has its own say
+    for reca_minus, cap in ((False, gates.SUBSTRATE + 1), (True, gates.GENE_SCALE)):
+        status = lambda n: "FLAG" if n >= gates.GENE_SCALE else ("NOTE" if reca_minus else "FLAG") if n > gates.SUBSTRATE else "PASS"  # noqa: B023, E731
+        assert all(status(n) == status(min(n, cap)) for n in range(1200))
