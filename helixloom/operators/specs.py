@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.operators.lineage import dealt
+
 BACKBONE = ("ori", "marker")
 ROLES = ("promoter", "rbs", "terminator", "cds", "reporter", "gene", *BACKBONE)
 # Roles that a template leaves to be filled in.
@@ -42,15 +44,18 @@ def part_lint(parts: DataFrame) -> DataFrame:
     ])
 
 
-def order_lint(parts: DataFrame, order: DataFrame) -> DataFrame:
+def order_lint(parts: DataFrame, order: DataFrame, n: int | None = None) -> DataFrame:
     """(spec, id, rule, level) of the order (spec, position, id) against the
-    list: ordered but not listed, listed but unused, used again."""
-    listed, used = parts.select("spec", "id").distinct(), order.groupBy("spec", "id").agg(F.count("*").alias("n"))
-    row = lambda rows, rule, level: rows.select("spec", "id", F.lit(rule).alias("rule"), F.lit(level).alias("level"))
-    body = parts.where(~F.lower(F.trim(F.coalesce("role", F.lit("")))).isin(*BACKBONE)).select("spec", "id").distinct()
-    missing = used.join(listed, ["spec", "id"], "left_anti")
-    unused, again = body.join(used, ["spec", "id"], "left_anti"), used.join(listed, ["spec", "id"], "left_semi").where("n > 1")
-    return row(missing, "not listed", "PROBLEM").unionByName(row(unused, "never used", "LOOK")).unionByName(row(again, "used again", "LOOK"))
+    list: ordered but not listed, listed but unused, used again. Both are
+    grouped once; ``n`` tells how many rows there are, which else are counted.
+    What has no spec or id is never the same as another."""
+    own = ~F.lower(F.trim(F.coalesce("role", F.lit("")))).isin(*BACKBONE)
+    rows = parts.select("spec", "id", F.lit(True).alias("listed"), own.alias("own")).unionByName(order.select("spec", "id", F.lit(False).alias("listed"), F.lit(False).alias("own")))
+    per = dealt(rows, "spec", rows.count() if n is None else n).groupBy("spec", "id").agg(F.bool_or("listed").alias("listed"), F.bool_or("own").alias("own"), F.count_if(~F.col("listed")).alias("n"))
+    same = F.col("spec").isNotNull() & F.col("id").isNotNull()
+    return exploded(per, ["spec", "id"], [
+        ("not listed", "PROBLEM", (F.col("n") > 0) & ~(F.col("listed") & same)), ("never used", "LOOK", F.col("own") & ((F.col("n") == 0) | ~same)), ("used again", "LOOK", F.col("listed") & same & (F.col("n") > 1)),
+    ])
 
 
 def spec_lint(specs: DataFrame, parts: DataFrame) -> DataFrame:
