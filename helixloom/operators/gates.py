@@ -33,10 +33,12 @@ def ordered_parts(order: DataFrame, parts: DataFrame, trims: DataFrame) -> DataF
     """The order (construct, position, part) with each part's listed ``length``
     and its bases without trims. ``parts`` has part, seq, length; ``trims``
     part, three_prime, five_prime. An ordered part that isn't listed stays,
-    with ``listed`` false; ``cut`` is null where a trim is not at its end."""
-    met = order.join(parts.select("part", "seq", "length", F.lit(True).alias("listed")), "part", "left").join(trims, "part", "left")
+    with ``listed`` false; ``cut`` is null where a trim is not at its end. A
+    part is trimmed once, not wherever it is ordered; its other columns stay."""
     spare = F.length(F.coalesce("three_prime", F.lit(""))) + F.length(F.coalesce("five_prime", F.lit("")))
-    return met.select("construct", "position", "part", F.coalesce("listed", F.lit(False)).alias("listed"), S.trimmed("seq", F.col("three_prime"), F.col("five_prime")).alias("cut"), (F.col("length") - spare).alias("expected"))
+    more = [c for c in parts.columns if c not in ("part", "seq", "length")]
+    known = parts.join(trims, "part", "left").select("part", F.lit(True).alias("listed"), S.trimmed("seq", F.col("three_prime"), F.col("five_prime")).alias("cut"), (F.col("length") - spare).alias("expected"), *more)
+    return order.join(known, "part", "left").select("construct", "position", "part", F.coalesce("listed", F.lit(False)).alias("listed"), "cut", "expected", *more)
 
 
 def build_findings(ordered: DataFrame, inserts: DataFrame) -> DataFrame:
@@ -46,19 +48,28 @@ def build_findings(ordered: DataFrame, inserts: DataFrame) -> DataFrame:
     that isn't listed, or a trim that isn't there, blocks the construct before
     anything else is compared; then an empty insert, the listed lengths less
     trims, and every part's bases are."""
-    rows = F.array_sort(F.collect_list(F.struct("position", "part", "listed", "cut", "expected")))
-    met = ordered.groupBy("construct").agg(rows.alias("p"), F.bool_and("listed").alias("all"), F.sum("expected").alias("n")).join(inserts, "construct", "left")
-    met = met.withColumn("insert", F.upper(F.coalesce("insert", F.lit("")))).withColumn("cuts", F.forall("p", lambda x: x["cut"].isNotNull()))
+    rows = F.sort_array(F.collect_list(F.struct("position", "part", "listed", "cut", "expected")))
+    met = ordered.groupBy("construct").agg(rows.alias("p"), *order_sums()).join(inserts, "construct", "left")
+    met = met.withColumn("insert", F.upper(F.coalesce("insert", F.lit(""))))
+    return met.select("construct", F.explode(order_findings()).alias("f")).select("construct", "f.rule", "f.level", "f.part")
+
+
+def order_sums() -> list[Column]:
+    """Aggregates of an order that :func:`order_findings` reads."""
+    return [F.bool_and("listed").alias("all"), F.bool_and(F.col("cut").isNotNull()).alias("cuts"), F.sum("expected").alias("n")]
+
+
+def order_findings() -> Column:
+    """The findings of :func:`build_findings`, from a row for each construct."""
     each = lambda test, rule: F.transform(F.array_distinct(F.transform(F.filter("p", test), lambda x: x["part"])), lambda x: F.struct(F.lit(rule).alias("rule"), F.lit("BLOCK").alias("level"), x.cast("string").alias("part")))
     whole = F.array_compact(F.array(finding(F.length("insert") != F.col("n"), "length differs", "BLOCK")))
     lost = each(lambda x: ~F.contains(F.col("insert"), x["cut"]), "part not in insert")
-    found = (
+    return (
         F.when(~F.col("all"), each(lambda x: ~x["listed"], "part not listed"))
         .when(~F.col("cuts"), each(lambda x: x["cut"].isNull(), "trim not found"))
         .when(F.length("insert") == 0, F.array(finding(F.lit(True), "empty insert", "BLOCK")))
         .otherwise(F.concat(whole, lost))
     )
-    return met.select("construct", F.explode(found).alias("f")).select("construct", "f.rule", "f.level", "f.part")
 
 
 def read_back(written: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import sequence as S
 from helixloom.operators import assembly, audit, codon, decompose, gates, manifest
+from helixloom.operators.lineage import dealt
 from helixloom.plans.reference_queries import BLOCKS_SQL, FOUND_SQL, INSERTS_SQL, LINES_SQL, PARTS_SQL, SEALED_SQL, blocks, lines, parts, query, read, sealed, sites_sql
 
 BUILDS_SQL = INSERTS_SQL + """, trims AS (SELECT part, CASE WHEN part % 5 = 0 THEN substr(seq, 93, 4) WHEN part % 31 = 0 THEN 'NNNN' END AS t3, CASE WHEN part % 7 = 0 THEN substr(seq, 1, 3) END AS t5 FROM parts),
@@ -21,8 +22,8 @@ def ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     order = lines(spark, sf_dir).select("construct", "position", "part")
     listed = p.where(k % 41 != 0).select("part", "seq", (F.length("seq") + F.when(k % 43 == 0, 1).otherwise(0)).alias("length"))
     trims = p.select("part", F.when(k % 5 == 0, F.substr("seq", F.lit(93), F.lit(4))).when(k % 31 == 0, "NNNN").alias("three_prime"), F.when(k % 7 == 0, F.substr("seq", F.lit(1), F.lit(3))).alias("five_prime"))
-    got = gates.ordered_parts(order, listed, trims)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "part", "cut"))), lambda x: F.coalesce(x["cut"], F.lit(""))), "")
+    got = dealt(gates.ordered_parts(order, listed, trims), "construct", read(spark, sf_dir, "lineitem").count())
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "part", "cut"))), lambda x: F.coalesce(x["cut"], F.lit(""))), "")
     made = got.groupBy("construct").agg(whole.alias("w"))
     return got, made.select("construct", F.when(F.col("construct") % 17 == 0, "").when(F.col("construct") % 13 == 0, F.substr("w", F.lit(2))).otherwise(F.col("w")).alias("insert"))
 
