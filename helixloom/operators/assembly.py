@@ -37,7 +37,13 @@ def inserts(lines: DataFrame) -> DataFrame:
     lengths, the junction points between parts, and whether a binding site is
     followed by coding bases without ATG."""
     parts = F.sort_array(F.collect_list(F.struct(*ORDER, "seq", "role")))
-    grouped = lines.groupBy("construct").agg(parts.alias("parts"))
+    return joined(lines.groupBy("construct").agg(parts.alias("parts")))
+
+
+def joined(grouped: DataFrame) -> DataFrame:
+    """:func:`inserts` of constructs whose ``parts`` are gathered in order;
+    other columns stay."""
+    kept = [c for c in grouped.columns if c not in ("construct", "parts")]
     lengths = F.transform("parts", lambda p: F.length(p["seq"]))
     ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n)))
     count = F.aggregate(
@@ -45,9 +51,9 @@ def inserts(lines: DataFrame) -> DataFrame:
         F.lit(0), lambda a, x: a + x,
     )
     return grouped.select(
-        "construct", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("insert"), ends.alias("ends"), count.alias("starts_missing"), F.size("parts").alias("n_parts"),
+        "construct", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("insert"), ends.alias("ends"), count.alias("starts_missing"), F.size("parts").alias("n_parts"), *kept,
     ).select(
-        "construct", "insert", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).alias("part_bases"), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))).alias("junctions"), "n_parts", "starts_missing"
+        "construct", "insert", F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).alias("part_bases"), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))).alias("junctions"), "n_parts", "starts_missing", *kept
     )
 
 
@@ -79,6 +85,12 @@ def validation(lines: DataFrame, cap: int = FRAGMENT_CAP, low: float = 0.25, hig
 def found_in(whole: DataFrame, cap: int | Column = FRAGMENT_CAP, low: float = 0.25, high: float = 0.65, run: int = 10, sites: dict[str, str] = S.BUILD_SITES) -> DataFrame:
     """The findings of each construct; one row without a rule where there are
     none. All rules read the one row that :func:`inserts` makes of a construct."""
+    found = rules_met(cap, low, high, run, sites)
+    return whole.select("construct", F.explode_outer(found).alias("f")).select("construct", "f.rule", "f.level")
+
+
+def rules_met(cap: int | Column, low: float = 0.25, high: float = 0.65, run: int = 10, sites: dict[str, str] = S.BUILD_SITES) -> Column:
+    """array<struct(rule, level)> of the rules that a row of :func:`inserts` meets."""
     gc = S.gc_fraction("insert")
     rules = [
         ("empty insert", "BLOCK", F.length("insert") == 0),
@@ -89,8 +101,7 @@ def found_in(whole: DataFrame, cap: int | Column = FRAGMENT_CAP, low: float = 0.
     ]
     one = lambda rule, level: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"))
     found = F.array_compact(F.array(*[F.when(test, one(rule, level)) for rule, level, test in rules]))
-    found = F.concat(found, F.array_repeat(one("rbs before no start", "WARN"), F.col("starts_missing")))
-    return whole.select("construct", F.explode_outer(found).alias("f")).select("construct", "f.rule", "f.level")
+    return F.concat(found, F.array_repeat(one("rbs before no start", "WARN"), F.col("starts_missing")))
 
 
 def build_verdicts(lines: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame:
