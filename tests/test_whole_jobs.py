@@ -1,5 +1,7 @@
 """Jobs that failed at size: by what the driver gathered, what lay on disk, or time."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,30 @@ def test_claims_of_records_meet_their_hits_in_one_row(spark, monkeypatch):
     got = {(b.record, b.start, b.end, b.ident, b.claim, b.kind) for b in blocks.collect()}
     assert got == {("a", 11, 130, "P", "P", "found"), ("a", None, 9, None, "cut", "claimed"), ("z", 3, 9, None, "far", "claimed"), ("b", 1, 6, None, None, "gap")}
     assert [(c.claim, c.start, c.end) for c in inner.collect()] == [("in", 20, 60)]
+
+
+def test_many_references_are_read_block_by_block_and_no_kmer_moves(spark, monkeypatch):
+    """Changed, cut, gapped, turned and repeated copies, other letters and short ones, as by the join of k-mers."""
+    dice = random.Random(7)
+    made = lambda n: "".join(dice.choices("ACGT", k=n))
+    refs = {f"r{i}": made(96) for i in range(40)} | {f"s{i}": made(18) for i in range(6)} | {"long": made(400), "odd": made(40) + "NN" + made(50)}
+    refs |= {"again": refs["r3"], "near": refs["r4"][:60] + made(36)}
+
+    def copy(name):
+        s, at = refs[name], dice.randrange(20, 70)
+        kind = dice.randrange(6)
+        s = [s, s[:at] + s[at + 1 :], s[:at] + "A" * dice.randrange(1, 5) + s[at:], "".join(dice.choice("ACGT") if dice.random() < 0.08 else c for c in s), s[: int(len(s) * 0.63)], s[:at] + "N" + s[at + 1 :]][kind]
+        return s if dice.random() < 0.6 else s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    texts = [(f"q{i}", "".join(copy(dice.choice(list(refs))) + made(dice.randrange(25)) for _ in range(5))) for i in range(60)]
+    queries = spark.createDataFrame([*texts, ("none", "ACGT")], "query string, qseq string")
+    given = spark.createDataFrame(list(refs.items()), "ref string, seq string")
+    monkeypatch.setattr(identify, "BROADCAST_BASES", 0)
+    monkeypatch.setattr(identify, "BLOCK_BASES", 2500)
+    want = sorted(map(str, identify.tiled(identify.whole_hits(queries, given)).collect()))
+    got = identify.identify(queries, given)
+    assert sorted(map(str, got.collect())) == want and len(want) > 200
+    monkeypatch.setattr(identify, "BROADCAST_BASES", 2000)  # some are short, and all others plain
+    plan = plan_of(identify.identify(queries, given.where("ref <> 'odd'")))
+    assert "kmer" not in plan and "posexplode" not in plan and "MapInArrow" in plan
+    assert sorted(map(str, identify.identify(queries, given).collect())) == want
