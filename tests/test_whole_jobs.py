@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from helixloom.functions import batches
 from helixloom.operators import decompose, identify, lineage, offtarget
 from helixloom.plans import gate_queries, record_queries, reference_queries
 from test_dealt import plan_of
@@ -108,3 +109,10 @@ def test_queries_of_one_text_are_read_once_against_a_genome(spark, monkeypatch):
     found = offtarget.classified(got, loci, 2000)
     assert "Aggregate" not in plan_of(found.select("level")).split("MapInArrow")[0]
     assert {(x.expected, x.level == "INFO") for x in found.where("query = 1").collect()} == {("a", True)} and found.where("query = 2 and expected is not null").isEmpty()
+
+
+def test_an_index_is_made_once_in_a_worker():
+    made = []
+    for key in ("a", "a", "b", "b", "a"):
+        assert batches.held(key, lambda: made.append(key) or len(made)) == len(made)
+    assert made == ["a", "b", "a"]
